@@ -17,15 +17,15 @@ END_ID = 2
 #: Tokens a group should hold: about a thousand sequences, packed by one task.
 GROUP_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 class WordIds(dict):
-    """Token ids of white-space-separated words, each encoded once.
+    """Token ids of words between ASCII white space, each encoded once while it is remembered.
 
-    Right for tokenizers that never join or change text across white space, as the one in use: it
-    splits at white space first and drops it. A capital A-Z in front is lower-cased and full stops
-    or commas behind letters are cut off before a word is looked up, since that tokenizer does both.
+    Right for tokenizers that lower-case text, split it at white space, drop that, and never join
+    across it, as the one in use does. Texts that hold ``<|``, which may be the start of a special
+    token, are encoded whole.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
@@ -38,63 +38,77 @@ class WordIds(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.cores: dict[str, list[int]] = {}
-        self.pending: list[str] = []
+        self.pending: list[bytes] = []
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.known = 0
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = code = self.known + len(self.pending)
         self.pending.append(word)
         return code
 
     def learn(self) -> None:
-        """Encode the words met since the last call."""
-        parts = []
-        for word in self.pending:
-            low = word[0].lower() + word[1:] if "A" <= word[0] <= "Z" else word
-            core = low.rstrip(".,")
-            parts.append((core, low[len(core) :]) if core.isalpha() else (low if low.isalpha() else word, ""))
-        new = list(dict.fromkeys(x for p in parts for x in p if x and x not in self.cores))
-        plain = [x for x in new if x.isalpha()]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            where = np.asarray(encoded.word_ids)
-            if len(where) and where[-1] == len(some) - 1:
-                ids, cuts = encoded.ids, np.searchsorted(where, np.arange(len(some) + 1))
-                self.cores.update((w, ids[a:b]) for w, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        rest = [x for x in new if x not in self.cores]
-        self.cores.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        ids = [self.cores[a] + self.cores[b] if b else self.cores[a] for a, b in parts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Encode the words met since the last call.
+
+        A run of letters is one unit of the tokenizer, and with full stops or commas behind it two, so
+        such words are encoded joined by spaces, and units tell their ids apart. Others go one by one.
+        """
+        words = [w.decode() for w in self.pending]
+        cores = [w.rstrip(".,") for w in words]
+        units = np.fromiter((c.isalpha() and 1 + (len(c) < len(w)) for c, w in zip(cores, words, strict=True)), np.int64, len(words))
+        lengths, ids = np.zeros(len(words), np.int64), [np.empty(0, np.uint32)] * len(words)
+        plain, order, blocks = np.flatnonzero(units), [], []
+        for i in range(0, len(plain), 1024):
+            some = plain[i : i + 1024]
+            encoded = self.tokenizer.encode(" ".join([words[j] for j in some]), add_special_tokens=False)
+            per_unit = np.bincount(np.asarray(encoded.word_ids, np.int64), minlength=int(units[some].sum()))
+            ends = np.cumsum(units[some])
+            if len(per_unit) != ends[-1]:
+                units[some] = 0
+                continue
+            lengths[some] = np.add.reduceat(per_unit, ends - units[some])
+            order.append(some)
+            blocks.append(np.asarray(encoded.ids, np.uint32))
+        rest = np.flatnonzero(units == 0)
+        ids = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[j] for j in rest], add_special_tokens=False)]
+        lengths[rest] = [len(x) for x in ids]
+        order, found = np.concatenate([*order, rest]), np.concatenate([*blocks, *ids, np.empty(0, np.uint32)])
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(lengths[order]) - lengths[order]
+        self.append(found[ragged(first, lengths)], lengths)
+        self.pending = []
+
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         total = int(self.starts[self.known])
-        while total + lengths.sum() > len(self.flat):
+        while total + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.known + len(ids) >= len(self.starts):
+        while self.known + len(lengths) >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.flat[total : total + int(lengths.sum())] = np.fromiter((x for y in ids for x in y), np.uint32, int(lengths.sum()))
-        self.starts[self.known + 1 : self.known + 1 + len(ids)] = total + np.cumsum(lengths)
-        self.known += len(ids)
-        self.pending = []
+        self.flat[total : total + len(ids)] = ids
+        self.starts[self.known + 1 : self.known + 1 + len(lengths)] = total + np.cumsum(lengths)
+        self.known += len(lengths)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty."""
         if len(self) > self.most:
             self.forget()
-        codes = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in map(ascii_split, texts)]
-        self.learn()
-        for code in codes:
-            first, count = self.starts[code], self.starts[code + 1] - self.starts[code]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.repeat(first - (ends - count), count) + np.arange(total)]
-
-
-def ascii_split(text: str | None) -> list[str]:
-    """Cut at runs of space, tab and line ends, which every tokenizer in use takes as white space."""
-    return [x for x in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x] if isinstance(text, str) else []
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        split = [() if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
+        codes = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in split]
+        if self.pending:
+            self.learn()
+        for text, code in zip(texts, codes, strict=True):
+            if "<|" in text:
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield self.flat[ragged(self.starts[code], self.starts[code + 1] - self.starts[code])]
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions first, first + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 _encoders: dict[str, WordIds] = {}

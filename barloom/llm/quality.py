@@ -17,6 +17,8 @@ BUCKETS = 1 << 16
 GRAMS = (3, 4)
 #: Standard errors by which the share of good rows among labelled ones is raised, to keep good text.
 MARGIN = 2.0
+#: Good labelled rows that the target model is counted from, at most; their ids are broadcast.
+FIT_ROWS = 20_000
 #: Bins of a selection round.
 BINS = 4096
 
@@ -84,19 +86,19 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log(both[0]) - np.log(both[1])
 
 
-def importance_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", seed: int = 11) -> tuple[DataFrame, float]:
+def importance_weights(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", quality: str = "quality", seed: int = 11, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, float]:
     """``_key, _row, log_weight, priority`` for every document, and the share of good text to keep.
 
-    The target model is counted from all documents whose label says good, the raw model from all
-    documents. ``log_weight`` is the sum over the text's n-grams of their log ratio (0 for empty
+    The target model is counted from the documents of at most ``fit_rows`` ids whose label says good,
+    those of smallest seeded hash; the raw model from all documents. ``log_weight`` is the sum over the text's n-grams of their log ratio (0 for empty
     or null texts). ``priority`` adds seeded Gumbel noise, so the k largest priorities are a draw of k
     documents without replacement by weight. Null ids have no label. Documents labelled twice are
     good if any label says so.
     """
     marks = labels.groupBy(F.col(key).alias("_label_key")).agg(F.max(quality).alias("_good")).filter("_label_key is not null and _good is not null")
     base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    good = marks.filter("_good = 1").select("_label_key")
-    marked = base.join(good, F.col("_key") == F.col("_label_key"), "left").withColumn("_target", F.col("_label_key").isNotNull())
+    good = marks.filter("_good = 1").select("_label_key").orderBy(F.xxhash64(F.lit(seed), "_label_key"), "_label_key").limit(fit_rows)
+    marked = base.join(F.broadcast(good), F.col("_key") == F.col("_label_key"), "left").withColumn("_target", F.col("_label_key").isNotNull())
     ratios = log_ratios(ngram_counts(marked.select("_text", "_target")))
     kind = docs.select(F.col(key).alias("_key")).schema["_key"].dataType.simpleString()
 
