@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.shared import WORD, fresh_name, materialize, read, with_bucket_offsets
 
-#: Words that one bucket of a source's documents should hold.
-BUCKET_WORDS = 4_000_000
+#: Words that one bucket of a source's documents should hold, and the most buckets a source gets.
+BUCKET_WORDS = 100_000
+MOST_BUCKETS = 65_536
 WORD_START = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
@@ -72,7 +73,7 @@ def repetitions(docs: DataFrame, targets: DataFrame, source: str, key: str, seed
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"),
-        F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS)).cast("long").alias("_buckets"),
+        F.least(F.lit(MOST_BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / BUCKET_WORDS))).cast("long").alias("_buckets"),
     ).withColumn("rest", F.rint(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     mixed = docs.join(plan, F.col(source).eqNullSafe(F.col("_source")), "left")
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("_tie")), F.lit(2**62))
