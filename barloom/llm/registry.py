@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, mixing, packing, quality
+from barloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": quality.op4_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
     }
 
 
