@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
@@ -143,15 +143,56 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInPandas(verify, "a long, b long")
 
 
+def overlap_needed(s: str, t: str):
+    """How many shingles sets of these sizes must share to be similar enough: 3/7 of both sizes, for 75 %."""
+    share = PERCENT / (100 + PERCENT)
+    return F.ceil((F.col(s) + F.col(t)) * F.lit(share) - F.lit(1e-9))
+
+
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of nodes of different components that can be similar enough, from ``node, component, text``.
+
+    Shingles are put in one order, the rarest first. If sets of sizes s <= t must share o shingles,
+    the first s - o + 1 of the one and t - o + 1 of the other share one. A near copy that lies too far from
+    its hub has as many shingles of its own as its prefix is long, so a large group of near copies
+    makes few pairs here. Lists of a shingle and a class of sizes (steps of 2 %) whose nodes are all in
+    one component are left out before the pairs are made.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, component, text in zip(batch["node"], batch["component"], batch["text"], strict=True):
+                found = shingle_set(text)
+                yield pd.DataFrame({"node": node, "component": component, "size": len(found), "shingle": found.view(np.int64)})
+
+    rows = materialize(texts.mapInPandas(explode, "node long, component long, size long, shingle long"), "shingles")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("shingle", "common")
+    by_node = Window.partitionBy("node")
+    order = by_node.orderBy("df", "shingle")
+    ranked = rows.join(common, F.col("shingle") == F.col("common")).withColumn("place", F.col("size") - F.count(F.lit(1)).over(by_node) + F.row_number().over(order))
+    ranked = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * PERCENT / 100 - 1e-9) + 1)
+    ranked = materialize(ranked.select("node", "component", "size", "shingle", "place", F.floor(F.log("size") / np.log(1.02)).alias("class")), "prefixes")
+    index = ranked.withColumn("twin", F.col("size")).filter(F.col("place") <= F.col("size") - overlap_needed("size", "twin") + 1)
+    index = index.select(F.col("node").alias("s_node"), F.col("component").alias("s_component"), F.col("size").alias("s"), F.col("shingle").alias("s_shingle"), F.col("place").alias("s_place"), F.col("class").alias("s_class"))
+    lists = index.groupBy(F.col("s_shingle").alias("l_shingle"), F.col("s_class").alias("l_class")).agg(F.min("s").alias("low"), F.max("s").alias("high"), F.min("s_component").alias("c_low"), F.max("s_component").alias("c_high"))
+    fits = (F.col("low") <= F.col("size")) & (F.col("high") * 100 >= F.col("size") * PERCENT) & (F.col("place") <= F.col("size") - overlap_needed("size", "low") + 1)
+    other = (F.col("c_low") != F.col("component")) | (F.col("c_high") != F.col("component"))
+    probes = ranked.join(lists, (F.col("shingle") == F.col("l_shingle")) & fits & other)
+    sizes = (F.col("s") <= F.col("size")) & (F.col("s") * 100 >= F.col("size") * PERCENT) & (F.col("s_component") != F.col("component"))
+    places = (F.col("s_place") <= F.col("s") - overlap_needed("s", "size") + 1) & (F.col("place") <= F.col("size") - overlap_needed("s", "size") + 1)
+    pairs = probes.join(index, (F.col("l_shingle") == F.col("s_shingle")) & (F.col("l_class") == F.col("s_class")) & sizes & places)
+    return pairs.select(F.least("node", "s_node").alias("a"), F.greatest("node", "s_node").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: ``_key, _row, n_shingles, component_id, kept``.
 
     Documents with equal shingle sets are one node. Nodes that share a band are candidates. In
     each band's bucket the hub is the node that shares most bands with others; it is tried against
     every member, and components are built from the pairs that hold. What is left are members of
-    different components in one bucket; these pairs are all tried, in a second round, so no link
-    is lost to the hubs, and a large group of near copies is joined by its hubs first instead of
-    by all its pairs.
+    different components in one bucket. Their pairs are tried in a second round, but for those whose
+    rarest shingles rule it out (``prefix_pairs``), so no link is lost to the hubs, and a large group
+    of near copies is joined by its hubs instead of by all its pairs.
 
     Null texts and texts without words have no shingles and stay alone. ``component_id`` is the
     smallest id of the component; null ids come last. Of rows with the same smallest id the first in
@@ -179,10 +220,8 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     # members of a bucket that are in different components by now; buckets of two have had their pair
     placed = members.filter("n > 2").join(groups, F.col("node") == F.col("member"), "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("band").alias("open"))
-    placed = materialize(placed.join(open_bands, F.col("band") == F.col("open")).select("band", "node", "component"), "open")
-    left, right = (placed.select(*[F.col(c).alias(f"{c}_{x}") for c in placed.columns]) for x in "ab")
-    rest = left.join(right, (F.col("band_a") == F.col("band_b")) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")))
-    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    loose = materialize(placed.join(open_bands, F.col("band") == F.col("open")).select("node", "component").distinct(), "open")
+    rest = prefix_pairs(texts.join(loose.withColumnRenamed("node", "loose"), F.col("node") == F.col("loose")).select("node", "component", "text"))
     done = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
     more = materialize(verified(with_estimates(rest, reps), texts), "links")
