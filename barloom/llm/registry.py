@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from barloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op4_quality": quality.op4_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat": chat.ORACLE}
