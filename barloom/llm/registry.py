@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, url_filter
+from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_lm_score": lm_score.op2_lm_score,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_quality": quality.op4_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
