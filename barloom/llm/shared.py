@@ -97,7 +97,7 @@ def with_bucket_offsets(df: DataFrame, group: list[str], bucket: str, value: str
 class WordHashes(dict):
     """64-bit hashes of words, kept from one text to the next up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 60_000):
         super().__init__()
         self.most = most
 
