@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, packing, quality, substring_dedup, url_filter
+from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": lm_score.op2_lm_score,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_quality": quality.op4_quality,
+        "op5_nn_descent": nn_descent.op5_nn_descent,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
