@@ -1 +1 @@
-"""See the package README."""
+"""Part of barloom; see README.md."""

@@ -1,19 +1,380 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, each with the SQL that DuckDB runs for the same rows.
+
+Dates are compared as strings. Doubles are rounded to four places on both sides, or to six where means of cents end in a five, as the
+engines sum in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions.text import redact, report_line
+from barloom.operators import backtest, indicators, quality, strategies, tracking
+from barloom.plans import sql as S
+from barloom.sources import bars as B
+
+FLAG = F.concat("l_returnflag", "l_linestatus")
+SUPPLIER = F.col("l_suppkey").cast("string")
+SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
+SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
+DAY = "1998-08-01"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c, kind in df.dtypes if kind == "double"}).withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
+def query(name: str, sql: str | None = None, places: int = 4) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), places)
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.line_bars(spark, sf_dir, FLAG)
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.line_bars(spark, sf_dir, SUPPLIER)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.line_bars(spark, sf_dir, F.lit("INDEX"))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.signals(indicators.features(_flags(spark, sf_dir)))
+
+
+def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.market_regime(_index(spark, sf_dir))
+
+
+def r4(names: str, places: int = 4) -> str:
+    return ", ".join(f"round({x}, {places}) AS {x.split('.')[-1]}" for x in names.split())
+
+
+OHLC = "open high low close"
+FLAGS_SQL = "WITH " + S.bars(S.FLAG)
+SUPPLIERS_SQL = "WITH " + S.bars(S.SUPPLIER)
+
+
+@query("bars_daily", f"{SUPPLIERS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b")
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppliers(spark, sf_dir)
+
+
+EVENT_BARS = """e AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS time, first(value ORDER BY ts, event_id, value) AS open, max(value) AS high, min(value) AS low,
+  last(value ORDER BY ts, event_id, value) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"""
+
+
+@query("unit_rescale", f"WITH {EVENT_BARS}, k AS (SELECT ticker, CASE WHEN median(close) < 1000 THEN 1000.0 ELSE 1.0 END AS s FROM e GROUP BY 1) SELECT ticker, time, {', '.join(f'round({c} * s, 4) AS {c}' for c in OHLC.split())}, volume FROM e JOIN k USING (ticker)")
+def unit_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns({"hour": F.date_trunc("hour", "ts"), "one": F.lit(1)})
+    return B.rescale_units(B.derive_bars(events, F.col("event_type"), "hour", "value", "one", ["ts", "event_id"]))
+
+
+@query("bars_dedup", "SELECT ticker, time, round(close, 4) AS close, volume FROM (SELECT l_returnflag AS ticker, l_shipdate AS time, l_extendedprice AS close, CAST(trunc(l_quantity) AS BIGINT) AS volume, row_number() OVER (PARTITION BY l_returnflag, l_shipdate ORDER BY l_extendedprice, CAST(trunc(l_quantity) AS BIGINT)) AS n FROM lineitem) WHERE n = 1")
+def bars_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_shipdate").alias(" Date "), F.col("l_quantity").alias("VOL"), *[F.col("l_extendedprice").alias(p) for p in B.PRICES])
+    return B.normalise_bars(raw, F.col("l_returnflag")).select("ticker", "time", "close", "volume")
+
+
+@query("date_range_scan", f"{SUPPLIERS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b WHERE time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
+def date_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppliers(spark, sf_dir).filter("time between timestamp_ntz'1995-01-01' and timestamp_ntz'1995-12-31'")
+
+
+LIQUID_SQL = SUPPLIERS_SQL + ", " + S.LIQUID
+
+
+@query("liquidity_metrics", f"{LIQUID_SQL} SELECT ticker, time, {r4('trading_value avg_value_20d avg_volume_20d', 6)} FROM q", 6)
+def liquidity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.liquidity(_suppliers(spark, sf_dir)).select("ticker", "time", "trading_value", "avg_value_20d", "avg_volume_20d")
+
+
+SCREEN_SQL = LIQUID_SQL + ", " + S.screened(*SCREEN_ARGS)
+
+
+@query("quality_screen", f"{SCREEN_SQL} SELECT ticker, {r4('last_close avg_value_20d')}, n_bars, recent_active_days, rejection_reason FROM u")
+def quality_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.screen(_suppliers(spark, sf_dir), SCREENS)
+
+
+@query("rejection_breakdown", f"{SCREEN_SQL} SELECT rejection_reason, count(*) AS n FROM u GROUP BY 1")
+def rejection_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_screen(spark, sf_dir).groupBy("rejection_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("passed_universe_semi", f"{SCREEN_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b WHERE ticker IN (SELECT ticker FROM u WHERE rejection_reason = 'passed')")
+def passed_universe_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _suppliers(spark, sf_dir)
+    return quality.passed_bars(bars, quality.screen(bars, SCREENS))
+
+
+MEANS_SQL = FLAGS_SQL + ", " + S.MEANS
+STEPS_SQL = "WITH RECURSIVE " + S.bars(S.FLAG) + ", " + S.STEPS
+
+
+@query("sma_set", f"{MEANS_SQL} SELECT ticker, time, {r4('MA_20 MA_50 MA_200', 6)} FROM m", 6)
+def sma_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.moving_averages(_flags(spark, sf_dir)).select("ticker", "time", "MA_20", "MA_50", "MA_200")
+
+
+@query("bollinger", f"{MEANS_SQL} SELECT ticker, time, round(MA_20 + 2 * dev, 4) AS BB_UPPER_20, round(MA_20, 4) AS BB_MID_20, round(MA_20 - 2 * dev, 4) AS BB_LOWER_20 FROM m")
+def bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.bollinger(_flags(spark, sf_dir)).select("ticker", "time", "BB_UPPER_20", "BB_MID_20", "BB_LOWER_20")
+
+
+@query("ema_set", f"{STEPS_SQL} SELECT ticker, time, {r4('EMA_12 EMA_26')} FROM e")
+def ema_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.emas(_flags(spark, sf_dir)).select("ticker", "time", "EMA_12", "EMA_26")
+
+
+@query("macd", f"{STEPS_SQL} SELECT ticker, time, {r4('MACD_12_26_9 MACD_SIGNAL_9 MACD_HIST')} FROM e")
+def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.macd(_flags(spark, sf_dir)).select("ticker", "time", "MACD_12_26_9", "MACD_SIGNAL_9", "MACD_HIST")
+
+
+@query("rsi", f"{STEPS_SQL} SELECT ticker, time, {r4('RSI_14')} FROM e")
+def rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.rsi(_flags(spark, sf_dir)).select("ticker", "time", "RSI_14")
+
+
+@query("ichimoku", f"{MEANS_SQL} SELECT ticker, time, {r4('TENKAN_9 KIJUN_26')}, round(lag((TENKAN_9 + KIJUN_26) / 2, 26) OVER w, 4) AS SENKOU_A, round(lag(wide, 26) OVER w, 4) AS SENKOU_B, round(lead(close, 26) OVER w, 4) AS CHIKOU_VIZ FROM m WINDOW w AS (PARTITION BY ticker ORDER BY time)")
+def ichimoku(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.ichimoku(_flags(spark, sf_dir)).select("ticker", "time", "TENKAN_9", "KIJUN_26", "SENKOU_A", "SENKOU_B", "CHIKOU_VIZ")
+
+
+@query("adx_di_atr", f"{STEPS_SQL} SELECT ticker, time, {r4('ADX_14 DI_PLUS_14 DI_MINUS_14 ATR_14')} FROM e")
+def adx_di_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.adx(_flags(spark, sf_dir)).select("ticker", "time", "ADX_14", "DI_PLUS_14", "DI_MINUS_14", "ATR_14")
+
+
+@query("swing_points", f"{FLAGS_SQL}, {S.SWINGS} SELECT ticker, time, SWING_HIGH, SWING_LOW FROM sw")
+def swing_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.swings(_flags(spark, sf_dir)).select("ticker", "time", "SWING_HIGH", "SWING_LOW")
+
+
+@query("order_blocks", f"{FLAGS_SQL}, {S.BLOCKS} SELECT ticker, time, OB_BULL, OB_BEAR, round(CASE WHEN OB_BULL OR OB_BEAR THEN high END, 4) AS OB_HIGH, round(CASE WHEN OB_BULL OR OB_BEAR THEN low END, 4) AS OB_LOW FROM ob")
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.order_blocks(_flags(spark, sf_dir)).select("ticker", "time", "OB_BULL", "OB_BEAR", "OB_HIGH", "OB_LOW")
+
+
+@query("market_structure", f"{FLAGS_SQL}, {S.SWINGS}, {S.STRUCTURE} SELECT * FROM st")
+def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.market_structure(_flags(spark, sf_dir)).select("ticker", "time", "BOS_BULL", "CHOCH_BULL", "BOS_BEAR", "CHOCH_BEAR")
+
+
+ALL_SQL = "WITH RECURSIVE " + S.ALL
+
+
+def _one_signal(name: str) -> None:
+    @query(name.lower(), f"{ALL_SQL} SELECT ticker, time, {name} FROM sg")
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _signals(spark, sf_dir).select("ticker", "time", name)
+
+
+for _name in strategies.SIGNALS:
+    _one_signal(_name)
+
+
+@query("fire_rates", f"{ALL_SQL} SELECT ticker, {', '.join(f'round(avg(CAST({s} AS INTEGER)), 4) AS {s}' for s in strategies.SIGNALS)} FROM sg GROUP BY 1")
+def fire_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir).groupBy("ticker").agg(*[F.avg(F.col(s).cast("int")).alias(s) for s in strategies.SIGNALS])
+
+
+REGIME_SQL = "WITH RECURSIVE " + S.REGIME
+
+
+@query("market_regime", f"{REGIME_SQL} SELECT CAST(date AS VARCHAR) AS date, {r4('index_close index_ma200 index_adx', 6)}, regime FROM rr", 6)
+def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _regime(spark, sf_dir)
+
+
+@query("regime_gated_signals")
+def regime_gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = strategies.gate_history(strategies.with_regime(_signals(spark, sf_dir), _regime(spark, sf_dir)))
+    return rows.select("ticker", "time", "regime", *strategies.SIGNALS)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = strategies.latest(_signals(spark, sf_dir)).withColumn("regime", F.lit("UNKNOWN"))
+    return strategies.position_size(strategies.risk_levels(strategies.score(rows)))
+
+
+POINTS = """CASE WHEN SIG_GOLDEN THEN 2.0 ELSE 0 END + CASE WHEN SIG_ICHIMOKU THEN 1.5 ELSE 0 END + CASE WHEN SIG_SMC THEN 0.5 ELSE 0 END + CASE WHEN ADX_14 > 30 THEN 0.5 ELSE 0 END
+  + CASE WHEN RSI_14 BETWEEN 40 AND 60 THEN 0.3 ELSE 0 END - CASE WHEN close < MA_200 THEN 1.0 ELSE 0 END - CASE WHEN RSI_14 > 75 THEN 0.5 ELSE 0 END"""
+SCORED = f"""{ALL_SQL}, l AS (SELECT *, CAST(round({POINTS}, 4) AS DOUBLE) AS score, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2
+  FROM sg WHERE time = (SELECT max(time) FROM b)),
+z AS (SELECT *, CASE WHEN close - STOP_LOSS > 0 THEN CAST(floor(least(1e9 * 0.01 / (close - STOP_LOSS), 1e9 * 0.2 / close)) AS BIGINT) ELSE 0 END AS shares FROM l)"""
+
+
+@query("score_snapshot", f"{SCORED} SELECT ticker, time, score, STOP_LOSS, TARGET_1, TARGET_2, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS signals_fired FROM z")
+def score_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("ticker", "time", "score", "STOP_LOSS", "TARGET_1", "TARGET_2", "signals_fired")
+
+
+@query("position_sizing", f"{SCORED} SELECT ticker, CAST(shares AS BIGINT) AS shares, round(shares * close, 4) AS position_value FROM z")
+def position_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("ticker", "shares", "position_value")
+
+
+@query(
+    "top_sector_capped",
+    f"""{SUPPLIERS_SQL}, {S.MEANS}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY time DESC) AS k FROM m),
+    sc AS (SELECT a.ticker, coalesce(n_name, 'Unknown') AS sector, round(a.close / a.MA_20, 4) AS score FROM a JOIN supplier ON CAST(s_suppkey AS VARCHAR) = a.ticker LEFT JOIN nation ON n_nationkey = s_nationkey WHERE k = 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY score DESC, ticker) AS c FROM sc) SELECT ticker, sector, score FROM t WHERE c <= 2 ORDER BY score DESC, ticker LIMIT 10""",
+)
+def top_sector_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = indicators.tail(indicators.moving_averages(_suppliers(spark, sf_dir)), 1)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    sectors = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("n_name").alias("sector"))
+    scored = strategies.with_sector(bars, sectors).withColumn("score", F.round(F.col("close") / F.col("MA_20"), 4))
+    return strategies.capped_top(scored).select("ticker", "sector", "score")
+
+
+TRADES_SQL = f"{ALL_SQL}, {S.TRADES}"
+
+
+@query("trades_nonoverlap", f"{TRADES_SQL} SELECT strategy, holding_days, ticker, idx, time, round(ret, 4) AS ret FROM tr")
+def trades_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.trades(_signals(spark, sf_dir))
+
+
+@query("equity_drawdown", f"{TRADES_SQL} SELECT strategy, holding_days, ticker, idx, time, {r4('ret equity drawdown')} FROM dd")
+def equity_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.drawdowns(backtest.trades(_signals(spark, sf_dir)))
+
+
+METRICS = "win_rate avg_return profit_factor max_drawdown sharpe_ratio"
+
+
+@query("backtest_matrix", f"{TRADES_SQL} SELECT strategy, holding_days, n_trades, {r4(METRICS)} FROM mt")
+def backtest_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.metrics(backtest.trades(_signals(spark, sf_dir)))
+
+
+@query("best_strategies", f"{TRADES_SQL} SELECT strategy, holding_days, n_trades, {r4(METRICS)} FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY sharpe_ratio DESC, holding_days) AS k FROM mt WHERE (win_rate > 51 AND profit_factor > 1.2 AND max_drawdown < 40 AND n_trades >= 50) OR (win_rate > 60 AND profit_factor > 2 AND max_drawdown < 20 AND n_trades >= 10)) WHERE k = 1")
+def best_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.best_strategies(backtest.metrics(backtest.trades(_signals(spark, sf_dir))))
+
+
+@query("backtest_by_year")
+def backtest_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.by_year(_signals(spark, sf_dir), "SIG_MOMENTUM", 5, (1992, 1999))
+
+
+@query("snapshot_last_nonnull", f"{MEANS_SQL}, c AS (SELECT *, lead(close, 26) OVER (PARTITION BY ticker ORDER BY time) AS CHIKOU_VIZ FROM m) SELECT ticker, max(time) AS time, {', '.join(f'round(arg_max({c}, time) FILTER ({c} IS NOT NULL), 4) AS {c}' for c in ('close', 'TENKAN_9', 'KIJUN_26', 'CHIKOU_VIZ'))} FROM c GROUP BY 1")
+def snapshot_last_nonnull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.snapshot(indicators.ichimoku(_flags(spark, sf_dir)).select("ticker", "time", "close", "TENKAN_9", "KIJUN_26", "CHIKOU_VIZ"))
+
+
+@query("tail_lookback", f"{FLAGS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY time DESC) AS k FROM b) WHERE k <= 260")
+def tail_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.tail(_flags(spark, sf_dir))
+
+
+@query("price_splice", f"""{FLAGS_SQL}, a AS (SELECT * FROM b WHERE time >= TIMESTAMP '1996-01-01'), o AS (SELECT ticker, time, open / 2 AS open, high / 2 AS high, low / 2 AS low, close / 2 AS close, volume FROM b),
+    s AS (SELECT ticker, min(time) AS f, count(*) AS n, max(time) AS l FROM a GROUP BY 1), k AS (SELECT ticker, f FROM s WHERE n < greatest(1, floor(date_diff('day', DATE '1992-01-01', CAST(l AS DATE)) * 252 / 365)) * 0.8),
+    v AS (SELECT a.ticker, a.close / o.close AS r FROM a JOIN s ON s.ticker = a.ticker AND a.time = s.f JOIN o ON o.ticker = a.ticker AND o.time = s.f WHERE o.close > 0 AND a.close > 0)
+    SELECT ticker, time, {r4(OHLC)}, volume FROM a UNION ALL SELECT o.ticker, o.time, {', '.join(f'round(o.{c} * coalesce(r, 1), 4)' for c in OHLC.split())}, o.volume FROM o JOIN k ON k.ticker = o.ticker LEFT JOIN v ON v.ticker = o.ticker WHERE o.time < f""")
+def price_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _flags(spark, sf_dir)
+    older = bars.withColumns({p: F.col(p) / 2 for p in B.PRICES})
+    return B.splice(bars.filter("time >= timestamp_ntz'1996-01-01'"), older, "1992-01-01")
+
+
+@query("delta_merge", f"{FLAGS_SQL}, n AS (SELECT * FROM b WHERE time >= TIMESTAMP '1997-01-01' AND ticker != 'RF'), f AS (SELECT ticker, min(time) AS f FROM n GROUP BY 1) SELECT ticker, time, {r4(OHLC)}, volume FROM n UNION ALL SELECT b.ticker, b.time, {r4('b.open b.high b.low b.close')}, b.volume FROM b LEFT JOIN f USING (ticker) WHERE f IS NULL OR b.time < f")
+def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _flags(spark, sf_dir)
+    return B.merge_delta(bars, bars.filter("time >= timestamp_ntz'1997-01-01' and ticker <> 'RF'"))
+
+
+@query("freshness", f"{SUPPLIERS_SQL}, l AS (SELECT ticker, max(time) AS t FROM b GROUP BY 1) SELECT count(*) FILTER (t >= TIMESTAMP '{DAY}') AS fresh, count(*) FILTER (t < TIMESTAMP '{DAY}') AS stale, max(t) AS newest FROM l")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.freshness(_suppliers(spark, sf_dir), DAY)
+
+
+@query("listing_normalise", "SELECT ticker, min(exchange) AS exchange FROM (SELECT upper(trim(p_brand[7:])) AS ticker, upper(trim(p_type)) AS exchange FROM part) WHERE length(ticker) <= 4 AND exchange IN (SELECT DISTINCT upper(trim(p_type)) FROM part WHERE p_type IS NOT NULL) GROUP BY 1")
+def listing_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("substring(p_brand, 7)").alias(" Symbol"), F.col("p_type").alias("EXCHANGE"))
+    types = part.select(F.upper(F.trim("EXCHANGE"))).distinct().limit(1000).toPandas().iloc[:, 0].tolist()
+    return B.normalise_listing(part, types)
+
+
+@query("redact_text", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)https://api\.telegram\.org/bot[^/\s]+', 'https://api.telegram.org/bot[REDACTED_TOKEN]', 'g'), '\b[0-9]{8,11}:[A-Za-z0-9_-]{35,}\b', '[REDACTED_TOKEN]', 'g')) AS digest FROM documents")
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.sha2(redact(F.col("text")), 256).alias("digest"))
+
+
+def _tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tracker made from one day's bars in six."""
+    bars = _flags(spark, sf_dir).filter("dayofmonth(time) = 1 and month(time) % 6 = 0")
+    none = {"result": "string", "days_held": "int", "exit_price": "double", "exit_date": "date", "note": "string"}
+    return bars.select(F.to_date("time").alias("signal_date"), "ticker", F.lit("Unknown").alias("sector"), F.lit("-").alias("signals_fired"), F.lit(1.0).alias("score"), F.col("close").alias("entry_price"), (F.col("close") * 0.5).alias("STOP_LOSS"), (F.col("close") * 1.5).alias("TARGET_1"), (F.col("close") * 2).alias("TARGET_2"), F.lit(0.0).alias("return_pct"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+
+
+TRACKER_SQL = f"""{FLAGS_SQL}, t AS (SELECT CAST(time AS DATE) AS d, ticker, close AS entry FROM b WHERE day(time) = 1 AND month(time) % 6 = 0),
+p AS (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1), h AS (SELECT t.ticker, t.d, count(b.time) AS held FROM t LEFT JOIN b ON b.ticker = t.ticker AND CAST(b.time AS DATE) > t.d GROUP BY 1, 2),
+s AS (SELECT t.d AS signal_date, t.ticker, CASE WHEN price >= entry * 1.5 THEN 'WIN' WHEN price <= entry * 0.5 AND entry * 0.5 > 0 THEN 'LOSS' WHEN held >= 20 THEN CASE WHEN price > entry THEN 'WIN' ELSE 'LOSS' END ELSE 'HOLDING' END AS result, CAST(held AS INTEGER) AS days_held FROM t JOIN p USING (ticker) JOIN h ON h.ticker = t.ticker AND h.d = t.d)"""
+
+
+@query("tracker_status", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, result, days_held FROM s")
+def tracker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)).select("signal_date", "ticker", "result", "days_held")
+
+
+@query("weekly_metrics", f"{TRACKER_SQL} SELECT count(*) AS total, count(*) FILTER (result = 'HOLDING') AS holding, count(*) FILTER (result = 'WIN') AS wins, count(*) FILTER (result = 'LOSS') AS losses, count(*) FILTER (result != 'HOLDING') AS closed, round(count(*) FILTER (result = 'WIN') / count(*) FILTER (result != 'HOLDING') * 100, 4) AS win_rate, 0.0 AS avg_return, count(*) FILTER (signal_date >= DATE '{DAY}' - 7) AS new_signals FROM s")
+def weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.weekly(tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)), DAY)
+
+
+@query("tracker_upsert")
+def tracker_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
+    last = _flags(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "time").alias("close"))
+    return tracking.upsert(_tracker(spark, sf_dir), top, last, DAY)
+
+
+@query("note_restore", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, CASE WHEN ticker = 'RF' THEN 'mine' ELSE '' END AS note FROM s")
+def note_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tracker(spark, sf_dir)
+    notes = rows.filter("ticker = 'RF'").select("signal_date", "ticker", F.lit(" mine ").alias("note"))
+    return tracking.restore_notes(rows, notes).select("signal_date", "ticker", "note")
+
+
+@query("load_plan", f"{SUPPLIERS_SQL}, l AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS ticker, 'X' AS exchange FROM supplier), m AS (SELECT ticker, CAST(max(time) AS DATE) AS d, count(*) AS n FROM b GROUP BY 1) SELECT l.ticker, l.exchange, coalesce(n, 0) AS total_rows, CAST(CAST(CASE WHEN d IS NULL THEN DATE '2016-01-01' WHEN d >= DATE '{DAY}' THEN DATE '{DAY}' ELSE d + 1 END AS DATE) AS VARCHAR) AS fetch_start, CASE WHEN d IS NULL THEN 'full_load' ELSE 'delta_updated' END AS status FROM l LEFT JOIN m USING (ticker)")
+def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("ticker"), F.lit("X").alias("exchange")).distinct()
+    return B.load_plan(listing, _suppliers(spark, sf_dir), DAY)
+
+
+@query("report_lines")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
+    return strategies.capped_top(top).select("ticker", report_line().alias("line"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return top_sector_capped(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
