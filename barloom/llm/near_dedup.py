@@ -94,8 +94,8 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                 regs.append(registers_of(s).tobytes() if len(s) else None)
             yield batch[["_key", "_row"]].assign(n_shingles=sizes, set_hash=hashes, registers=regs)
 
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    return base.mapInPandas(sketch, f"_key {kind}, _row long, n_shingles long, set_hash binary, registers binary")
+    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    return base.mapInPandas(sketch, "_key string, _row long, n_shingles long, set_hash binary, registers binary").withColumn("_key", F.col("_key").cast(kind))
 
 
 def bands(reps: DataFrame) -> DataFrame:

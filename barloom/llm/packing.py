@@ -17,7 +17,7 @@ END_ID = 2
 #: Tokens a group should hold: about a thousand sequences, packed by one task.
 GROUP_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 
 
 class WordIds(dict):
@@ -130,12 +130,12 @@ def token_pieces(docs: DataFrame, text: str, key: str, tokenizer: str, sequence:
             for at in range(0, len(batch), 512):
                 some = batch.iloc[at : at + 512]
                 rows = []
-                for k, ids in zip(some["_key"].array, encoder.encode(list(some["_text"])), strict=True):
+                for k, ids in zip(some["_key"], encoder.encode(list(some["_text"])), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     rows += [(k, start, len(part := ids[start : start + sequence]), len(ids), part.tobytes()) for start in range(0, len(ids), sequence)]
-                yield pd.DataFrame(rows, columns=["_key", "start", "length", "doc_tokens", "ids"]).astype({"_key": some["_key"].dtype})
+                yield pd.DataFrame(rows, columns=["_key", "start", "length", "doc_tokens", "ids"])
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(cut, f"_key {kind}, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text")).mapInPandas(cut, "_key string, start long, length long, doc_tokens long, ids binary").withColumn("_key", F.col("_key").cast(kind))
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,16 +176,18 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, group_tokens: int =
     """
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_tokens))
-    columns = [c for c in pieces.columns]
+    columns = pieces.columns
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_key").cast("string"), "start", "length", F.monotonically_increasing_id()), F.lit(groups)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    kind = pieces.schema["_key"].dataType.simpleString()
+    dealt = dealt.withColumn("_key", F.col("_key").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(columns).schema) + ", sequence_id long, offset long"
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_key", "start"], kind="stable").reset_index(drop=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), sequence)
         return rows[columns].assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
-    return dealt.groupBy("_group").applyInPandas(pack, schema)
+    return dealt.groupBy("_group").applyInPandas(pack, schema).withColumn("_key", F.col("_key").cast(kind))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", keep_ids: bool = True, sequence: int = SEQUENCE) -> DataFrame:

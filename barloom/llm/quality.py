@@ -96,9 +96,9 @@ def importance_weights(docs: DataFrame, labels: DataFrame, text: str = "text", k
     good if any label says so.
     """
     marks = labels.groupBy(F.col(key).alias("_label_key")).agg(F.max(quality).alias("_good")).filter("_label_key is not null and _good is not null")
-    base = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     good = marks.filter("_good = 1").select("_label_key").orderBy(F.xxhash64(F.lit(seed), "_label_key"), "_label_key").limit(fit_rows)
-    marked = base.join(F.broadcast(good), F.col("_key") == F.col("_label_key"), "left").withColumn("_target", F.col("_label_key").isNotNull())
+    marked = base.join(F.broadcast(good), F.col("_key") == F.col("_label_key").cast("string"), "left").withColumn("_target", F.col("_label_key").isNotNull())
     ratios = log_ratios(ngram_counts(marked.select("_text", "_target")))
     kind = docs.select(F.col(key).alias("_key")).schema["_key"].dataType.simpleString()
 
@@ -106,7 +106,7 @@ def importance_weights(docs: DataFrame, labels: DataFrame, text: str = "text", k
         for batch in batches:
             yield batch[["_key", "_row"]].assign(log_weight=[float(ratios[buckets_of(t)].sum()) for t in batch["_text"]])
 
-    weights = base.mapInPandas(weigh, f"_key {kind}, _row long, log_weight double")
+    weights = base.mapInPandas(weigh, "_key string, _row long, log_weight double").withColumn("_key", F.col("_key").cast(kind))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("_key").cast("string"), F.col("_row")), F.lit(2**52)) + 0.5) / F.lit(2.0**52)
     n, share = marks.agg(F.count(F.lit(1)), F.avg("_good")).first()
     share = min(1.0, share + MARGIN * (share * (1 - share) / n) ** 0.5) if n else 1.0
