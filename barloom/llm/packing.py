@@ -17,7 +17,7 @@ END_ID = 2
 #: Tokens a group should hold: about a thousand sequences, packed by one task.
 GROUP_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 
 class WordIds(dict):
@@ -34,6 +34,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.marks = {ord(m): self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -49,12 +50,33 @@ class WordIds(dict):
         return code
 
     def learn(self) -> None:
-        """Encode the words met since the last call.
+        """Find the ids of the words met since the last call; a known word of letters with a full stop or comma isn't encoded anew."""
+        self.pending, new = [], self.pending
+        known = [self.get(w[:-1], self.known) if w[-1] in self.marks and w[-2:-1].isalpha() else self.known for w in new]
+        built = np.array(known) < self.known
+        cores = np.array(known)[built]
+        self.place(np.flatnonzero(built), cores, [self.marks[new[i][-1]] for i in np.flatnonzero(built)], self.encoded([w.decode() for w, b in zip(new, built, strict=True) if not b]), len(new))
+
+    def place(self, built: np.ndarray, cores: np.ndarray, marks: list[int], rest: tuple[np.ndarray, np.ndarray], n: int) -> None:
+        """Append the ids of ``n`` new words: those of a known word and its stop, and those just encoded."""
+        count = self.starts[cores + 1] - self.starts[cores]
+        lengths = np.zeros(n, np.int64)
+        lengths[built] = count + 1
+        others = np.setdiff1d(np.arange(n), built, assume_unique=True)
+        lengths[others] = rest[1]
+        first = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), np.uint32)
+        out[ragged(first[built], count)] = self.flat[ragged(self.starts[cores], count)]
+        out[first[built] + count] = marks
+        out[ragged(first[others], rest[1])] = rest[0]
+        self.append(out, lengths)
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has.
 
         A run of letters is one unit of the tokenizer, and with full stops or commas behind it two, so
         such words are encoded joined by spaces, and units tell their ids apart. Others go one by one.
         """
-        words = [w.decode() for w in self.pending]
         cores = [w.rstrip(".,") for w in words]
         units = np.fromiter((c.isalpha() and 1 + (len(c) < len(w)) for c, w in zip(cores, words, strict=True)), np.int64, len(words))
         lengths, ids = np.zeros(len(words), np.int64), [np.empty(0, np.uint32)] * len(words)
@@ -76,8 +98,7 @@ class WordIds(dict):
         order, found = np.concatenate([*order, rest]), np.concatenate([*blocks, *ids, np.empty(0, np.uint32)])
         first = np.zeros(len(words), np.int64)
         first[order] = np.cumsum(lengths[order]) - lengths[order]
-        self.append(found[ragged(first, lengths)], lengths)
-        self.pending = []
+        return found[ragged(first, lengths)], lengths
 
     def append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         total = int(self.starts[self.known])
