@@ -16,8 +16,6 @@ from barloom.operators import backtest, indicators, quality, strategies, trackin
 from barloom.plans import sql as S
 from barloom.sources import bars as B
 
-FLAG = F.concat("l_returnflag", "l_linestatus")
-SUPPLIER = F.col("l_suppkey").cast("string")
 SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
 SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
 DAY = "1998-08-01"
@@ -42,11 +40,11 @@ def query(name: str, sql: str | None = None, places: int = 4) -> Callable[[Query
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.line_bars(spark, sf_dir, FLAG)
+    return B.line_bars(spark, sf_dir, F.concat("l_returnflag", "l_linestatus"))
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.line_bars(spark, sf_dir, SUPPLIER)
+    return B.line_bars(spark, sf_dir, F.col("l_suppkey").cast("string"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
