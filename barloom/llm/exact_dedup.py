@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import SPACE, fresh_name, materialize, read, shuffle_width
+from barloom.llm.shared import SPACE, fresh_name, materialize, read, row_place, shuffle_width
 
 #: What must agree for two texts to count as equal: two unrelated digests and the length.
 DIGEST = ["_sha", "_check", "_length"]
@@ -17,7 +17,7 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return (
         docs.select(F.col(key).alias("_key"), normal.alias("_text"))
         .select("_key", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.xxhash64("_text").alias("_check"), F.octet_length("_text").alias("_length"))
-        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_row", row_place(docs))
     )
 
 
@@ -85,7 +85,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", fan_in
     docs = docs if stable else materialize(docs, "docs")
     row = fresh_name(docs, "row_number")
     dropped = exact_classes(docs, text, key, fan_in).filter("not kept").select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    return docs.withColumn(row, row_place(docs)).join(dropped, row, "left_anti").drop(row)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import WORD, fresh_name, materialize, read, with_bucket_offsets
+from barloom.llm.shared import WORD, fresh_name, materialize, read, row_place, with_bucket_offsets
 
 #: Words that one bucket of a source's documents should hold, and the most buckets a source gets.
 BUCKET_WORDS = 100_000
@@ -98,7 +98,7 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     gives the same mix.
     """
     sized = docs.select(F.col(key).alias("_key"), F.col(source).alias("_src"), text_size(text).alias("size"), F.xxhash64(F.col(text)).alias("_tie"))
-    sized = materialize(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    sized = materialize(sized.withColumn("_row", row_place(docs)), "sizes")
     sources = materialize(cycled_weights(sized.groupBy("_src").agg(F.sum("size").alias("source_size")), "_src"), "sources")
     return repetitions(sized, water_fill(sources, max_epochs=max_epochs), "_src", "_key", seed).drop("_tie")
 
@@ -114,7 +114,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     row, repeats, part, copy = (fresh_name(docs, x) for x in ("row_number", "repeats", "part", "copy"))
     plan = mix_plan(docs, text, source, key, max_epochs, seed).filter("taken > 0")
     plan = plan.select(F.col("_row").alias(row), F.col("repeats").alias(repeats), F.col("part").alias(part))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(plan, row)
+    joined = docs.withColumn(row, row_place(docs)).join(plan, row)
     last = F.col(repeats) + (F.col(part) > 0).cast("long")
     rows = joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), last)))
     pieces = F.split(F.col(text), WORD_START)  # each word with the white space after it

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
-from barloom.llm.shared import WordHashes, fresh_name, materialize, mix64, read, rolling_hash, words_of
+from barloom.llm.shared import WordHashes, fresh_name, materialize, mix64, read, rolling_hash, row_place, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
                 regs.append(registers_of(s).tobytes() if len(s) else None)
             yield batch[["_key", "_row"]].assign(n_shingles=sizes, set_hash=hashes, registers=regs)
 
-    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), row_place(docs).alias("_row"))
     return base.mapInPandas(sketch, "_key string, _row long, n_shingles long, set_hash binary, registers binary").withColumn("_key", F.col("_key").cast(kind))
 
 
@@ -212,7 +212,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     tried = ranked.join(hubs, (F.col("band") == F.col("hub_band")) & (F.col("node") != F.col("a"))).select("a", F.col("node").alias("b")).distinct()
 
     involved = members.select(F.col("node").alias("_node")).distinct()
-    source = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("node"))
+    source = docs.select(F.col(text).alias("text"), row_place(docs).alias("node"))
     texts = materialize(source.join(involved, F.col("node") == F.col("_node"), "left_semi"), "candidates")
     links = materialize(verified(with_estimates(tried, reps), texts), "links")
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "member")
@@ -240,7 +240,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", stable:
     docs = docs if stable else materialize(docs, "docs")
     row = fresh_name(docs, "row_number")
     kept = near_classes(docs, text, key).filter("kept").select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    return docs.withColumn(row, row_place(docs)).join(kept, row, "left_semi").drop(row)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

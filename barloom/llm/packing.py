@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import materialize, read
+from barloom.llm.shared import materialize, read, row_place
 
 SEQUENCE = 4096
 END_ID = 2
@@ -198,7 +198,7 @@ def pack_pieces(pieces: DataFrame, sequence: int = SEQUENCE, group_tokens: int =
     total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_tokens))
     columns = pieces.columns
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_key").cast("string"), "start", "length", F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("_key").cast("string"), "start", "length", row_place(pieces)), F.lit(groups)))
     kind = pieces.schema["_key"].dataType.simpleString()
     dealt = dealt.withColumn("_key", F.col("_key").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(columns).schema) + ", sequence_id long, offset long"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import WordHashes, fresh_name, materialize, mix64, read
+from barloom.llm.shared import WordHashes, fresh_name, materialize, mix64, read, row_place
 
 #: Buckets of hashed n-grams; a model is one float each, so models are broadcast.
 BUCKETS = 1 << 16
@@ -96,7 +96,7 @@ def importance_weights(docs: DataFrame, labels: DataFrame, text: str = "text", k
     good if any label says so.
     """
     marks = labels.groupBy(F.col(key).alias("_label_key")).agg(F.max(quality).alias("_good")).filter("_label_key is not null and _good is not null")
-    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    base = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), row_place(docs).alias("_row"))
     good = marks.filter("_good = 1").select("_label_key").orderBy(F.xxhash64(F.lit(seed), "_label_key"), "_label_key").limit(fit_rows)
     marked = base.join(F.broadcast(good), F.col("_key") == F.col("_label_key").cast("string"), "left").withColumn("_target", F.col("_label_key").isNotNull())
     ratios = log_ratios(ngram_counts(marked.select("_text", "_target")))
@@ -155,7 +155,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     docs = docs if stable else materialize(docs, "docs")
     row = fresh_name(docs, "row_number")
     kept = quality_decisions(docs, labels, text, key, share=share, seed=seed).filter("kept").select(F.col("_row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    return docs.withColumn(row, row_place(docs)).join(kept, row, "left_semi").drop(row)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

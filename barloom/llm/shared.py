@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_place(df: DataFrame) -> Column:
+    """A number for every row: its place in the files that ``df`` reads, the same at each reading.
+
+    Spark cuts files into splits by the number of cores it has, which changes as executors come and
+    go. Two readings must agree, so the session keeps the number that it had at the first one.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    if not conf.get(key, None):
+        conf.set(key, str(df.sparkSession.sparkContext.defaultParallelism))
+    return F.monotonically_increasing_id()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialize`` made and nothing reads any more."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.components import connected_components
-from barloom.llm.shared import materialize, read
+from barloom.llm.shared import materialize, read, row_place
 
 #: Rules up to this many go into the plan as a literal; longer lists are joined by host.
 LITERAL_RULES = 1_000
@@ -89,7 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     gives no rows, repeated rows are judged alike.
     """
     base = pages.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node"))
-    judged = with_rules(base.withColumn("_row", F.monotonically_increasing_id()), rules, "_row")
+    judged = with_rules(base.withColumn("_row", row_place(pages)), rules, "_row")
     edges = link_edges(pages, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("source")).alias("a"), node_of(resolved(F.col("source"), F.col("target"))).alias("b")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, url_filter
 from barloom.llm.components import connected_components
-from barloom.llm.shared import materialize
+from barloom.llm.shared import materialize, row_place
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _key string, _row string"
 WORDS = [f"w{i:04d}" for i in range(400)]
@@ -268,3 +268,14 @@ def test_pipeline_stages(spark):
             assert out.count() <= docs.count() and out.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
         docs = out
     assert ids >= 200 and docs.agg(F.max("length")).first()[0] <= 4096
+
+
+def test_row_places_outlast_a_change_of_cores(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(200_000).repartition(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    first = rows.select("id", row_place(rows).alias("place"))
+    pinned = spark.conf.get("spark.sql.files.minPartitionNum")
+    assert pinned == str(spark.sparkContext.defaultParallelism)
+    again = rows.select(F.col("id").alias("other"), row_place(rows).alias("place"))
+    assert first.join(again, "place").filter("id <> other").count() == 0
