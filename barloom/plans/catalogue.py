@@ -201,7 +201,11 @@ def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regime(spark, sf_dir)
 
 
-@query("regime_gated_signals")
+GATED_SQL = f"""{ALL_SQL}, days AS (WITH RECURSIVE {S.REGIME} SELECT date, regime AS of_day FROM rr),
+gt AS (SELECT sg.*, coalesce(of_day, 'UNKNOWN') AS regime FROM sg LEFT JOIN days ON days.date = CAST(sg.time AS DATE))"""
+
+
+@query("regime_gated_signals", f"{GATED_SQL} SELECT ticker, time, regime, SIG_SMC AND regime != 'BEAR' AS SIG_SMC, SIG_ICHIMOKU AND regime != 'BEAR' AS SIG_ICHIMOKU, SIG_MOMENTUM, SIG_GOLDEN AND regime = 'BULL' AS SIG_GOLDEN, SIG_OB FROM gt")
 def regime_gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = strategies.gate_history(strategies.with_regime(_signals(spark, sf_dir), _regime(spark, sf_dir)))
     return rows.select("ticker", "time", "regime", *strategies.SIGNALS)
@@ -269,7 +273,18 @@ def best_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.best_strategies(backtest.metrics(backtest.trades(_signals(spark, sf_dir))))
 
 
-@query("backtest_by_year")
+YEARS_SQL = f"""{ALL_SQL}, y0 AS (SELECT ticker, time, year(time) AS y, row_number() OVER w - 1 AS i, lead(open, 1) OVER w AS entry, lead(open, 6) OVER w AS exit_, SIG_MOMENTUM FROM sg WINDOW w AS (PARTITION BY ticker, year(time) ORDER BY time)),
+y1 AS (SELECT * FROM y0 WHERE SIG_MOMENTUM AND entry > 0 AND exit_ > 0),
+y2 AS (SELECT a.*, (SELECT min(z.i) FROM y1 z WHERE z.ticker = a.ticker AND z.y = a.y AND z.i >= a.i + 5) AS nxt FROM y1 a),
+y3 AS (SELECT ticker, y, min(i) AS i FROM y2 GROUP BY ALL UNION ALL SELECT y2.ticker, y2.y, y2.nxt FROM y3 JOIN y2 USING (ticker, y, i) WHERE y2.nxt IS NOT NULL),
+y4 AS (SELECT y, ticker, time, exit_ / entry - 1 - 0.005 AS ret FROM y3 JOIN y2 USING (ticker, y, i)),
+y5 AS (SELECT *, exp(sum(ln(1 + ret)) OVER w) AS equity FROM y4 WINDOW w AS (PARTITION BY y ORDER BY ticker, time ROWS UNBOUNDED PRECEDING)),
+y6 AS (SELECT *, equity / max(equity) OVER w - 1 AS drawdown FROM y5 WINDOW w AS (PARTITION BY y ORDER BY ticker, time ROWS UNBOUNDED PRECEDING)),
+y7 AS (SELECT y, count(*) AS n, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) * 100 AS win_rate, avg(ret) * 100 AS avg_return, CASE WHEN sum(least(ret, 0)) = 0 THEN 999.0 ELSE sum(greatest(ret, 0)) / abs(sum(least(ret, 0))) END AS profit_factor,
+  abs(min(drawdown)) * 100 AS max_drawdown, CASE WHEN stddev_samp(ret) = 0 THEN 0.0 ELSE (avg(ret) - 0.045 * 5 / 252) / nullif(stddev_samp(ret), 0) * sqrt(252.0 / 5) END AS sharpe_ratio FROM y6 GROUP BY y)"""
+
+
+@query("backtest_by_year", f"{YEARS_SQL} SELECT CAST(k.y AS INTEGER) AS year, coalesce(n, 0) AS n_trades, {r4('win_rate avg_return profit_factor max_drawdown sharpe_ratio')} FROM range(1992, 2000) k(y) LEFT JOIN y7 ON y7.y = k.y")
 def backtest_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.by_year(_signals(spark, sf_dir), "SIG_MOMENTUM", 5, (1992, 1999))
 
@@ -340,7 +355,15 @@ def weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.weekly(tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)), DAY)
 
 
-@query("tracker_upsert")
+UPSERT_SQL = f"""{SCORED}, w0 AS (SELECT CAST(time AS DATE) AS signal_date, ticker, 'Unknown' AS sector, '-' AS signals_fired, 1.0 AS score, close AS entry_price, close * 0.5 AS STOP_LOSS, close * 1.5 AS TARGET_1, close * 2 AS TARGET_2 FROM b WHERE day(time) = 1 AND month(time) % 6 = 0),
+w1 AS (SELECT DATE '{DAY}' AS signal_date, ticker, 'Unknown' AS sector, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS signals_fired,
+  score, close AS entry_price, coalesce(STOP_LOSS, close * 0.95) AS STOP_LOSS, coalesce(TARGET_1, close * 1.05) AS TARGET_1, coalesce(TARGET_2, close * 1.1) AS TARGET_2 FROM z),
+w2 AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 WHERE NOT EXISTS (SELECT 1 FROM w0 WHERE w0.signal_date = w1.signal_date AND w0.ticker = w1.ticker AND w0.signals_fired = w1.signals_fired)),
+w3 AS (SELECT w2.*, CASE WHEN price > 0 THEN price ELSE entry_price END AS current_price FROM w2 LEFT JOIN (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1) USING (ticker))"""
+
+
+@query("tracker_upsert", f"""{UPSERT_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, sector, signals_fired, {r4('score entry_price STOP_LOSS TARGET_1 TARGET_2 current_price')}, round_even((current_price / nullif(entry_price, 0) - 1) * 100, 2) AS return_pct,
+  CASE WHEN STOP_LOSS > 0 AND current_price <= STOP_LOSS THEN 'SL_HIT' WHEN current_price >= TARGET_2 THEN 'T2_REACHED' WHEN current_price >= TARGET_1 THEN 'T1_REACHED' ELSE 'HOLDING' END AS touch_status, '{DAY}' AS last_updated, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS INTEGER) AS days_held, CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS VARCHAR) AS exit_date, CAST(NULL AS VARCHAR) AS note FROM w3""")
 def tracker_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
     last = _flags(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "time").alias("close"))
@@ -360,7 +383,8 @@ def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.load_plan(listing, _suppliers(spark, sf_dir), DAY)
 
 
-@query("report_lines")
+@query("report_lines", f"""{SCORED}, best AS (SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS fired FROM z ORDER BY score DESC, ticker LIMIT 2)
+  SELECT ticker, concat_ws(' | ', ticker, 'Unknown', printf('%.1f', score), fired, format('{{:,.0f}}', round_even(close, 0)), 'SL ' || format('{{:,.0f}}', STOP_LOSS), 'T1 ' || format('{{:,.0f}}', TARGET_1), printf('risk %.1f%%', round_even((close - STOP_LOSS) / close * 100, 1))) AS line FROM best""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
     return strategies.capped_top(top).select("ticker", report_line().alias("line"))

@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents"
 
 def plain(frame: pd.DataFrame) -> list:
     columns = sorted(frame.columns)
-    text = lambda v: "" if v is None or v != v or v is pd.NaT else repr(round(float(v), 4)) if isinstance(v, float) else str(v)
+    text = lambda v: "" if v is None or v is pd.NA or v is pd.NaT or v != v else repr(round(float(v), 4)) if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame[columns].itertuples(index=False))
 
 
