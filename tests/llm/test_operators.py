@@ -216,6 +216,26 @@ def test_probabilities_sum_to_one():
     assert p[seating.ctx == 0].sum() + unseen == pytest.approx(1)
 
 
+def test_sweep_redraws_whole_dishes():
+    """Tables of a dish follow their exact distribution given its customers, however many they are."""
+    contexts, dishes = lm_score.Contexts([]), 2000
+    for customers, worth, d in ((3, 5.0, 0.7), (20, 0.5, 0.6), (300, 900.0, 0.6), (600, 40.0, 0.7)):
+        seating = lm_score.Seating(np.arange(dishes), np.zeros(dishes, np.int64), np.full(dishes, customers), contexts)
+        seating.open()
+        totals, base = np.array([[0.0], [(1000 * worth - 1) / d]]), 0.001
+        for i in range(4):
+            seating.sweep(totals, np.full(3, d), base, 2, np.random.default_rng(i))
+        chance, t = np.zeros(customers + 1), np.arange(customers + 1)
+        chance[1] = 1
+        for n in range(1, customers):
+            chance = np.append(0, chance[:-1]) * worth + chance * np.maximum(n - d * t, 0)
+            chance /= chance.sum()
+        mean = (chance * t).sum()
+        sd = np.sqrt((chance * (t - mean) ** 2).sum())
+        assert seating.tables.mean() == pytest.approx(mean, abs=0.15 * sd + 0.01) and seating.tables.std() == pytest.approx(sd, rel=0.2)
+        assert (np.bincount(seating.owners(), weights=seating.sizes) == customers).all()
+
+
 def test_passages(docs, none):
     out = [(r["_key"], r["source_key"]) for r in substring_dedup.repeated_passages(docs).collect()]
     pairs = {frozenset(p) for p in out}
