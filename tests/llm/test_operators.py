@@ -244,6 +244,29 @@ def test_passages(docs, none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
 
+def planted_recall(spark, words, share):
+    """Share of passages found of ``words`` words with ``share`` of them equal, scattered substitutions."""
+    rng, rows = np.random.default_rng(9), []
+    fill = lambda n: [f"f{v}" for v in rng.integers(0, 10**12, n)]
+    for _ in range(150):
+        one = fill(words)
+        two = list(one)
+        for i in rng.choice(words, words - int(np.ceil(words * share)), replace=False):
+            two[i] = fill(1)[0]
+        rows += [(len(rows) + i, " ".join(fill(40) + x + fill(40))) for i, x in enumerate((one, two))]
+    table = materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "planted")
+    pairs = {(r["_key"], r["source_key"]) for r in substring_dedup.repeated_passages(table, stable=True).collect()}
+    assert all(k == s + 1 and k % 2 for k, s in pairs)
+    return len(pairs) / 150
+
+
+def test_fuzzy_passages(spark):
+    """Few seeds are shared by short or changed passages; one has to do."""
+    found = {(n, p): planted_recall(spark, n, p) for n in (60, 120) for p in (0.75, 0.8, 0.85, 0.9)}
+    print(found)
+    assert found[60, 0.9] >= 0.85 and found[120, 0.9] >= 0.9 and found[120, 0.85] >= 0.85 and found[60, 0.85] >= 0.6
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):
