@@ -244,6 +244,21 @@ def test_passages(docs, none):
     assert substring_dedup.repeated_passages(none).count() == 0
 
 
+def test_passages_of_two_halves(spark):
+    """Two documents share 60 to 90 words whose halves were held before by different documents."""
+    rng, rows, want = np.random.default_rng(8), [], []
+    fill = lambda n: [f"f{v}" for v in rng.integers(0, 10**12, n)]
+    for half in [30] * 15 + [38] * 15 + [45] * 15:
+        one, two = fill(half), fill(half)
+        texts = [fill(60) + one + fill(60), fill(60) + two + fill(60), fill(60) + one + two + fill(60), fill(60) + one + two + fill(60)]
+        want.append((len(rows) + 3, len(rows) + 2))
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate(texts)]
+    table = materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "halves")
+    found = [r for r in substring_dedup.repeated_passages(table, stable=True).collect()]
+    assert sorted((r["_key"], r["source_key"]) for r in found) == sorted(want)
+    assert all(r["equal"] >= 60 for r in found)
+
+
 def planted_recall(spark, words, share):
     """Share of passages found of ``words`` words with ``share`` of them equal, scattered substitutions."""
     rng, rows = np.random.default_rng(9), []
