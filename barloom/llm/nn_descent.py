@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from barloom.llm.shared import drop_table, materialize, read, shuffle_width
 
-#: Neighbours of a node, rounds of NN-descent, random orders that start the graph, rows of a run of an order.
-NEIGHBOURS, ROUNDS, ORDERS, RUN = 24, 2, 6, 192
+#: Neighbours of a node, random orders that start the graph, rows of a run of an order.
+NEIGHBOURS, ORDERS, RUN = 24, 6, 192
+#: NN-descent ends with a round that brings at most this share of new edges.
+DELTA = 0.001
 #: Neighbours that a node takes from one meeting.
 MEET = 8
-#: Nodes a query keeps while it walks, and steps it takes at most.
-BEAM, STEPS = 192, 16
+#: Nodes a query keeps while it walks.
+BEAM = 192
 
 
 def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
@@ -129,20 +131,25 @@ def descend(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     return keep_best(graph.unionByName(new), neighbours)
 
 
-def neighbour_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 23) -> DataFrame:
-    """``node, other, near``: about the ``neighbours`` nearest others of every node by cosine."""
+def neighbour_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, delta: float = DELTA, seed: int = 23) -> DataFrame:
+    """``node, other, near``: about the ``neighbours`` nearest others of every node by cosine.
+
+    Rounds go on until one brings at most ``delta`` of the graph's edges anew. Neighbours only become nearer, so they end.
+    """
     first = nodes.first()
     if first is None:
         return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).alias("near")).limit(0)
     graph = materialize(keep_best(first_graph(nodes, shuffle_width(nodes.sparkSession), len(first["vec"]), neighbours, seed), neighbours), "graph")
-    for _ in range(rounds):
+    while True:
         after = materialize(descend(graph, nodes, neighbours), "graph")
+        new = after.join(graph.select(F.col("node").alias("x"), F.col("other").alias("y")), (F.col("node") == F.col("x")) & (F.col("other") == F.col("y")), "left_anti").count()
         drop_table(graph)
         graph = after
-    return graph
+        if new <= delta * graph.count():
+            return graph
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: DataFrame, beam: int = BEAM) -> DataFrame:
     """``query, node, near``: what a walk over the graph finds for each query of ``query, q_vec``.
 
     All queries walk at once. In a step, each goes on from the nodes of its beam that it hasn't left yet to their
@@ -163,7 +170,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entrie
 
     best = Window.partitionBy("query").orderBy(F.desc("near"), "node")
     seen = materialize(measure(entries.distinct()).withColumn("rank", F.row_number().over(best)), "walk")
-    for _ in range(steps):
+    while True:
         front = seen.filter(~F.col("left") & (F.col("rank") <= beam)).select("query", "node")
         if front.isEmpty():
             break
@@ -176,7 +183,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entrie
     return seen.filter(F.col("rank") <= beam).select("query", "node", "near")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, beam: int = BEAM, seed: int = 23) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", neighbours: int = NEIGHBOURS, delta: float = DELTA, beam: int = BEAM, seed: int = 23) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows found for each query, by cosine in double precision.
 
     ``queries`` are rows of ``vectors``; a query's own id is left out, equal vectors under other ids
@@ -186,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "e
     """
     rows = usable(vectors, vector, key).groupBy("id").agg(F.min("vec").alias("vec"))
     nodes, ids = distinct_vectors(rows, k + 1)
-    graph = neighbour_graph(nodes, neighbours, rounds, seed)
+    graph = neighbour_graph(nodes, neighbours, delta, seed)
     asked = usable(queries, vector, key).groupBy("id").agg(F.min("vec").alias("q_vec")).withColumn("home", F.xxhash64("q_vec"))
     asked = materialize(asked, "queries")
     points = asked.select(F.col("home").alias("query"), "q_vec").dropDuplicates(["query"])

@@ -314,6 +314,16 @@ def test_neighbours(spark):
     assert nn_descent.nearest(table.limit(0), queries.limit(0)).count() == 0
 
 
+def test_descent_goes_on_until_few_edges_change(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "ORDERS", 2)  # one order alone leaves runs apart
+    vectors = np.random.default_rng(4).standard_normal((2000, 16))
+    nodes = materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "node long, vec array<double>"), "nodes")
+    graph = nn_descent.neighbour_graph(nodes, 10)
+    edges = {(r["node"], r["other"]) for r in graph.collect()}
+    more = {(r["node"], r["other"]) for r in nn_descent.descend(graph, nodes, 10).collect()}
+    assert len(edges) == 20_000 and len(more - edges) <= 2 * nn_descent.DELTA * len(edges)
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
