@@ -259,6 +259,54 @@ def test_passages_of_two_halves(spark):
     assert all(r["equal"] >= 60 for r in found)
 
 
+def test_passages_of_overlapping_parts(spark):
+    """Parts of a passage were held before by several documents, and overlap; a document holds another's passage twice."""
+    rng, rows, want = np.random.default_rng(12), [], []
+    fill = lambda n: [f"f{v}" for v in rng.integers(0, 10**12, n)]
+    for _ in range(20):
+        whole = fill(90)
+        texts = [fill(60) + whole[i : i + 40] + fill(60) for i in (0, 15, 30, 50)] + [fill(60) + whole + fill(60), fill(60) + whole + fill(60)]
+        want.append((len(rows) + 5, len(rows) + 4))
+        rows += [(len(rows) + i, " ".join(x)) for i, x in enumerate(texts)]
+    once = fill(70)
+    twice = len(rows)
+    rows += [(twice, " ".join(fill(30) + once + fill(30))), (twice + 1, " ".join(fill(30) + once + fill(80) + once + fill(9)))]
+    table = materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "parts")
+    found = substring_dedup.repeated_passages(table, stable=True).collect()
+    assert {(r["_key"], r["source_key"]) for r in found} == {*want, (twice + 1, twice)}
+    assert sorted(r["start"] for r in found if r["_key"] == twice + 1) == [30, 180]
+
+
+def test_passages_equal_brute_force(spark):
+    """Every run of 50 equal words of two documents lies in a passage found in both, and links join the two."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: tuple((r["text"] or "").lower().split()) for r in docs.collect()}
+    found = substring_dedup.repeated_passages(docs.withColumns({"row": F.lit(1), "source": F.lit("s"), "start": F.lit(0)}), stable=True).collect()
+    first, same = {}, {i: i for i in texts}
+
+    def root(i):
+        while same[i] != i:
+            i = same[i]
+        return i
+
+    covered = {i: np.zeros(len(w), bool) for i, w in texts.items()}
+    for r in found:
+        covered[r["_key"]][r["start"] : r["end"]] = True
+        covered[r["source_key"]][r["source_start"] : r["source_end"]] = True
+        same[root(r["_key"])] = root(r["source_key"])
+        mine, other = texts[r["_key"]][r["start"] : r["end"]], texts[r["source_key"]][r["source_start"] : r["source_end"]]
+        assert min(len(mine), len(other)) >= 30 and r["equal"] >= 0.75 * max(len(mine), len(other)) and sum((Counter(mine) & Counter(other)).values()) >= r["equal"]
+    grams = 0
+    for i, words in sorted(texts.items()):
+        for at in range(len(words) - 49):
+            gram = words[at : at + 50]
+            j, there = first.setdefault(gram, (i, at))
+            if j != i:
+                grams += 1
+                assert root(i) == root(j) and covered[i][at : at + 50].mean() > 0.7 and covered[j][there : there + 50].mean() > 0.7
+    assert grams > 500
+
+
 def planted_recall(spark, words, share):
     """Share of passages found of ``words`` words with ``share`` of them equal, scattered substitutions."""
     rng, rows = np.random.default_rng(9), []
