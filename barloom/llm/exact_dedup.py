@@ -24,32 +24,27 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 def merge_runs(rows: DataFrame, fan_in: int = 8) -> DataFrame:
     """Merge digest runs in rounds until one run is left.
 
-    Run r of a round is a digest-sorted list, cut into slices by digest. In each round ``fan_in``
-    neighbouring runs exchange slices: their run numbers lose their lowest digit while the digest
-    gives one more digit of the slice, so the number of (run, slice) places stays the same and
-    every task merges the sorted pieces of ``fan_in`` runs. Each merge keeps one entry per text:
-    the smallest (id, row) and the number of rows. Entries merge only if SHA-256, a second hash
-    and the length all agree.
+    A run is a digest-sorted list, cut into slices by digest; at first each partition of ``rows`` is one. In each round
+    ``fan_in`` neighbouring runs exchange slices: their run number loses its lowest digit while the digest
+    gives one more digit of the slice, so the number of places, each a slice of a run, stays the same. A round has one
+    exchange, by place alone; a place merges the pieces of ``fan_in`` runs in digest order and keeps one
+    entry per text: the smallest (id, row) and the number of rows. Entries merge only if SHA-256, a second hash
+    and the length all agree. A text that most rows hold reaches a place from ``fan_in`` runs at most, and as one
+    entry each after the first round.
     """
     width = shuffle_width(rows.sparkSession)
     rounds = 1
     while fan_in**rounds < width:
         rounds += 1
     places = fan_in**rounds
-    # a run's first sorted list is made where its rows are read: the partial aggregate of this grouping
-    runs = rows.withColumn("_run", F.pmod(F.spark_partition_id(), F.lit(places)).cast("long"))
-    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_row").alias("row")))
-    runs = runs.groupBy("_run", *DIGEST).agg(first.alias("_first"), F.count(F.lit(1)).alias("_size"))
+    first = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_row").alias("row"))
+    runs = rows.select(*DIGEST, first.alias("_first"), F.lit(1).cast("long").alias("_size"), F.pmod(F.spark_partition_id(), F.lit(places)).cast("long").alias("_run"))
     for done in range(1, rounds + 1):
         slices = fan_in**done
-        runs = (
-            runs.withColumn("_run", F.floor(F.col("_run") / fan_in))
-            .withColumn("_slice", F.pmod(F.col("_check"), F.lit(slices)))
-            .withColumn("_place", F.col("_run") * slices + F.col("_slice"))
-            .groupBy("_place", "_run", *DIGEST)
-            .agg(F.min("_first").alias("_first"), F.sum("_size").alias("_size"))
-            .drop("_place")
-        )
+        place = F.floor(F.col("_run") / fan_in) * slices + F.pmod("_check", F.lit(slices))
+        dealt = runs.withColumn("_place", place).drop("_run").repartition(places, "_place").sortWithinPartitions("_place", *DIGEST)
+        merged = dealt.groupBy("_place", *DIGEST).agg(F.min("_first").alias("_first"), F.sum("_size").alias("_size"))
+        runs = merged.withColumn("_run", F.floor(F.col("_place") / slices)).drop("_place")
     return runs.drop("_run")
 
 
@@ -58,7 +53,8 @@ def exact_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", fan_
 
     Null texts count as empty. Ids may be null or repeat: null ids come last, and of rows with
     the same smallest id the first row in reading order stays, so one row of each text is kept.
-    An empty table gives no rows.
+    Texts of any length are hashed whole; repeated rows are copies; columns besides ``text`` and ``key`` aren't
+    looked at, whatever their names. An empty table gives no rows.
     """
     rows = materialize(digests(docs, text, key), "digests")
     classes = merge_runs(rows, fan_in).filter("_size > 1")

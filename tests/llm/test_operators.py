@@ -46,6 +46,16 @@ def test_exact(docs, none):
     assert exact_dedup.exact_classes(none).count() == 0
 
 
+def test_merge_exchanges_runs_by_place_alone(spark, docs):
+    for fan_in, rounds in ((2, 2), (4, 1)):
+        merged = exact_dedup.merge_runs(materialize(exact_dedup.digests(docs), "digests"), fan_in)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+        assert len(exchanges) == rounds and all("hashpartitioning(_place#" in x and x.split("hashpartitioning(")[1].split("]")[0].count("#") == 1 for x in exchanges)
+        assert "HashAggregate" not in plan and plan.count("Sort [_place#") == rounds
+        assert sum(r["_size"] for r in merged.collect()) == docs.count()
+
+
 def test_mixing(docs, none):
     rows = [r.asDict() for r in mixing.mix_plan(docs).collect()]
     assert len(rows) == docs.count()
