@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY, TIME = "ticker", "time"
-#: Bars after which the exponents of an exponential mean start anew, so that they stay in a double's range.
-BLOCK = 700
+#: -log of the weight that a bar has a block of bars later, in an exponential mean: 1e-150.
+DECAY = 345.0
 
 
 def bars_window():
@@ -32,15 +34,17 @@ def ewm(df: DataFrame, x: str, alpha: float, out: str, warmup: int = 0) -> DataF
     """Add y(t) = (1 - alpha) y(t-1) + alpha x(t), started at the first value; null for the first ``warmup`` values.
 
     Within a block of bars the recursion is a running sum of x (1 - alpha)^-t; a block starts from the end of the
-    two before it, as what is older has decayed below a double's precision. Needs values without gaps
-    once they have begun.
+    one before it. Blocks are so long that (1 - alpha)^length is 1e-150: in a double's range, and far below its precision, so
+    older blocks no longer count. A null amid values is an error, as the weights after it would be wrong.
     """
     q, whole = 1 - alpha, bars_window().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_i", F.count(x).over(whole) - 1).withColumn("_b", F.floor(F.col("_i") / BLOCK)).withColumn("_j", F.col("_i") - F.col("_b") * BLOCK)
-    term = F.col(x) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(q), -F.col("_j"))
+    size = max(1, int(DECAY / -math.log(q))) if q > 0 else 1
+    df = df.withColumn("_i", F.count(x).over(whole) - 1).withColumn("_b", F.floor(F.col("_i") / size)).withColumn("_j", F.col("_i") - F.col("_b") * size)
+    gap = F.raise_error(F.lit(f"{x}: a null amid values has no exponential mean")).cast("double")
+    term = F.when(F.col(x).isNull() & (F.col("_i") >= 0), gap).otherwise(F.col(x) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(q), -F.col("_j")))
     block = Window.partitionBy(KEY, "_b").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_local", F.pow(F.lit(q), F.col("_j")) * F.sum(term).over(block))
-    ended = F.when(F.col("_j") == BLOCK - 1, F.col("_local"))
-    earlier = [F.coalesce(F.max(ended).over(Window.partitionBy(KEY).orderBy("_b").rangeBetween(-k, -k)), F.lit(0.0)) for k in (1, 2)]
-    value = F.col("_local") + F.pow(F.lit(q), F.col("_j") + 1) * (earlier[0] + F.lit(q**BLOCK) * earlier[1])
+    ended = F.when(F.col("_j") == size - 1, F.col("_local"))
+    before = F.coalesce(F.max(ended).over(Window.partitionBy(KEY).orderBy("_b").rangeBetween(-1, -1)), F.lit(0.0))
+    value = F.col("_local") + F.pow(F.lit(q), F.col("_j") + 1) * before
     return df.withColumn(out, F.when(F.col(x).isNotNull() & (F.col("_i") >= warmup), value)).drop("_i", "_b", "_j", "_local")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 # Patterns of chat-bot URLs and tokens, and what stands in for them.
 BOT_URL, BOT_URL_OUT = r"(?i)https://api\.telegram\.org/bot[^/\s]+", "https://api.telegram.org/bot[REDACTED_TOKEN]"
-BOT_TOKEN, BOT_TOKEN_OUT = r"\b[0-9]{8,11}:[A-Za-z0-9_-]{35,}\b", "[REDACTED_TOKEN]"
+BOT_TOKEN, BOT_TOKEN_OUT = r"\b\d{8,11}:[A-Za-z0-9_-]{35,}\b", "[REDACTED_TOKEN]"
 
 
 def redact(text: Column, secrets: dict[str, str] | None = None) -> Column:

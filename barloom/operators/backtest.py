@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +37,22 @@ def trades(rows: DataFrame, strategies: list[str] = SIGNALS, holds: tuple[int, .
     return sets.select("ticker", *by, "strategy", "holding_days", F.explode(taken).alias("t")).select("strategy", "holding_days", "ticker", *by, "t.idx", "t.time", "t.ret")
 
 
-def drawdowns(done: DataFrame) -> DataFrame:
-    """Equity and drawdown after each trade, in order of ticker and bar, from the first trade's equity."""
-    over = Window.partitionBy("strategy", "holding_days").orderBy("ticker", "time").rowsBetween(Window.unboundedPreceding, 0)
-    rows = done.withColumn("equity", F.product(1 + F.col("ret")).over(over))
-    return rows.withColumn("drawdown", F.col("equity") / F.max("equity").over(over) - 1)
+def drawdowns(done: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Equity and drawdown after each trade, in order of ticker and bar, from the first trade's equity.
+
+    Sums of logs in two levels: over a ticker's trades, and over the tickers' totals, so no task gets all trades of a
+    strategy and nothing over- or underflows. A trade that loses everything counts as a factor of 1e-12.
+    """
+    keys = ["strategy", "holding_days", *(by or [])]
+    mine = Window.partitionBy(*keys, "ticker").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    rows = done.withColumn("_log", F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12)))).over(mine)).withColumn("_top", F.max("_log").over(mine))
+    totals = rows.groupBy(*keys, "ticker").agg(F.max_by("_log", "time").alias("_sum"), F.max("_log").alias("_most"))
+    before = Window.partitionBy(*keys).orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0.0))).withColumn("_high", F.max(F.col("_start") + F.col("_most")).over(before))
+    rows = rows.join(totals.drop("_sum", "_most"), [*keys, "ticker"])
+    level = F.col("_start") + F.col("_log")
+    top = F.greatest(F.col("_start") + F.col("_top"), F.col("_high"))
+    return rows.withColumns({"equity": F.exp(level), "drawdown": F.exp(level - top) - 1}).select(*done.columns, "equity", "drawdown")
 
 
 def metrics(done: DataFrame, by: list[str] | None = None, least: int = 5) -> DataFrame:
@@ -45,7 +60,7 @@ def metrics(done: DataFrame, by: list[str] | None = None, least: int = 5) -> Dat
     gains, losses = F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("ret") < 0, F.col("ret")).otherwise(0.0)))
     free = RATE * F.first("holding_days") / 252
     dev = F.stddev_samp("ret")
-    return drawdowns(done).groupBy(*keys).agg(
+    return drawdowns(done, by).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"),
         (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("win_rate"),
         (F.avg("ret") * 100).alias("avg_return"),
@@ -64,9 +79,27 @@ def by_year(rows: DataFrame, strategy: str, hold: int, years: tuple[int, int] =
     return each.join(found, "year", "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
 
 
-def best_strategies(results: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Accept:
+    """What a result must pass: win rate and profit factor above, drawdown under, and trades at least."""
+
+    win_rate: float
+    profit_factor: float
+    max_drawdown: float
+    n_trades: int
+
+
+USUAL, RARE = Accept(51, 1.2, 40, 50), Accept(60, 2, 20, 10)
+
+
+def best_strategies(results: DataFrame, accept: tuple[Accept, ...] = (USUAL, RARE)) -> DataFrame:
+    """Of the results that pass one of ``accept``, the row of the best Sharpe ratio of each strategy."""
     c = F.col
-    usual = (c("win_rate") > 51) & (c("profit_factor") > 1.2) & (c("max_drawdown") < 40) & (c("n_trades") >= 50)
-    rare = (c("win_rate") > 60) & (c("profit_factor") > 2) & (c("max_drawdown") < 20) & (c("n_trades") >= 10)
+    passes = [(c("win_rate") > a.win_rate) & (c("profit_factor") > a.profit_factor) & (c("max_drawdown") < a.max_drawdown) & (c("n_trades") >= a.n_trades) for a in accept]
     best = Window.partitionBy("strategy").orderBy(F.desc("sharpe_ratio"), "holding_days")
-    return results.filter(usual | rare).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    return results.filter(reduce(or_, passes)).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+
+
+def ranked(results: DataFrame) -> DataFrame:
+    """Results from the best Sharpe ratio down, then by win rate."""
+    return results.orderBy(F.desc_nulls_last("sharpe_ratio"), F.desc_nulls_last("win_rate"), "strategy", "holding_days")

@@ -58,3 +58,27 @@ def snapshot(features: DataFrame) -> DataFrame:
 def freshness(bars: DataFrame, day: str) -> DataFrame:
     last = bars.groupBy("ticker").agg(F.max("time").alias("last"))
     return last.agg(F.count_if(F.col("last") >= F.lit(day)).alias("fresh"), F.count_if(F.col("last") < F.lit(day)).alias("stale"), F.max("last").alias("newest"))
+
+
+def recent_activity(bars: DataFrame, days: int = 90) -> DataFrame:
+    """Per ticker, its bars of the last ``days`` days of the market, 0 if none, and the market's days in that time."""
+    cut = bars.agg(F.date_sub(F.max("time"), days).alias("cutoff"))
+    recent = bars.crossJoin(F.broadcast(cut))  # one row
+    market = recent.agg(F.count_distinct(F.when(F.col("time") >= F.col("cutoff"), F.col("time"))).alias("market_days"))
+    return recent.groupBy("ticker").agg(F.count(F.when(F.col("time") >= F.col("cutoff"), 1)).alias("recent_active_days")).crossJoin(F.broadcast(market))
+
+
+def universe_summary(bars: DataFrame) -> DataFrame:
+    return bars.agg(F.count_distinct("ticker").alias("tickers"), F.count(F.lit(1)).alias("n_rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+
+
+def null_shares(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``name, null_share`` of each column, from one pass."""
+    one = rows.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("null_share")) for c in columns])).alias("x")).select("x.*")
+
+
+def commonest_last_day(bars: DataFrame) -> DataFrame:
+    """The day on which most tickers' bars end, the earliest of ties, and how many do."""
+    last = bars.groupBy("ticker").agg(F.to_date(F.max("time")).alias("last_day"))
+    return last.groupBy("last_day").agg(F.count(F.lit(1)).alias("tickers")).orderBy(F.desc("tickers"), "last_day").limit(1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,18 @@ def _true(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def signals(features: DataFrame, confirm_lag: int = 0) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Levels of the strategies' conditions."""
+
+    smc_rsi: float = 40.0
+    cloud_adx: float = 25.0
+    momentum_rsi: tuple[float, float] = (50.0, 70.0)
+    golden_adx: float = 20.0
+    block_rsi: float = 45.0
+
+
+def signals(features: DataFrame, confirm_lag: int = 0, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """Add the five signals. ``confirm_lag`` 3 reads order blocks only when their bars are over; 0 looks ahead."""
     c = F.col
     block = _true(lag("OB_BULL", confirm_lag)) if confirm_lag else c("OB_BULL")
@@ -23,12 +36,13 @@ def signals(features: DataFrame, confirm_lag: int = 0) -> DataFrame:
     rising = c("MACD_HIST") > lag("MACD_HIST")
     above = (c("close") > c("SENKOU_A")) & (c("close") > c("SENKOU_B"))
     crossed = (c("MA_50") > c("MA_200")) & (lag("MA_50") <= lag("MA_200"))
+    low, high = rules.momentum_rsi
     return features.withColumns({
-        "SIG_SMC": _true(c("CHOCH_BULL") & (block | _true(c("close") <= c("BB_LOWER_20"))) & (c("RSI_14") < 40) & rising),
-        "SIG_ICHIMOKU": _true(above & (c("TENKAN_9") > c("KIJUN_26")) & c("BOS_BULL") & (c("ADX_14") > 25)),
-        "SIG_MOMENTUM": _true((c("close") > c("MA_20")) & (c("MA_20") > c("MA_50")) & (c("RSI_14") > 50) & (c("RSI_14") < 70) & (c("MACD_12_26_9") > c("MACD_SIGNAL_9")) & (c("MACD_HIST") > 0) & rising & c("BOS_BULL")),
-        "SIG_GOLDEN": _true(crossed & above & (c("ADX_14") > 20) & (c("volume") > rolling(F.avg, c("volume"), 20, 10))),
-        "SIG_OB": _true((block | _true((c("low") <= block_low) & (block_low < c("close")))) & (c("RSI_14") < 45) & (c("DI_PLUS_14") > c("DI_MINUS_14")) & (c("close") > c("KIJUN_26"))),
+        "SIG_SMC": _true(c("CHOCH_BULL") & (block | _true(c("close") <= c("BB_LOWER_20"))) & (c("RSI_14") < rules.smc_rsi) & rising),
+        "SIG_ICHIMOKU": _true(above & (c("TENKAN_9") > c("KIJUN_26")) & c("BOS_BULL") & (c("ADX_14") > rules.cloud_adx)),
+        "SIG_MOMENTUM": _true((c("close") > c("MA_20")) & (c("MA_20") > c("MA_50")) & (c("RSI_14") > low) & (c("RSI_14") < high) & (c("MACD_12_26_9") > c("MACD_SIGNAL_9")) & (c("MACD_HIST") > 0) & rising & c("BOS_BULL")),
+        "SIG_GOLDEN": _true(crossed & above & (c("ADX_14") > rules.golden_adx) & (c("volume") > rolling(F.avg, c("volume"), 20, 10))),
+        "SIG_OB": _true((block | _true((c("low") <= block_low) & (block_low < c("close")))) & (c("RSI_14") < rules.block_rsi) & (c("DI_PLUS_14") > c("DI_MINUS_14")) & (c("close") > c("KIJUN_26"))),
     })
 
 
@@ -54,11 +68,29 @@ def gate_history(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"SIG_GOLDEN": F.col("SIG_GOLDEN") & (F.col("regime") == "BULL"), "SIG_ICHIMOKU": F.col("SIG_ICHIMOKU") & ~bear, "SIG_SMC": F.col("SIG_SMC") & ~bear})
 
 
+def today(regime: DataFrame) -> DataFrame:
+    """One row: the regime of the last day known."""
+    return regime.agg(F.max_by("regime", "date").alias("_today"))
+
+
+def regime_counts(regime: DataFrame, days: int = 20) -> DataFrame:
+    """How many of the last ``days`` rows are in each regime."""
+    return regime.orderBy(F.desc("date")).limit(days).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Regimes of a day in which a strategy is off on that day.
+OFF = {"SIG_GOLDEN": ["BEAR", "SIDEWAY"], "SIG_ICHIMOKU": ["BEAR", "SIDEWAY"], "SIG_SMC": ["BEAR"], "SIG_OB": ["BEAR", "SIDEWAY"]}
+
+
+def gate_each(rows: DataFrame) -> DataFrame:
+    """Each row's signals as the day's list takes them, by the row's own ``regime``: nothing but momentum in a BEAR market; no golden cross, cloud or order block in a SIDEWAY one."""
+    return rows.withColumns({s: F.col(s) & ~_true(F.col("regime").isin(v)) for s, v in OFF.items()})
+
+
 def gate_today(rows: DataFrame, regime: DataFrame) -> DataFrame:
-    """By the last regime known: nothing but momentum in a BEAR market; no golden cross, cloud or order block in a SIDEWAY one."""
-    rows = rows.crossJoin(F.broadcast(regime.agg(F.max_by("regime", "date").alias("_today"))))  # one row
-    off = {"SIG_GOLDEN": ["BEAR", "SIDEWAY"], "SIG_ICHIMOKU": ["BEAR", "SIDEWAY"], "SIG_SMC": ["BEAR"], "SIG_OB": ["BEAR", "SIDEWAY"]}
-    return rows.withColumns({s: F.col(s) & ~_true(F.col("_today").isin(v)) for s, v in off.items()}).withColumn("regime", F.coalesce("_today", F.lit("UNKNOWN"))).drop("_today")
+    """Rows gated by the last regime known, as in ``gate_each``."""
+    rows = rows.drop("regime").crossJoin(F.broadcast(today(regime)))  # one row
+    return gate_each(rows.withColumn("regime", F.coalesce("_today", F.lit("UNKNOWN"))).drop("_today"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -76,9 +108,20 @@ def score(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"score": F.round(total, 4), "signals_fired": F.coalesce(F.nullif(fired, F.lit("")), F.lit("-"))})
 
 
+def selected(rows: DataFrame) -> DataFrame:
+    """Rows of a positive score on which one of the three trusted strategies fired."""
+    return rows.filter((_true(F.col("SIG_GOLDEN")) | _true(F.col("SIG_ICHIMOKU")) | _true(F.col("SIG_SMC"))) & (F.col("score") > 0))
+
+
+def top_list(rows: DataFrame, regime: DataFrame, sectors: DataFrame, capital: float = 1e9, cap: int = 2, limit: int = 10) -> DataFrame:
+    """From signals to the day's list: the last day's rows, today's gate, score, levels, sector, choice and sizes."""
+    scored = risk_levels(score(gate_today(latest(rows), regime)))
+    return position_size(capped_top(with_sector(selected(scored), sectors), cap, limit), capital)
+
+
 def risk_levels(rows: DataFrame) -> DataFrame:
     c = F.col
-    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - 2 * c("ATR_14")), "TARGET_1": F.bround(c("close") + 2 * c("ATR_14")), "TARGET_2": F.bround(c("close") + 3 * c("ATR_14")), "adtv_bn": F.bround(c("avg_value_20d") / 1e9, 1)})
+    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - 2 * c("ATR_14")), "TARGET_1": F.bround(c("close") + 2 * c("ATR_14")), "TARGET_2": F.bround(c("close") + 3 * c("ATR_14")), "adtv_bn": F.bround(F.coalesce(c("avg_value_20d"), c("close") * c("volume")) / 1e9, 1)})
     return rows.withColumn("RISK_PCT", F.bround((c("close") - c("STOP_LOSS")) / F.nullif(c("close"), F.lit(0.0)) * 100, 1))
 
 
@@ -98,3 +141,10 @@ def capped_top(rows: DataFrame, cap: int = 2, limit: int = 10) -> DataFrame:
 
 def with_sector(rows: DataFrame, sectors: DataFrame) -> DataFrame:
     return rows.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+
+
+def condition_counts(rows: DataFrame) -> DataFrame:
+    """How many rows meet each condition of the reversal strategy, and all of them."""
+    rows = rows.withColumn("_rise", F.col("MACD_HIST") - lag("MACD_HIST"))
+    c = F.col
+    return rows.agg(F.count_if("CHOCH_BULL").alias("choch"), F.count_if(c("RSI_14") < 40).alias("low_rsi"), F.count_if("OB_BULL").alias("blocks"), F.count_if(c("close") <= c("BB_LOWER_20")).alias("under_band"), F.count_if(c("_rise") > 0).alias("rising"), F.count_if("SIG_SMC").alias("fired"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.sources.bars import first_of
 
 
-def upsert(tracker: DataFrame, top: DataFrame, prices: DataFrame, day: str) -> DataFrame:
-    """Tracked signals with today's added and all repriced; a signal of the same day, ticker and kind stays as it was."""
+def upsert(tracker: DataFrame, top: DataFrame, prices: DataFrame, day: str | Column) -> DataFrame:
+    """Tracked signals with today's added and all repriced; a signal of the same day, ticker and kind stays as it was.
+
+    ``day`` is a date, or a column of ``top`` that has it.
+    """
+    day = F.lit(day).cast("date") if isinstance(day, str) else day
     new = top.select(
-        F.lit(day).cast("date").alias("signal_date"), "ticker", "sector", "signals_fired", "score", F.col("close").alias("entry_price"),
+        day.alias("signal_date"), "ticker", "sector", "signals_fired", "score", F.col("close").alias("entry_price"),
         F.coalesce("STOP_LOSS", F.col("close") * 0.95).alias("STOP_LOSS"), F.coalesce("TARGET_1", F.col("close") * 1.05).alias("TARGET_1"), F.coalesce("TARGET_2", F.col("close") * 1.1).alias("TARGET_2"), F.lit(1).alias("_age"),
     )
     rows = first_of(tracker.withColumn("_age", F.lit(0)).unionByName(new, allowMissingColumns=True), ["signal_date", "ticker", "signals_fired"], ["_age"]).drop("_age", "current_price")
@@ -19,19 +23,23 @@ def upsert(tracker: DataFrame, top: DataFrame, prices: DataFrame, day: str) -> D
     rows = rows.withColumn("current_price", F.when(F.col("_price") > 0, F.col("_price")).otherwise(F.col("entry_price"))).drop("_price")
     price = F.col("current_price")
     status = F.when((F.col("STOP_LOSS") > 0) & (price <= F.col("STOP_LOSS")), "SL_HIT").when(price >= F.col("TARGET_2"), "T2_REACHED").when(price >= F.col("TARGET_1"), "T1_REACHED").otherwise("HOLDING")
-    return rows.withColumns({"return_pct": F.bround((price / F.nullif("entry_price", F.lit(0.0)) - 1) * 100, 2), "touch_status": status, "last_updated": F.lit(day).cast("date")})
+    return rows.withColumns({"return_pct": F.bround((price / F.nullif("entry_price", F.lit(0.0)) - 1) * 100, 2), "touch_status": status}).crossJoin(F.broadcast(top.agg(F.max(day).alias("last_updated"))))  # one row
 
 
 def settle(tracker: DataFrame, bars: DataFrame, expiry: int = 20) -> DataFrame:
     """Close open rows that reached a target or stop, or were held ``expiry`` bars.
 
-    Bars held are the difference of two bar numbers: the last one's and that of the last bar up to the signal.
+    Bars held are the difference of two bar numbers: the last one's and that of the last bar up to the signal, found in one
+    pass over a ticker's bars and open signals in order of date.
     """
-    numbered = bars.withColumn("_i", F.row_number().over(Window.partitionBy("ticker").orderBy("time")))
-    last = numbered.groupBy("ticker").agg(F.max_by("close", "time").alias("_price"), F.max("time").alias("_day"))
-    held = tracker.select("ticker", "signal_date").distinct().join(numbered.select("ticker", "time"), "ticker").filter(F.to_date("time") > F.col("signal_date")).groupBy("ticker", "signal_date").agg(F.count(F.lit(1)).alias("_held"))
-    rows = tracker.join(last, "ticker", "left").join(held, ["ticker", "signal_date"], "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
-    is_open = (F.col("result").isNull() | (F.col("result") == "HOLDING")) & F.col("_price").isNotNull()
+    waits = F.col("result").isNull() | (F.col("result") == "HOLDING")
+    last = bars.groupBy("ticker").agg(F.max_by("close", "time").alias("_price"), F.max("time").alias("_day"), F.count(F.lit(1)).alias("_bars"))
+    asked = tracker.filter(waits).select("ticker", F.col("signal_date").alias("_date")).distinct()
+    marks = bars.select("ticker", F.to_date("time").alias("_date"), F.lit(1).alias("_bar")).unionByName(asked.withColumn("_bar", F.lit(0)))
+    upto = Window.partitionBy("ticker").orderBy("_date", F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    number = marks.withColumn("_upto", F.sum("_bar").over(upto)).filter("_bar = 0").select("ticker", F.col("_date").alias("signal_date"), "_upto")
+    rows = tracker.join(last, "ticker", "left").join(number, ["ticker", "signal_date"], "left").withColumn("_held", F.coalesce(F.col("_bars") - F.col("_upto"), F.lit(0))).drop("_bars", "_upto")
+    is_open = waits & F.col("_price").isNotNull()
     ended = F.col("_held") >= expiry
     outcome = F.when(F.col("_price") >= F.col("TARGET_1"), "WIN").when((F.col("_price") <= F.col("STOP_LOSS")) & (F.col("STOP_LOSS") > 0), "LOSS").when(ended, F.when(F.col("_price") > F.col("entry_price"), "WIN").otherwise("LOSS")).otherwise("HOLDING")
     hit = (F.col("_price") >= F.col("TARGET_1")) | ((F.col("_price") <= F.col("STOP_LOSS")) & (F.col("STOP_LOSS") > 0))
@@ -45,13 +53,13 @@ def settle(tracker: DataFrame, bars: DataFrame, expiry: int = 20) -> DataFrame:
     }).drop("_price", "_day", "_held")
 
 
-def weekly(tracker: DataFrame, day: str) -> DataFrame:
+def weekly(tracker: DataFrame, day: str, days: int = 7) -> DataFrame:
     wins, losses = F.count_if(F.col("result") == "WIN"), F.count_if(F.col("result") == "LOSS")
     closed = F.col("result").isin("WIN", "LOSS")
     return tracker.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("result").isNull() | (F.col("result") == "HOLDING")).alias("holding"), wins.alias("wins"), losses.alias("losses"), (wins + losses).alias("closed"),
         F.when(wins + losses > 0, F.round(wins / F.nullif(wins + losses, F.lit(0)) * 100, 4)).alias("win_rate"),
-        F.round(F.avg(F.when(closed, F.col("return_pct"))), 4).alias("avg_return"), F.count_if(F.col("signal_date") >= F.date_sub(F.lit(day).cast("date"), 7)).alias("new_signals"),
+        F.round(F.avg(F.when(closed, F.col("return_pct"))), 4).alias("avg_return"), F.count_if(F.col("signal_date") >= F.date_sub(F.lit(day).cast("date"), days)).alias("new_signals"),
     )
 
 
@@ -59,3 +67,15 @@ def restore_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
     """Hand-written notes of the last sheet win over the table's own."""
     old = first_of(notes.select("signal_date", "ticker", F.nullif(F.trim("note"), F.lit("")).alias("_note")), ["signal_date", "ticker"], [F.desc_nulls_last("_note")])
     return rows.join(old, ["signal_date", "ticker"], "left").withColumn("note", F.coalesce("_note", F.nullif(F.trim("note"), F.lit("")), F.lit(""))).drop("_note")
+
+
+def performance(tracker: DataFrame) -> DataFrame:
+    """One row: tracked signals by touched level, the win rate among those that touched one, the mean return."""
+    target, stop = F.count_if(F.col("touch_status").isin("T1_REACHED", "T2_REACHED")), F.count_if(F.col("touch_status") == "SL_HIT")
+    rate = F.when(target + stop > 0, target / F.nullif(target + stop, F.lit(0)) * 100).otherwise(0.0)
+    return tracker.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("touch_status") == "HOLDING").alias("holding"), target.alias("targets"), stop.alias("stops"), rate.alias("win_rate"), F.avg("return_pct").alias("avg_return"))
+
+
+def in_order(tracker: DataFrame) -> DataFrame:
+    """The newest signals first, then by ticker."""
+    return tracker.orderBy(F.desc("signal_date"), "ticker")

@@ -15,10 +15,15 @@ from barloom.functions.text import redact, report_line
 from barloom.operators import backtest, indicators, quality, strategies, tracking
 from barloom.plans import sql as S
 from barloom.sources import bars as B
+from barloom.sources import folders, sinks
 
 SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
 SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
-DAY = "1998-08-01"
+DAY = "2001-11-01"
+#: Levels at which each strategy fires on bars whose prices are random; the same in SQL.
+LOOSE = strategies.Rules(smc_rsi=60.0, cloud_adx=10.0, golden_adx=5.0, block_rsi=60.0)
+LOOSE_ARGS = (60, 10, 5, 60)
+ACCEPT = (backtest.Accept(35.0, 0.8, 99.9, 5), backtest.Accept(45.0, 1.0, 101.0, 5))
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -51,8 +56,12 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.line_bars(spark, sf_dir, F.lit("INDEX"))
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strategies.signals(indicators.features(_flags(spark, sf_dir)))
+def _signals(spark: SparkSession, sf_dir: str, rules: strategies.Rules = strategies.Rules()) -> DataFrame:  # noqa: B008
+    return strategies.signals(indicators.features(_flags(spark, sf_dir)), rules=rules)
+
+
+def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir, LOOSE)
 
 
 def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +92,10 @@ def unit_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rescale_units(B.derive_bars(events, F.col("event_type"), "hour", "value", "one", ["ts", "event_id"]))
 
 
-@query("bars_dedup", "SELECT ticker, time, round(close, 4) AS close, volume FROM (SELECT l_returnflag AS ticker, l_shipdate AS time, l_extendedprice AS close, CAST(trunc(l_quantity) AS BIGINT) AS volume, row_number() OVER (PARTITION BY l_returnflag, l_shipdate ORDER BY l_extendedprice, CAST(trunc(l_quantity) AS BIGINT)) AS n FROM lineitem) WHERE n = 1")
+@query("bars_dedup", "SELECT ticker, time, round(close, 4) AS close, volume FROM (SELECT l_returnflag AS ticker, l_shipdate AS time, l_extendedprice AS close, CAST(trunc(l_quantity) AS BIGINT) AS volume, row_number() OVER (PARTITION BY l_returnflag, l_shipdate ORDER BY l_orderkey, l_linenumber, l_extendedprice, CAST(trunc(l_quantity) AS BIGINT)) AS n FROM lineitem) WHERE n = 1")
 def bars_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_shipdate").alias(" Date "), F.col("l_quantity").alias("VOL"), *[F.col("l_extendedprice").alias(p) for p in B.PRICES])
-    return B.normalise_bars(raw, F.col("l_returnflag")).select("ticker", "time", "close", "volume")
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_shipdate").alias(" Date "), F.col("l_quantity").alias("VOL"), *[F.col("l_extendedprice").alias(p) for p in B.PRICES])
+    return B.normalise_bars(raw, F.col("l_returnflag"), ["l_orderkey", "l_linenumber"]).select("ticker", "time", "close", "volume")
 
 
 @query("date_range_scan", f"{SUPPLIERS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b WHERE time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
@@ -176,16 +185,17 @@ def market_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL_SQL = "WITH RECURSIVE " + S.ALL
+LOOSE_SQL = "WITH RECURSIVE " + S.loose(*LOOSE_ARGS)
 
 
-def _one_signal(name: str) -> None:
-    @query(name.lower(), f"{ALL_SQL} SELECT ticker, time, {name} FROM sg")
+def _one_signal(name: str, loose: bool) -> None:
+    @query(name.lower(), f"{LOOSE_SQL if loose else ALL_SQL} SELECT ticker, time, {name} FROM sg")
     def one(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _signals(spark, sf_dir).select("ticker", "time", name)
+        return _signals(spark, sf_dir, LOOSE if loose else strategies.Rules()).select("ticker", "time", name)
 
 
 for _name in strategies.SIGNALS:
-    _one_signal(_name)
+    _one_signal(_name, _name in ("SIG_SMC", "SIG_OB"))
 
 
 @query("fire_rates", f"{ALL_SQL} SELECT ticker, {', '.join(f'round(avg(CAST({s} AS INTEGER)), 4) AS {s}' for s in strategies.SIGNALS)} FROM sg GROUP BY 1")
@@ -211,26 +221,64 @@ def regime_gated_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", "time", "regime", *strategies.SIGNALS)
 
 
+TODAY_SQL = f"""{LOOSE_SQL}, days AS (WITH RECURSIVE {S.REGIME} SELECT date, regime AS of_day FROM rr),
+gd AS (SELECT sg.*, coalesce(of_day, 'UNKNOWN') AS regime FROM sg LEFT JOIN days ON days.date = CAST(sg.time AS DATE)),
+gs AS (SELECT * REPLACE (SIG_GOLDEN AND regime NOT IN ('BEAR', 'SIDEWAY') AS SIG_GOLDEN, SIG_ICHIMOKU AND regime NOT IN ('BEAR', 'SIDEWAY') AS SIG_ICHIMOKU, SIG_SMC AND regime != 'BEAR' AS SIG_SMC, SIG_OB AND regime NOT IN ('BEAR', 'SIDEWAY') AS SIG_OB) FROM gd)"""
+
+
+@query("regime_today", f"{TODAY_SQL} SELECT ticker, time, regime, SIG_SMC, SIG_ICHIMOKU, SIG_MOMENTUM, SIG_GOLDEN, SIG_OB FROM gs")
+def regime_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day's signals gated as on that day."""
+    rows = strategies.with_regime(_loose(spark, sf_dir), _regime(spark, sf_dir))
+    return strategies.gate_each(rows).select("ticker", "time", "regime", *strategies.SIGNALS)
+
+
+@query("regime_last20", f"{REGIME_SQL} SELECT regime, count(*) AS n FROM (SELECT * FROM rr ORDER BY date DESC LIMIT 20) GROUP BY 1")
+def regime_last20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategies.regime_counts(_regime(spark, sf_dir))
+
+
+def _until(rows: DataFrame, day: DataFrame, time: str = "time") -> DataFrame:
+    """Rows up to the one day."""
+    return rows.join(F.broadcast(day), F.to_date(time) <= F.to_date("_until")).drop("_until")
+
+
+def _report_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last day on which any ticker is selected, as the data's own last day has no signal; one row."""
+    gated = strategies.gate_each(strategies.with_regime(_loose(spark, sf_dir), _regime(spark, sf_dir)))
+    return strategies.selected(strategies.score(gated)).agg(F.max("time").alias("_until"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = strategies.latest(_signals(spark, sf_dir)).withColumn("regime", F.lit("UNKNOWN"))
-    return strategies.position_size(strategies.risk_levels(strategies.score(rows)))
+    day = _report_day(spark, sf_dir)
+    gated = strategies.gate_today(strategies.latest(_until(_loose(spark, sf_dir), day)), _until(_regime(spark, sf_dir), day, "date"))
+    return strategies.position_size(strategies.risk_levels(strategies.score(gated)))
 
 
 POINTS = """CASE WHEN SIG_GOLDEN THEN 2.0 ELSE 0 END + CASE WHEN SIG_ICHIMOKU THEN 1.5 ELSE 0 END + CASE WHEN SIG_SMC THEN 0.5 ELSE 0 END + CASE WHEN ADX_14 > 30 THEN 0.5 ELSE 0 END
-  + CASE WHEN RSI_14 BETWEEN 40 AND 60 THEN 0.3 ELSE 0 END - CASE WHEN close < MA_200 THEN 1.0 ELSE 0 END - CASE WHEN RSI_14 > 75 THEN 0.5 ELSE 0 END"""
-SCORED = f"""{ALL_SQL}, l AS (SELECT *, CAST(round({POINTS}, 4) AS DOUBLE) AS score, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2
-  FROM sg WHERE time = (SELECT max(time) FROM b)),
-z AS (SELECT *, CASE WHEN close - STOP_LOSS > 0 THEN CAST(floor(least(1e9 * 0.01 / (close - STOP_LOSS), 1e9 * 0.2 / close)) AS BIGINT) ELSE 0 END AS shares FROM l)"""
+  + CASE WHEN RSI_14 BETWEEN 40 AND 60 THEN 0.3 ELSE 0 END - CASE WHEN close < MA_200 THEN 1.0 ELSE 0 END - CASE WHEN RSI_14 > 75 THEN 0.5 ELSE 0 END - CASE WHEN regime = 'BEAR' THEN 2.0 ELSE 0 END"""
+FIRED = "coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-')"
+SCORED = f"""{TODAY_SQL}, l AS (SELECT *, CAST(round({POINTS}, 4) AS DOUBLE) AS score, {FIRED} AS fired, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2,
+  round_even(coalesce(avg_value_20d, close * volume) / 1e9, 1) AS adtv_bn FROM gs),
+report AS (SELECT max(time) AS day FROM l WHERE (SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC) AND score > 0),
+z AS (SELECT *, CASE WHEN close - STOP_LOSS > 0 THEN CAST(floor(least(1e9 * 0.01 / (close - STOP_LOSS), 1e9 * 0.2 / close)) AS BIGINT) ELSE 0 END AS shares FROM l WHERE time = (SELECT day FROM report)),
+chosen AS (SELECT *, 'Unknown' AS sector FROM z WHERE (SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC) AND score > 0 ORDER BY score DESC, ticker LIMIT 2)"""
 
 
-@query("score_snapshot", f"{SCORED} SELECT ticker, time, score, STOP_LOSS, TARGET_1, TARGET_2, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS signals_fired FROM z")
+@query("score_snapshot", f"{SCORED} SELECT ticker, time, regime, score, STOP_LOSS, TARGET_1, TARGET_2, adtv_bn, fired AS signals_fired FROM z")
 def score_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("ticker", "time", "score", "STOP_LOSS", "TARGET_1", "TARGET_2", "signals_fired")
+    return _scored(spark, sf_dir).select("ticker", "time", "regime", "score", "STOP_LOSS", "TARGET_1", "TARGET_2", "adtv_bn", "signals_fired")
 
 
-@query("position_sizing", f"{SCORED} SELECT ticker, CAST(shares AS BIGINT) AS shares, round(shares * close, 4) AS position_value FROM z")
+@query("position_sizing", f"{SCORED} SELECT ticker, CAST(shares AS BIGINT) AS shares, round(shares * close, 4) AS position_value, round_even(shares * close / 1e9 * 100, 1) AS position_pct FROM z")
 def position_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("ticker", "shares", "position_value")
+    return _scored(spark, sf_dir).select("ticker", "shares", "position_value", "position_pct")
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report day's list; no table of sectors, so all are Unknown and two tickers are taken."""
+    day = _report_day(spark, sf_dir)
+    return strategies.top_list(_until(_loose(spark, sf_dir), day), _until(_regime(spark, sf_dir), day, "date"), spark.createDataFrame([], "ticker string, sector string"))
 
 
 @query(
@@ -247,17 +295,17 @@ def top_sector_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.capped_top(scored).select("ticker", "sector", "score")
 
 
-TRADES_SQL = f"{ALL_SQL}, {S.TRADES}"
+TRADES_SQL = f"{LOOSE_SQL}, {S.TRADES}"
 
 
 @query("trades_nonoverlap", f"{TRADES_SQL} SELECT strategy, holding_days, ticker, idx, time, round(ret, 4) AS ret FROM tr")
 def trades_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.trades(_signals(spark, sf_dir))
+    return backtest.trades(_loose(spark, sf_dir))
 
 
 @query("equity_drawdown", f"{TRADES_SQL} SELECT strategy, holding_days, ticker, idx, time, {r4('ret equity drawdown')} FROM dd")
 def equity_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.drawdowns(backtest.trades(_signals(spark, sf_dir)))
+    return backtest.drawdowns(backtest.trades(_loose(spark, sf_dir)))
 
 
 METRICS = "win_rate avg_return profit_factor max_drawdown sharpe_ratio"
@@ -265,12 +313,15 @@ METRICS = "win_rate avg_return profit_factor max_drawdown sharpe_ratio"
 
 @query("backtest_matrix", f"{TRADES_SQL} SELECT strategy, holding_days, n_trades, {r4(METRICS)} FROM mt")
 def backtest_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.metrics(backtest.trades(_signals(spark, sf_dir)))
+    return backtest.metrics(backtest.trades(_loose(spark, sf_dir)))
+
+
+ACCEPT_SQL = " OR ".join(f"(win_rate > {x.win_rate} AND profit_factor > {x.profit_factor} AND max_drawdown < {x.max_drawdown} AND n_trades >= {x.n_trades})" for x in ACCEPT)
 
 
-@query("best_strategies", f"{TRADES_SQL} SELECT strategy, holding_days, n_trades, {r4(METRICS)} FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY sharpe_ratio DESC, holding_days) AS k FROM mt WHERE (win_rate > 51 AND profit_factor > 1.2 AND max_drawdown < 40 AND n_trades >= 50) OR (win_rate > 60 AND profit_factor > 2 AND max_drawdown < 20 AND n_trades >= 10)) WHERE k = 1")
+@query("best_strategies", f"{TRADES_SQL} SELECT strategy, holding_days, n_trades, {r4(METRICS)} FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY sharpe_ratio DESC, holding_days) AS k FROM mt WHERE {ACCEPT_SQL}) WHERE k = 1")
 def best_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.best_strategies(backtest.metrics(backtest.trades(_signals(spark, sf_dir))))
+    return backtest.ranked(backtest.best_strategies(backtest.metrics(backtest.trades(_loose(spark, sf_dir))), ACCEPT))
 
 
 YEARS_SQL = f"""{ALL_SQL}, y0 AS (SELECT ticker, time, year(time) AS y, row_number() OVER w - 1 AS i, lead(open, 1) OVER w AS entry, lead(open, 6) OVER w AS exit_, SIG_MOMENTUM FROM sg WINDOW w AS (PARTITION BY ticker, year(time) ORDER BY time)),
@@ -320,74 +371,213 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.freshness(_suppliers(spark, sf_dir), DAY)
 
 
-@query("listing_normalise", "SELECT ticker, min(exchange) AS exchange FROM (SELECT upper(trim(p_brand[7:])) AS ticker, upper(trim(p_type)) AS exchange FROM part) WHERE length(ticker) <= 4 AND exchange IN (SELECT DISTINCT upper(trim(p_type)) FROM part WHERE p_type IS NOT NULL) GROUP BY 1")
+@query("listing_normalise", "SELECT ticker, min(exchange) AS exchange FROM (SELECT upper(trim(p_brand)) AS ticker, upper(trim(p_type)) AS exchange FROM part) WHERE length(ticker) <= 7 AND exchange IN ('PROMO', 'LARGE', 'SMALL') GROUP BY 1")
 def listing_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("substring(p_brand, 7)").alias(" Symbol"), F.col("p_type").alias("EXCHANGE"))
-    types = part.select(F.upper(F.trim("EXCHANGE"))).distinct().limit(1000).toPandas().iloc[:, 0].tolist()
-    return B.normalise_listing(part, types)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower(F.concat(F.lit(" "), "p_brand")).alias(" Symbol"), F.concat("p_type", F.lit(" ")).alias("EXCHANGE"))
+    return B.normalise_listing(part, ["PROMO", "LARGE", "SMALL"], 7)
 
 
-@query("redact_text", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)https://api\.telegram\.org/bot[^/\s]+', 'https://api.telegram.org/bot[REDACTED_TOKEN]', 'g'), '\b[0-9]{8,11}:[A-Za-z0-9_-]{35,}\b', '[REDACTED_TOKEN]', 'g')) AS digest FROM documents")
+SECRET_SQL = "text || ' https://api.telegram.org/bot' || doc_id || ':abc/send ' || (12345678 + doc_id) || ':' || repeat('a', 35)"
+
+
+@query("redact_text", rf"SELECT doc_id, sha256(regexp_replace(regexp_replace({SECRET_SQL}, '(?i)https://api\.telegram\.org/bot[^/\s]+', 'https://api.telegram.org/bot[REDACTED_TOKEN]', 'g'), '\b\d{{8,11}}:[A-Za-z0-9_-]{{35,}}\b', '[REDACTED_TOKEN]', 'g')) AS digest FROM documents")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a bot's URL and token behind their texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.sha2(redact(F.col("text")), 256).alias("digest"))
+    said = F.concat("text", F.lit(" https://api.telegram.org/bot"), "doc_id", F.lit(":abc/send "), F.col("doc_id") + 12345678, F.lit(":" + "a" * 35))
+    return docs.select("doc_id", F.sha2(redact(said), 256).alias("digest"))
 
 
 def _tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tracker made from one day's bars in six."""
-    bars = _flags(spark, sf_dir).filter("dayofmonth(time) = 1 and month(time) % 6 = 0")
+    """A tracker of every bar on which a trusted strategy fired, at the last known prices."""
+    rows = strategies.risk_levels(strategies.score(_loose(spark, sf_dir).withColumn("regime", F.lit("UNKNOWN")))).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
+    rows = rows.join(B.latest_prices(_flags(spark, sf_dir)).withColumnRenamed("close", "_now"), "ticker")
     none = {"result": "string", "days_held": "int", "exit_price": "double", "exit_date": "date", "note": "string"}
-    return bars.select(F.to_date("time").alias("signal_date"), "ticker", F.lit("Unknown").alias("sector"), F.lit("-").alias("signals_fired"), F.lit(1.0).alias("score"), F.col("close").alias("entry_price"), (F.col("close") * 0.5).alias("STOP_LOSS"), (F.col("close") * 1.5).alias("TARGET_1"), (F.col("close") * 2).alias("TARGET_2"), F.lit(0.0).alias("return_pct"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    gain = F.bround((F.col("_now") / F.col("close") - 1) * 100, 2)
+    return rows.select(F.to_date("time").alias("signal_date"), "ticker", F.lit("Unknown").alias("sector"), "signals_fired", "score", F.col("close").alias("entry_price"), "STOP_LOSS", "TARGET_1", "TARGET_2", gain.alias("return_pct"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
 
 
-TRACKER_SQL = f"""{FLAGS_SQL}, t AS (SELECT CAST(time AS DATE) AS d, ticker, close AS entry FROM b WHERE day(time) = 1 AND month(time) % 6 = 0),
-p AS (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1), h AS (SELECT t.ticker, t.d, count(b.time) AS held FROM t LEFT JOIN b ON b.ticker = t.ticker AND CAST(b.time AS DATE) > t.d GROUP BY 1, 2),
-s AS (SELECT t.d AS signal_date, t.ticker, CASE WHEN price >= entry * 1.5 THEN 'WIN' WHEN price <= entry * 0.5 AND entry * 0.5 > 0 THEN 'LOSS' WHEN held >= 20 THEN CASE WHEN price > entry THEN 'WIN' ELSE 'LOSS' END ELSE 'HOLDING' END AS result, CAST(held AS INTEGER) AS days_held FROM t JOIN p USING (ticker) JOIN h ON h.ticker = t.ticker AND h.d = t.d)"""
+TRACKED = f"""w AS (SELECT sg.*, {FIRED} AS fired, CAST(round({POINTS.replace("regime = 'BEAR'", "false")}, 4) AS DOUBLE) AS score, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2 FROM sg),
+p AS (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1),
+t AS (SELECT CAST(time AS DATE) AS d, w.ticker, fired, score, close AS entry, STOP_LOSS, TARGET_1, TARGET_2, price, round_even((price / close - 1) * 100, 2) AS return_pct FROM w JOIN p USING (ticker) WHERE SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC)"""
+TRACKER_SQL = f"""{LOOSE_SQL}, {TRACKED},
+h AS (SELECT t.ticker, t.d, count(b.time) AS held FROM t LEFT JOIN b ON b.ticker = t.ticker AND CAST(b.time AS DATE) > t.d GROUP BY 1, 2),
+s AS (SELECT t.d AS signal_date, t.ticker, return_pct, CASE WHEN price >= TARGET_1 THEN 'WIN' WHEN price <= STOP_LOSS AND STOP_LOSS > 0 THEN 'LOSS' WHEN held >= 20 THEN CASE WHEN price > entry THEN 'WIN' ELSE 'LOSS' END ELSE 'HOLDING' END AS result, CAST(held AS INTEGER) AS days_held,
+  CASE WHEN held >= 20 AND NOT (price >= TARGET_1) AND NOT (price <= STOP_LOSS AND STOP_LOSS > 0) THEN 'EXPIRED_T+20' END AS note FROM t JOIN h ON h.ticker = t.ticker AND h.d = t.d)"""
 
 
-@query("tracker_status", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, result, days_held FROM s")
+@query("tracker_status", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, result, days_held, note FROM s")
 def tracker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)).select("signal_date", "ticker", "result", "days_held")
+    return tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)).select("signal_date", "ticker", "result", "days_held", "note")
 
 
-@query("weekly_metrics", f"{TRACKER_SQL} SELECT count(*) AS total, count(*) FILTER (result = 'HOLDING') AS holding, count(*) FILTER (result = 'WIN') AS wins, count(*) FILTER (result = 'LOSS') AS losses, count(*) FILTER (result != 'HOLDING') AS closed, round(count(*) FILTER (result = 'WIN') / count(*) FILTER (result != 'HOLDING') * 100, 4) AS win_rate, 0.0 AS avg_return, count(*) FILTER (signal_date >= DATE '{DAY}' - 7) AS new_signals FROM s")
+@query("weekly_metrics", f"{TRACKER_SQL} SELECT count(*) AS total, count(*) FILTER (result = 'HOLDING') AS holding, count(*) FILTER (result = 'WIN') AS wins, count(*) FILTER (result = 'LOSS') AS losses, count(*) FILTER (result != 'HOLDING') AS closed, round(count(*) FILTER (result = 'WIN') / count(*) FILTER (result != 'HOLDING') * 100, 4) AS win_rate, round(avg(return_pct) FILTER (result != 'HOLDING'), 4) AS avg_return, count(*) FILTER (signal_date >= DATE '{DAY}' - 30) AS new_signals FROM s")
 def weekly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.weekly(tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)), DAY)
+    return tracking.weekly(tracking.settle(_tracker(spark, sf_dir), _flags(spark, sf_dir)), DAY, 30)
 
 
-UPSERT_SQL = f"""{SCORED}, w0 AS (SELECT CAST(time AS DATE) AS signal_date, ticker, 'Unknown' AS sector, '-' AS signals_fired, 1.0 AS score, close AS entry_price, close * 0.5 AS STOP_LOSS, close * 1.5 AS TARGET_1, close * 2 AS TARGET_2 FROM b WHERE day(time) = 1 AND month(time) % 6 = 0),
-w1 AS (SELECT DATE '{DAY}' AS signal_date, ticker, 'Unknown' AS sector, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS signals_fired,
-  score, close AS entry_price, coalesce(STOP_LOSS, close * 0.95) AS STOP_LOSS, coalesce(TARGET_1, close * 1.05) AS TARGET_1, coalesce(TARGET_2, close * 1.1) AS TARGET_2 FROM z),
+UPSERT_SQL = f"""{SCORED}, {TRACKED},
+w0 AS (SELECT d AS signal_date, t.ticker, 'Unknown' AS sector, fired AS signals_fired, score, entry AS entry_price, STOP_LOSS, TARGET_1, TARGET_2 FROM t, report WHERE d < CAST(day AS DATE) OR (d = CAST(day AS DATE) AND t.ticker < 'N')),
+w1 AS (SELECT CAST(day AS DATE) AS signal_date, ticker, sector, fired AS signals_fired, score, close AS entry_price, coalesce(STOP_LOSS, close * 0.95) AS STOP_LOSS, coalesce(TARGET_1, close * 1.05) AS TARGET_1, coalesce(TARGET_2, close * 1.1) AS TARGET_2 FROM chosen, report),
 w2 AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 WHERE NOT EXISTS (SELECT 1 FROM w0 WHERE w0.signal_date = w1.signal_date AND w0.ticker = w1.ticker AND w0.signals_fired = w1.signals_fired)),
-w3 AS (SELECT w2.*, CASE WHEN price > 0 THEN price ELSE entry_price END AS current_price FROM w2 LEFT JOIN (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1) USING (ticker))"""
+w3 AS (SELECT w2.*, CASE WHEN price > 0 THEN price ELSE entry_price END AS current_price FROM w2 LEFT JOIN p USING (ticker)),
+w4 AS (SELECT *, round_even((current_price / nullif(entry_price, 0) - 1) * 100, 2) AS return_pct, CASE WHEN STOP_LOSS > 0 AND current_price <= STOP_LOSS THEN 'SL_HIT' WHEN current_price >= TARGET_2 THEN 'T2_REACHED' WHEN current_price >= TARGET_1 THEN 'T1_REACHED' ELSE 'HOLDING' END AS touch_status FROM w3)"""
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = _report_day(spark, sf_dir)
+    tracked = _until(_tracker(spark, sf_dir), day, "signal_date").join(F.broadcast(day), (F.col("signal_date") < F.to_date("_until")) | (F.col("ticker") < "N")).drop("_until")
+    return tracking.upsert(tracked, _top(spark, sf_dir), B.latest_prices(_flags(spark, sf_dir)), F.to_date("time"))
 
 
-@query("tracker_upsert", f"""{UPSERT_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, sector, signals_fired, {r4('score entry_price STOP_LOSS TARGET_1 TARGET_2 current_price')}, round_even((current_price / nullif(entry_price, 0) - 1) * 100, 2) AS return_pct,
-  CASE WHEN STOP_LOSS > 0 AND current_price <= STOP_LOSS THEN 'SL_HIT' WHEN current_price >= TARGET_2 THEN 'T2_REACHED' WHEN current_price >= TARGET_1 THEN 'T1_REACHED' ELSE 'HOLDING' END AS touch_status, '{DAY}' AS last_updated, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS INTEGER) AS days_held, CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS VARCHAR) AS exit_date, CAST(NULL AS VARCHAR) AS note FROM w3""")
+@query("tracker_upsert", f"""{UPSERT_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, sector, signals_fired, {r4('score entry_price STOP_LOSS TARGET_1 TARGET_2 current_price')}, return_pct, touch_status FROM w4""")
 def tracker_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
-    last = _flags(spark, sf_dir).groupBy("ticker").agg(F.max_by("close", "time").alias("close"))
-    return tracking.upsert(_tracker(spark, sf_dir), top, last, DAY)
+    return _upserted(spark, sf_dir).select("signal_date", "ticker", "sector", "signals_fired", "score", "entry_price", "STOP_LOSS", "TARGET_1", "TARGET_2", "current_price", "return_pct", "touch_status")
 
 
-@query("note_restore", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, CASE WHEN ticker = 'RF' THEN 'mine' ELSE '' END AS note FROM s")
+@query("performance_report", f"{UPSERT_SQL}, pf AS (SELECT count(*) AS total, count(*) FILTER (touch_status = 'HOLDING') AS holding, count(*) FILTER (touch_status LIKE 'T%') AS targets, count(*) FILTER (touch_status = 'SL_HIT') AS stops, round(avg(return_pct), 4) AS avg_return FROM w4) SELECT *, CASE WHEN targets + stops > 0 THEN round(targets / (targets + stops) * 100, 4) ELSE 0.0 END AS win_rate FROM pf")
+def performance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.performance(_upserted(spark, sf_dir))
+
+
+@query("note_restore", f"{TRACKER_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, CASE WHEN ticker > 'N' THEN 'mine' ELSE '' END AS note FROM s")
 def note_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tracker(spark, sf_dir)
-    notes = rows.filter("ticker = 'RF'").select("signal_date", "ticker", F.lit(" mine ").alias("note"))
+    notes = rows.filter("ticker > 'N'").select("signal_date", "ticker", F.lit(" mine ").alias("note"))
     return tracking.restore_notes(rows, notes).select("signal_date", "ticker", "note")
 
 
-@query("load_plan", f"{SUPPLIERS_SQL}, l AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS ticker, 'X' AS exchange FROM supplier), m AS (SELECT ticker, CAST(max(time) AS DATE) AS d, count(*) AS n FROM b GROUP BY 1) SELECT l.ticker, l.exchange, coalesce(n, 0) AS total_rows, CAST(CAST(CASE WHEN d IS NULL THEN DATE '2016-01-01' WHEN d >= DATE '{DAY}' THEN DATE '{DAY}' ELSE d + 1 END AS DATE) AS VARCHAR) AS fetch_start, CASE WHEN d IS NULL THEN 'full_load' ELSE 'delta_updated' END AS status FROM l LEFT JOIN m USING (ticker)")
+@query("tracker_roundtrip", f"{TRACKER_SQL} SELECT CAST(d AS VARCHAR) AS signal_date, ticker, fired AS signals_fired, {r4('score', 4)}, round(entry, 4) AS entry_price, STOP_LOSS, TARGET_1, return_pct FROM t")
+def tracker_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker saved as parquet and CSV, and read back from the CSV."""
+    folder = folders.scratch(spark)
+    sinks.save_tracker(_tracker(spark, sf_dir), folder)
+    return sinks.typed_tracker(sinks.read_tracker(spark, folder)).select("signal_date", "ticker", "signals_fired", "score", "entry_price", "STOP_LOSS", "TARGET_1", "return_pct")
+
+
+NEW = "unnest(['NEW1', 'NEW2', 'NEW3'])"
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers, and tickers that have no bars."""
+    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("ticker")).distinct()
+    return known.unionByName(spark.createDataFrame([("NEW1",), ("NEW2",), ("NEW3",)], "ticker string")).withColumn("exchange", F.lit("X"))
+
+
+PLAN_SQL = f"""{SUPPLIERS_SQL}, l AS (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) AS ticker, 'X' AS exchange FROM supplier UNION ALL SELECT {NEW}, 'X'),
+m AS (SELECT ticker, CAST(max(time) AS DATE) AS d, count(*) FILTER (time < DATE '{DAY}') AS n FROM b GROUP BY 1),
+pl AS (SELECT l.ticker, l.exchange, coalesce(n, 0) AS total_rows, CASE WHEN d IS NULL THEN DATE '2016-01-01' WHEN d >= DATE '{DAY}' THEN DATE '{DAY}' ELSE CAST(d + 1 AS DATE) END AS fetch_start, CASE WHEN d IS NULL THEN 'full_load' ELSE 'delta_updated' END AS status FROM l LEFT JOIN m USING (ticker))"""
+
+
+@query("load_plan", f"{PLAN_SQL} SELECT ticker, exchange, total_rows, CAST(fetch_start AS VARCHAR) AS fetch_start, status FROM pl")
 def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listing = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("ticker"), F.lit("X").alias("exchange")).distinct()
-    return B.load_plan(listing, _suppliers(spark, sf_dir), DAY)
+    return B.load_plan(_listing(spark, sf_dir), _suppliers(spark, sf_dir), DAY)
+
+
+RESULT_SQL = f"""{PLAN_SQL}, came AS (SELECT ticker, count(*) AS k FROM (SELECT ticker FROM b WHERE time >= DATE '{DAY}' UNION ALL SELECT 'NEW1') GROUP BY 1),
+rs AS (SELECT pl.ticker, pl.exchange, CASE WHEN pl.ticker = 'NEW3' THEN 'not_attempted' WHEN k > 0 THEN status WHEN status = 'full_load' THEN 'fetch_failed' ELSE 'no_new_data' END AS status, CASE WHEN pl.ticker = 'NEW3' THEN 0 ELSE coalesce(k, 0) END AS rows_added, CASE WHEN pl.ticker = 'NEW3' THEN 0 ELSE total_rows + coalesce(k, 0) END AS total_rows FROM pl LEFT JOIN came USING (ticker))"""
+
+
+def _load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that brings the last days' bars and one of a new ticker; a second one fails and a third isn't tried."""
+    listing, bars = _listing(spark, sf_dir), _suppliers(spark, sf_dir)
+    fetched = bars.filter(F.col("time") >= F.lit(DAY).cast("timestamp_ntz")).select("ticker").unionByName(spark.createDataFrame([("NEW1",)], "ticker string"))
+    return B.load_summary(listing, B.load_results(B.load_plan(listing, bars, DAY).filter("ticker <> 'NEW3'"), fetched))
+
+
+@query("load_summary", f"{RESULT_SQL} SELECT * FROM rs")
+def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _load_summary(spark, sf_dir).select("ticker", "exchange", "status", "rows_added", "total_rows")
+
+
+@query("status_counts", f"{RESULT_SQL} SELECT count(*) AS tickers, count(*) FILTER (status IN ('full_load', 'delta_updated')) AS updated, count(*) FILTER (status = 'no_new_data') AS up_to_date, count(*) FILTER (status = 'fetch_failed') AS failed, count(*) FILTER (status = 'not_attempted') AS not_attempted FROM rs")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.status_counts(_load_summary(spark, sf_dir))
+
+
+@query("audit_append", f"{RESULT_SQL} SELECT d AS run_date, status, count(*) AS n, CAST(sum(rows_added) AS BIGINT) AS rows_added FROM rs, unnest(['2001-11-01', '2001-11-02']) x(d) GROUP BY 1, 2")
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads' summaries in one log."""
+    path = folders.scratch(spark)
+    for day in ("2001-11-01", "2001-11-02"):
+        sinks.append_log(_load_summary(spark, sf_dir), path, day)
+    return spark.read.parquet(path).groupBy("run_date", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("rows_added").alias("rows_added"))
+
+
+@query("universe_scan", f"{SUPPLIERS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b WHERE time BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-06-30' AND ticker IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)")
+def universe_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written once, then some tickers' scanned between two dates."""
+    path = folders.scratch(spark)
+    sinks.write_bars(_suppliers(spark, sf_dir), path)
+    some = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("ticker"))
+    return B.read_bars(spark, path, some, "1995-01-01", "1996-06-30")
+
+
+@query("filter_outputs", f"{SCREEN_SQL} SELECT ticker, rejection_reason AS reason, n_bars AS bars FROM u")
+def filter_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screened universe written as two tables, and what each holds of a ticker."""
+    folder, bars = folders.scratch(spark), _suppliers(spark, sf_dir)
+    sinks.save_universe(bars, quality.screen(bars, SCREENS), folder)
+    passed = B.read_bars(spark, f"{folder}/universe_filtered").groupBy("ticker").agg(F.lit("passed").alias("reason"), F.count(F.lit(1)).alias("bars"))
+    return passed.unionByName(spark.read.parquet(f"{folder}/rejected_tickers").select("ticker", F.col("rejection_reason").alias("reason"), F.col("n_bars").alias("bars")))
+
+
+@query("feature_merge", f"{MEANS_SQL} SELECT ticker, time, round(CASE WHEN time >= TIMESTAMP '1997-01-01' AND ticker != 'RF' THEN MA_20 + 1 ELSE MA_20 END, 6) AS MA_20 FROM m", 6)
+def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature table made, then merged with new rows of all tickers but one."""
+    path, rows = folders.scratch(spark), indicators.moving_averages(_flags(spark, sf_dir)).select("ticker", "time", "MA_20")
+    sinks.merge_features(rows, path)
+    sinks.merge_features(rows.filter("time >= timestamp_ntz'1997-01-01' and ticker <> 'RF'").withColumn("MA_20", F.col("MA_20") + 1), path)
+    return spark.read.parquet(path)
+
+
+@query("snapshot_roundtrip", f"{MEANS_SQL} SELECT ticker, max(time) AS time, {', '.join(f'round(arg_max({c}, time) FILTER ({c} IS NOT NULL), 4) AS {c}' for c in ('close', 'TENKAN_9', 'KIJUN_26'))} FROM m GROUP BY 1")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folders.scratch(spark)
+    sinks.save_snapshot(indicators.ichimoku(_flags(spark, sf_dir)).select("ticker", "time", "close", "TENKAN_9", "KIJUN_26"), path)
+    return spark.read.parquet(path)
+
+
+@query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def sector_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as the second level of a classification and regions as the first."""
+    named = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey")).join(spark.read.parquet(f"{sf_dir}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    levels = F.array(F.struct(F.lit(2).alias("icb_level"), F.col("n_name").alias("icb_name")), F.struct(F.lit(1).alias("icb_level"), F.col("r_name").alias("icb_name")), F.struct(F.lit(2).alias("icb_level"), F.concat("n_name", F.lit("~")).alias("icb_name")))
+    return B.sector_mapping(named.select(F.concat(F.lit(" "), "s_suppkey").alias("symbol"), F.explode(levels).alias("x")).select("symbol", "x.*"))
+
+
+@query("recent_activity", f"{SUPPLIERS_SQL}, c AS (SELECT CAST(max(time) - INTERVAL 90 DAY AS DATE) AS cutoff FROM b) SELECT ticker, count(*) FILTER (time >= cutoff) AS recent_active_days, (SELECT count(DISTINCT time) FROM b, c WHERE time >= cutoff) AS market_days FROM b, c GROUP BY 1")
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.recent_activity(_suppliers(spark, sf_dir))
+
+
+@query("universe_summary", f"{SUPPLIERS_SQL} SELECT count(DISTINCT ticker) AS tickers, count(*) AS n_rows, min(time) AS first_time, max(time) AS last_time FROM b")
+def universe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.universe_summary(_suppliers(spark, sf_dir))
+
+
+@query("last_day_mode", f"{SUPPLIERS_SQL}, l AS (SELECT CAST(max(time) AS DATE) AS d FROM b GROUP BY ticker) SELECT CAST(d AS VARCHAR) AS last_day, count(*) AS tickers FROM l GROUP BY d ORDER BY count(*) DESC, d LIMIT 1")
+def last_day_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.commonest_last_day(_suppliers(spark, sf_dir))
+
+
+CHECKED = ["MA_20", "MA_50", "MA_200", "RSI_14", "MACD_HIST", "SENKOU_A", "SENKOU_B"]
+
+
+@query("null_shares", f"{ALL_SQL} SELECT name, round(share, 4) AS null_share FROM (SELECT {', '.join(f'avg(CAST({c} IS NULL AS INTEGER)) AS {c}' for c in CHECKED)} FROM f) UNPIVOT (share FOR name IN ({', '.join(CHECKED)}))")
+def null_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.null_shares(indicators.features(_flags(spark, sf_dir)), CHECKED)
+
+
+@query("smc_conditions", f"{LOOSE_SQL} SELECT count(*) FILTER (CHOCH_BULL) AS choch, count(*) FILTER (RSI_14 < 40) AS low_rsi, count(*) FILTER (OB_BULL) AS blocks, count(*) FILTER (close <= MA_20 - 2 * dev) AS under_band, count(*) FILTER (MACD_HIST - h0 > 0) AS rising, count(*) FILTER (SIG_SMC) AS fired FROM sg")
+def smc_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each condition of the reversal strategy holds."""
+    return strategies.condition_counts(_loose(spark, sf_dir))
 
 
-@query("report_lines", f"""{SCORED}, best AS (SELECT *, coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-') AS fired FROM z ORDER BY score DESC, ticker LIMIT 2)
-  SELECT ticker, concat_ws(' | ', ticker, 'Unknown', printf('%.1f', score), fired, format('{{:,.0f}}', round_even(close, 0)), 'SL ' || format('{{:,.0f}}', STOP_LOSS), 'T1 ' || format('{{:,.0f}}', TARGET_1), printf('risk %.1f%%', round_even((close - STOP_LOSS) / close * 100, 1))) AS line FROM best""")
+@query("report_lines", f"""{SCORED} SELECT ticker, concat_ws(' | ', ticker, sector, printf('%.1f', score), fired, format('{{:,.0f}}', round_even(close, 0)), 'SL ' || format('{{:,.0f}}', STOP_LOSS), 'T1 ' || format('{{:,.0f}}', TARGET_1), printf('risk %.1f%%', round_even((close - STOP_LOSS) / close * 100, 1))) AS line FROM chosen""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = strategies.with_sector(_scored(spark, sf_dir), spark.createDataFrame([], "ticker string, sector string"))
-    return strategies.capped_top(top).select("ticker", report_line().alias("line"))
+    return _top(spark, sf_dir).select("ticker", report_line().alias("line"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,17 +74,25 @@ st AS (SELECT ticker, time, bh AND trend >= 0 AS BOS_BULL, bh AND trend < 0 AS C
 BLOCKS = """ob AS (SELECT ticker, time, coalesce(close < open AND lead(close, 1) OVER w > lead(open, 1) OVER w AND lead(close, 2) OVER w > lead(open, 2) OVER w AND lead(close, 3) OVER w > lead(open, 3) OVER w, false) AS OB_BULL,
   coalesce(close > open AND lead(close, 1) OVER w < lead(open, 1) OVER w AND lead(close, 2) OVER w < lead(open, 2) OVER w AND lead(close, 3) OVER w < lead(open, 3) OVER w, false) AS OB_BEAR, high, low FROM b WINDOW w AS (PARTITION BY ticker ORDER BY time))"""
 
-SIGNALS = """f AS (SELECT m.*, e.* EXCLUDE (ticker, time), st.* EXCLUDE (ticker, time), OB_BULL, OB_BEAR, CASE WHEN OB_BULL OR OB_BEAR THEN ob.low END AS OB_LOW,
+def signals(smc_rsi: float = 40, cloud_adx: float = 25, golden_adx: float = 20, block_rsi: float = 45) -> str:
+    return f"""f AS (SELECT m.*, e.* EXCLUDE (ticker, time), st.* EXCLUDE (ticker, time), OB_BULL, OB_BEAR, CASE WHEN OB_BULL OR OB_BEAR THEN ob.low END AS OB_LOW,
     lag((TENKAN_9 + KIJUN_26) / 2, 26) OVER w AS SENKOU_A, lag(wide, 26) OVER w AS SENKOU_B
   FROM m JOIN e USING (ticker, time) JOIN st USING (ticker, time) JOIN ob USING (ticker, time) WINDOW w AS (PARTITION BY m.ticker ORDER BY m.time)),
 g AS (SELECT *, lag(MACD_HIST) OVER w AS h0, lag(MA_50) OVER w AS m50, lag(MA_200) OVER w AS m200, lag(OB_LOW) OVER w AS low0 FROM f WINDOW w AS (PARTITION BY ticker ORDER BY time)),
-sg AS (SELECT *, coalesce(CHOCH_BULL AND (OB_BULL OR coalesce(close <= MA_20 - 2 * dev, false)) AND RSI_14 < 40 AND MACD_HIST > h0, false) AS SIG_SMC,
-  coalesce(close > SENKOU_A AND close > SENKOU_B AND TENKAN_9 > KIJUN_26 AND BOS_BULL AND ADX_14 > 25, false) AS SIG_ICHIMOKU,
+sg AS (SELECT *, coalesce(CHOCH_BULL AND (OB_BULL OR coalesce(close <= MA_20 - 2 * dev, false)) AND RSI_14 < {smc_rsi} AND MACD_HIST > h0, false) AS SIG_SMC,
+  coalesce(close > SENKOU_A AND close > SENKOU_B AND TENKAN_9 > KIJUN_26 AND BOS_BULL AND ADX_14 > {cloud_adx}, false) AS SIG_ICHIMOKU,
   coalesce(close > MA_20 AND MA_20 > MA_50 AND RSI_14 > 50 AND RSI_14 < 70 AND MACD_12_26_9 > MACD_SIGNAL_9 AND MACD_HIST > 0 AND MACD_HIST > h0 AND BOS_BULL, false) AS SIG_MOMENTUM,
-  coalesce(MA_50 > MA_200 AND m50 <= m200 AND close > SENKOU_A AND close > SENKOU_B AND ADX_14 > 20 AND volume > vol20, false) AS SIG_GOLDEN,
-  coalesce((OB_BULL OR coalesce(low <= low0 AND low0 < close, false)) AND RSI_14 < 45 AND DI_PLUS_14 > DI_MINUS_14 AND close > KIJUN_26, false) AS SIG_OB FROM g)"""
+  coalesce(MA_50 > MA_200 AND m50 <= m200 AND close > SENKOU_A AND close > SENKOU_B AND ADX_14 > {golden_adx} AND volume > vol20, false) AS SIG_GOLDEN,
+  coalesce((OB_BULL OR coalesce(low <= low0 AND low0 < close, false)) AND RSI_14 < {block_rsi} AND DI_PLUS_14 > DI_MINUS_14 AND close > KIJUN_26, false) AS SIG_OB FROM g)"""
+
+FEATURES = [bars(FLAG), MEANS, STEPS, SWINGS, STRUCTURE, BLOCKS]
+ALL = ",\n".join([*FEATURES, signals()])
+
+
+def loose(*levels: float) -> str:
+    return ",\n".join([*FEATURES, signals(*levels)])
+
 
-ALL = ",\n".join([bars(FLAG), MEANS, STEPS, SWINGS, STRUCTURE, BLOCKS, SIGNALS])
 
 REGIME = ",\n".join([bars("'INDEX'"), STEPS]) + f""",
 rg AS (SELECT CAST(b.time AS DATE) AS date, b.close AS index_close, {roll("avg", "b.close", 200, 50).replace("ticker", "b.ticker").replace("ORDER BY time", "ORDER BY b.time")} AS index_ma200, ADX_14 AS index_adx FROM b JOIN e ON e.ticker = b.ticker AND e.time = b.time),

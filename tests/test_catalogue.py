@@ -46,8 +46,8 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "ticker string, i int, open double, high double, low double, close double").withColumns({"time": F.expr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, i)"), "volume": F.lit(100).cast("long")})
 
 
-def test_ewm_over_blocks_equals_recursion(spark):
-    n, alpha = 1600, 0.2
+@pytest.mark.parametrize(("n", "alpha"), [(1600, 0.2), (4000, 0.5), (10_000, 2 / 201), (10_000, 1 / 14), (50, 1.0)])
+def test_ewm_over_blocks_equals_recursion(spark, n, alpha):
     values = [100 + (i * 7919) % 23 for i in range(n)]
     df = ewm(frame(spark, [("A", i, 1.0, 1.0, 1.0, float(v)) for i, v in enumerate(values)]), "close", alpha, "y")
     y = [r["y"] for r in df.orderBy("i").collect()]
