@@ -344,7 +344,7 @@ def test_chains_equal_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):
         x, y = rng.integers(0, 300, 25), rng.integers(0, 300, 25)
-        chain = substring_dedup.best_chains(x, y, least=1)[0]
+        chain = substring_dedup.best_chains(x, y)[0]
         order = np.lexsort((-y, x))
         a, b, best = x[order], y[order], np.zeros(25)
         for i in range(25):
