@@ -208,7 +208,7 @@ def test_scores(docs, none):
 
 
 def test_probabilities_sum_to_one():
-    contexts = lm_score.Contexts([(b"a",), (b"b",), (b"a", b"b")])
+    contexts = lm_score.Contexts(np.array([0, 1 << 32, 2 << 32, (2 << 32) + 3], np.uint64))
     words, per = 30, 4
     rng = np.random.default_rng(0)
     seating = lm_score.Seating(np.repeat(np.arange(words), per), np.tile(np.arange(per), words), rng.integers(0, 5, words * per), contexts)
@@ -228,7 +228,7 @@ def test_probabilities_sum_to_one():
 
 def test_sweep_redraws_whole_dishes():
     """Tables of a dish follow their exact distribution given its customers, however many they are."""
-    contexts, dishes = lm_score.Contexts([]), 2000
+    contexts, dishes = lm_score.Contexts(np.zeros(1, np.uint64)), 2000
     for customers, worth, d in ((3, 5.0, 0.7), (20, 0.5, 0.6), (300, 900.0, 0.6), (600, 40.0, 0.7)):
         seating = lm_score.Seating(np.arange(dishes), np.zeros(dishes, np.int64), np.full(dishes, customers), contexts)
         seating.open()
@@ -246,6 +246,99 @@ def test_sweep_redraws_whole_dishes():
         assert (np.bincount(seating.owners(), weights=seating.sizes) == customers).all()
 
 
+class PlainModel:
+    """The hierarchical model customer by customer: leave a table at random, sit down by the Chinese-restaurant chances."""
+
+    def __init__(self, discounts, base, seed):
+        self.tables, self.d, self.base, self.rng = {}, discounts, base, np.random.default_rng(seed)
+
+    def p(self, u, w):
+        parent = self.p(u[:-1], w) if u else self.base
+        dishes = self.tables.get(u, {})
+        c, t = (sum(sum(x) for x in dishes.values()), sum(len(x) for x in dishes.values()))
+        mine, d = dishes.get(w, []), self.d[len(u)]
+        return (sum(mine) - d * len(mine) + (1 + d * t) * parent) / (1 + c)
+
+    def sit(self, u, w):
+        dishes, d = self.tables.setdefault(u, {}), self.d[len(u)]
+        mine = dishes.setdefault(w, [])
+        chances = [n - d for n in mine] + [(1 + d * sum(len(x) for x in dishes.values())) * (self.p(u[:-1], w) if u else self.base)]
+        i = self.rng.choice(len(chances), p=np.array(chances) / sum(chances))
+        if i < len(mine):
+            mine[i] += 1
+        else:
+            mine.append(1)
+            if u:
+                self.sit(u[:-1], w)
+
+    def leave(self, u, w):
+        mine = self.tables[u][w]
+        i = self.rng.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[i] -= 1
+        if not mine[i]:
+            mine.pop(i)
+            if u:
+                self.leave(u[:-1], w)
+
+
+def test_scores_equal_plain_sampler(spark):
+    """Averaged scores are those of a customer-by-customer sampler, however rows and dishes are dealt; a richer model gains more."""
+    rng = np.random.default_rng(6)
+    after = rng.integers(0, 25, (25, 3))
+    texts = []
+    for _ in range(70):
+        words = [int(rng.integers(0, 25))]
+        while len(words) < 30:
+            words.append(int(after[words[-1]][rng.integers(0, 3)]) if rng.random() < 0.8 else int(min(24, rng.exponential(6))))
+        texts.append(words)
+    table = spark.createDataFrame([(i, " ".join(f"v{w}" for w in x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    least, run = 25, {"sweeps": 24, "burn_in": 4, "bucket_tokens": 150}
+    gains = []
+    for low in (10**9, least):
+        rows = {r["_key"]: r for r in lm_score.score_texts(table.coalesce(1), least=low, **run).collect()}
+        other = {r["_key"]: r["score"] for r in lm_score.score_texts(table.repartition(7), least=low, block_tokens=200, **run).collect()}
+        assert other == {k: r["score"] for k, r in rows.items()}
+        gains.append(np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in rows.values() if r["held_out"]]))
+    assert gains[1] > gains[0] + 0.1
+    spread = {r["_key"]: r["score"] for r in lm_score.score_texts(table, least=least, hot=120, **run).collect()}
+
+    tokens = [(i, [None, *x][max(0, j - 1) : j + 1][::-1], w) for i, x in enumerate(texts) for j, w in enumerate([*x, None])]
+    train = [(u, w) for i, u, w in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    ones, twos = Counter(u[0] for u, _ in train), Counter(tuple(u) for u, _ in train if len(u) == 2)
+
+    def context(u):
+        if ones[u[0]] < least:
+            return ()
+        return tuple(u) if len(u) == 2 and ones[u[1]] >= least and twos[tuple(u)] >= least else (u[0],)
+
+    train = [(context(u), w) for u, w in train]
+    seen = [{(u, w) for u, w in train if len(u) >= n} for n in (0, 1, 2)]
+    total, vocabulary = len(train), len({w for _, w in train})
+    first = Counter(train)
+    one = Counter((u[:1], w) for (u, w), n in first.items() for _ in range(n if len(u) == 1 else 1) if u)
+    few = [[sum(c == k for c in x.values()) for k in (1, 2)] for x in (Counter(), one, {k: c for k, c in first.items() if len(k[0]) == 2})]
+    root = Counter(w for (u, w), n in first.items() for _ in range(n if not u else 0)) + Counter(w for _, w in one)
+    few[0] = [sum(c == k for c in root.values()) for k in (1, 2)]
+    d = [min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in few]
+    assert seen[2] and total == next(iter(rows.values()))["train_tokens"]
+    model, sums = PlainModel(d, 1 / (vocabulary + 1), 1), Counter()
+    for u, w in train:
+        model.sit(u, w)
+    for sweep in range(40):
+        for u, w in train:
+            model.leave(u, w)
+            model.sit(u, w)
+        if sweep >= 10:
+            for key in {(context(u), w) for _, u, w in tokens}:
+                sums[key] += model.p(*key) / 30
+    want = Counter()
+    for i, u, w in tokens:
+        want[i] += np.log10(sums[context(u), w])
+    for found in ({k: r["score"] for k, r in rows.items()}, spread):
+        gap = [(found[i] - want[i]) / rows[i]["n_tokens"] for i in want]
+        assert abs(np.mean(gap)) < 0.01 and np.max(np.abs(gap)) < 0.05, (np.mean(gap), np.max(np.abs(gap)))
+
+
 def test_passages(docs, none):
     out = [(r["_key"], r["source_key"]) for r in substring_dedup.repeated_passages(docs).collect()]
     pairs = {frozenset(p) for p in out}
