@@ -9,88 +9,118 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import drop_table, materialize, read, shuffle_width
+from barloom.llm.shared import drop_table, materialize, read, ship, shuffle_width
 
 #: Neighbours of a node, random orders that start the graph, rows of a run of an order.
-NEIGHBOURS, ORDERS, RUN = 24, 6, 192
+NEIGHBOURS, ORDERS, RUN = 32, 6, 192
 #: NN-descent ends with a round that brings at most this share of new edges.
 DELTA = 0.001
 #: Neighbours that a node takes from one meeting.
-MEET = 8
-#: Nodes a query keeps while it walks.
-BEAM = 192
+MEET = 12
+#: Best nodes that a walk leaves at first, and of those the ones that it leaves in a step.
+BEAM, STRIDE = 96, 32
+#: Queries whose true neighbours are found by scanning all rows, and the share of them that walks must find; else the beam grows.
+SAMPLE, TARGET = 64, 0.97
+#: Nodes from which every walk starts, besides its own.
+STARTS = 16
 
 
-def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
-    """``id, vec`` of rows that take part: not null, no null or non-finite component, not zero, of the commonest length."""
+def usable(vectors: DataFrame, vector: str, key: str, size: int | None = None) -> DataFrame:
+    """``id, vec`` of rows that take part: not null, no null or non-finite component, not zero, of the given length."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id is not null and vec is not null")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.filter(fine)
-    size = rows.agg(F.mode(F.size("vec"))).first()[0]
-    return rows.filter(F.size("vec") == F.lit(size or 0))
+    return rows if size is None else rows.filter(F.size("vec") == size)
+
+
+def commonest_length(rows: DataFrame) -> int:
+    """The length that most vectors have, the smallest of ties."""
+    row = rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
+    return row["size"] if row else 0
+
+
+def matrix(blobs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<f4").reshape(len(blobs), -1)
+
+
+def with_unit(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` and, as ``unit``, their ``vec`` of length 1 as 32-bit floats."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                vectors = np.stack(batch["vec"].to_numpy())
+                vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+                vectors /= np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                yield batch[columns].assign(unit=[v.tobytes() for v in vectors.astype("<f4")])
+
+    return rows.select(*columns, "vec").mapInPandas(convert, f"{kinds}, unit binary")
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """One node for each distinct vector, ``node, vec``, and its ``most`` smallest ids, ``node, id``.
+    """One node for each distinct vector, ``node, unit``, named by its smallest id; and its ``most`` smallest ids, ``node, id``.
 
     Ties go to smaller ids, so no more than those can be among a query's nearest.
     """
-    named = rows.withColumn("node", F.xxhash64("vec"))
-    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("id"))).filter(F.col("rank") <= most)
+    same = Window.partitionBy("vec").orderBy("id")
+    ranked = rows.withColumn("rank", F.row_number().over(same)).filter(F.col("rank") <= most).withColumn("node", F.min("id").over(Window.partitionBy("vec")))
     ranked = materialize(ranked, "vectors")
-    return ranked.filter("rank = 1").select("node", "vec"), ranked.select("node", "id")
+    return materialize(with_unit(ranked.filter("rank = 1"), ["node"]), "nodes"), ranked.select("node", "id")
 
 
-def unit(vectors: list) -> np.ndarray:
-    matrix = np.array([np.asarray(v, float) for v in vectors])
-    return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)) if len(matrix) else matrix
+def keep_best(edges: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nearest distinct neighbours of every node; an edge is ``fresh`` unless it was there before."""
+    unique = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
+    return unique.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))).filter(F.col("rank") <= most).select("node", "other", "near", "fresh")
 
 
-def best_of(nodes: np.ndarray, matrix: np.ndarray, most: int) -> pd.DataFrame:
-    """Each node's ``most`` nearest others of a small set."""
-    near = matrix @ matrix.T
-    np.fill_diagonal(near, -np.inf)
-    most = min(most, len(nodes) - 1)
-    at = np.argpartition(-near, most - 1, axis=1)[:, :most] if most > 0 else np.empty((len(nodes), 0), int)
-    return pd.DataFrame({"node": np.repeat(nodes, most), "other": nodes[at].ravel(), "near": np.take_along_axis(near, at, axis=1).ravel()})
+EDGES = "node long, other long, near float, fresh boolean"
 
 
-def keep_best(edges: DataFrame, most: int) -> DataFrame:
-    """The ``most`` nearest distinct neighbours of every node."""
-    unique = edges.groupBy("node", "other").agg(F.max("near").alias("near"))
-    return unique.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))).filter(F.col("rank") <= most).select("node", "other", "near")
+def best_of(nodes: np.ndarray, vectors: np.ndarray, most: int, fresh: np.ndarray | None = None, floor: np.ndarray | None = None) -> pd.DataFrame:
+    """Each node's ``most`` nearest others of a small set; of pairs with a ``fresh`` member, and nearer than the node's ``floor``, if given."""
+    near = vectors @ vectors.T
+    np.fill_diagonal(near, -3)
+    if fresh is not None:
+        near[np.ix_(~fresh, ~fresh)] = -3
+    most = min(most, len(nodes) - 1)
+    at = np.argpartition(-near, most - 1, axis=1)[:, :most] if most > 0 else np.empty((len(nodes), 0), int)
+    node, other, found = np.repeat(nodes, most), nodes[at].ravel(), np.take_along_axis(near, at, axis=1).ravel()
+    good = found > (-2 if floor is None else np.repeat(floor, most))
+    return pd.DataFrame({"node": node[good], "other": other[good], "near": found[good], "fresh": True})
 
 
-def first_graph(nodes: DataFrame, width: int, size: int, neighbours: int, seed: int) -> DataFrame:
+def first_graph(nodes: DataFrame, width: int, size: int, neighbours: int, run: int, seed: int) -> DataFrame:
     """A start for NN-descent: the nearest within short runs of several random orders.
 
     Rows are sorted across partitions by the signs of a few random projections and then by one
-    more, and every run of ``RUN`` rows is searched by itself; equal projections make long stretches, not large groups.
+    more, and every run of ``run`` rows is searched by itself; equal projections make long stretches, not large groups.
     """
     rng = np.random.default_rng(seed)
 
     def order(number: int) -> DataFrame:
-        planes = rng.standard_normal((9, size))
+        planes = rng.standard_normal((9, size)).astype(np.float32)
 
         def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    found = unit(batch["vec"]) @ planes.T
+                    found = matrix(batch["unit"]) @ planes.T
                     yield batch.assign(sign=(found[:, :8] > 0) @ (1 << np.arange(8)), place=found[:, 8])
 
         def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = None
             for batch in batches:
                 rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                while len(rest) >= 2 * RUN:
-                    yield best_of(rest["node"].to_numpy()[:RUN], unit(rest["vec"][:RUN]), neighbours)
-                    rest = rest.iloc[RUN:].reset_index(drop=True)
+                while len(rest) >= 2 * run:
+                    yield best_of(rest["node"].to_numpy()[:run], matrix(rest["unit"][:run]), neighbours)
+                    rest = rest.iloc[run:].reset_index(drop=True)
             if rest is not None and len(rest) > 1:
-                yield best_of(rest["node"].to_numpy(), unit(rest["vec"]), neighbours)
+                yield best_of(rest["node"].to_numpy(), matrix(rest["unit"]), neighbours)
 
-        placed = nodes.mapInPandas(project, "node long, vec array<double>, sign long, place double")
-        dealt = placed.repartitionByRange(width, "sign", "place", "node").sortWithinPartitions("sign", "place", "node").select("node", "vec")
-        return dealt.mapInPandas(runs, "node long, other long, near double")
+        placed = nodes.mapInPandas(project, "node long, unit binary, sign long, place float")
+        dealt = placed.repartitionByRange(width, "sign", "place", "node").sortWithinPartitions("sign", "place", "node").select("node", "unit")
+        return dealt.mapInPandas(runs, EDGES)
 
     found = order(0)
     for number in range(1, ORDERS):
@@ -98,17 +128,25 @@ def first_graph(nodes: DataFrame, width: int, size: int, neighbours: int, seed:
     return found
 
 
+def both_ways(graph: DataFrame, neighbours: int) -> DataFrame:
+    """Edges, and for every node as many of the nearest that name it; so the links of a hub are bounded."""
+    back = keep_best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near", "fresh"), neighbours)
+    return graph.unionByName(back)
+
+
 def descend(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     """One round of NN-descent: everyone's neighbours, and those it is a neighbour of, meet each other.
 
-    A node's list is its ``neighbours`` nearest and as many of the nearest that name it. Lists meet the
-    vectors in a join; the pairs of a list are compared in place, and each member keeps its nearest.
+    Only pairs with a member that is new in a list meet, so lists without one are left out. Lists meet the
+    vectors in a join, with the least nearness that each member still needs; the pairs of a list are compared in place.
     """
-    back = keep_best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near"), neighbours)
-    lists = graph.select("node", "other").unionByName(back.select("node", "other")).distinct()
-    lists = lists.unionByName(nodes.select("node", F.col("node").alias("other")))
-    vectors = nodes.select(F.col("node").alias("v_node"), F.col("vec").cast("array<float>").alias("vec"))
-    met = lists.join(vectors, F.col("other") == F.col("v_node")).select("node", "other", "vec")
+    lists = both_ways(graph, neighbours).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+    active = lists.filter("fresh").select(F.col("node").alias("a_node")).distinct()
+    lists = lists.unionByName(nodes.select("node", F.col("node").alias("other"), F.lit(False).alias("fresh")))
+    lists = lists.join(active, F.col("node") == F.col("a_node"), "left_semi")
+    floors = graph.groupBy(F.col("node").alias("f_node")).agg(F.when(F.count(F.lit(1)) >= neighbours, F.min("near")).otherwise(-2.0).cast("float").alias("floor"))
+    vectors = nodes.join(floors, F.col("node") == F.col("f_node"), "left").select(F.col("node").alias("v_node"), "unit", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+    met = lists.join(vectors, F.col("other") == F.col("v_node")).select("node", "other", "fresh", "floor", "unit")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -123,84 +161,173 @@ def descend(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
 
     def compare(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
         if len(starts):
-            other, matrix = batch["other"].to_numpy(), unit(batch["vec"])
-            yield pd.concat([best_of(other[a:b], matrix[a:b], MEET) for a, b in zip(starts, ends, strict=True)], ignore_index=True)
+            other, fresh, floor = (batch[c].to_numpy() for c in ("other", "fresh", "floor"))
+            vectors = matrix(batch["unit"])
+            yield pd.concat([best_of(other[a:b], vectors[a:b], MEET, fresh[a:b], floor[a:b]) for a, b in zip(starts, ends, strict=True)], ignore_index=True)
 
     dealt = met.repartition("node").sortWithinPartitions("node")
-    new = dealt.mapInPandas(meet, "node long, other long, near double")
-    return keep_best(graph.unionByName(new), neighbours)
+    return keep_best(graph.withColumn("fresh", F.lit(False)).unionByName(dealt.mapInPandas(meet, EDGES)), neighbours)
 
 
-def neighbour_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, delta: float = DELTA, seed: int = 23) -> DataFrame:
-    """``node, other, near``: about the ``neighbours`` nearest others of every node by cosine.
+def neighbour_graph(nodes: DataFrame, neighbours: int = NEIGHBOURS, delta: float = DELTA, run: int = RUN, seed: int = 23) -> DataFrame:
+    """``node, other, near, fresh``: about the ``neighbours`` nearest others of every node by cosine.
 
     Rounds go on until one brings at most ``delta`` of the graph's edges anew. Neighbours only become nearer, so they end.
     """
     first = nodes.first()
     if first is None:
-        return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).alias("near")).limit(0)
-    graph = materialize(keep_best(first_graph(nodes, shuffle_width(nodes.sparkSession), len(first["vec"]), neighbours, seed), neighbours), "graph")
+        return nodes.select("node", F.col("node").alias("other"), F.lit(0.0).cast("float").alias("near"), F.lit(True).alias("fresh")).limit(0)
+    graph = materialize(keep_best(first_graph(nodes, shuffle_width(nodes.sparkSession), len(first["unit"]) // 4, neighbours, run, seed), neighbours), "graph")
     while True:
         after = materialize(descend(graph, nodes, neighbours), "graph")
-        new = after.join(graph.select(F.col("node").alias("x"), F.col("other").alias("y")), (F.col("node") == F.col("x")) & (F.col("other") == F.col("y")), "left_anti").count()
         drop_table(graph)
         graph = after
-        if new <= delta * graph.count():
+        edges, new = graph.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if new <= delta * edges:
             return graph
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: DataFrame, beam: int = BEAM) -> DataFrame:
-    """``query, node, near``: what a walk over the graph finds for each query of ``query, q_vec``.
+def front_of(left: np.ndarray, beam: int) -> np.ndarray:
+    """The places of the nodes that a walk leaves next: the nearest of its beam that it hasn't left."""
+    return np.flatnonzero(~left[:beam])[:STRIDE]
+
+
+WALK = "query long, unit binary, ids binary, near binary, left binary, seen binary, visited long"
+
+
+def marks(nodes: np.ndarray) -> np.ndarray:
+    """32-bit marks of nodes; of the thousands that a walk sees, one in a million looks seen that isn't."""
+    x = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
 
-    All queries walk at once. In a step, each goes on from the nodes of its beam that it hasn't left yet to their
-    neighbours, both ways, and keeps the ``beam`` nearest it has seen; a query whose beam has been left whole stops.
+
+def step(state: DataFrame, reached: DataFrame, vectors: DataFrame, beam: int) -> DataFrame:
+    """Walks after they measured the nodes ``query, other`` that they reached and hadn't seen.
+
+    First each walk's seen nodes meet the reached ones, then what is new meets the vectors, then the walks.
     """
-    links = materialize(graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other")).join(graph.select(F.col("node").alias("x"), F.col("other").alias("y")), (F.col("node") == F.col("x")) & (F.col("other") == F.col("y")), "left_anti")), "links")
-    vectors = nodes.select(F.col("node").alias("v_node"), "vec")
-    targets = queries.select(F.col("query").alias("t_query"), "q_vec")
 
-    def measure(pairs: DataFrame) -> DataFrame:
-        def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unseen(key: tuple, walk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        other = found["other"].to_numpy()
+        new = ~np.isin(marks(other), np.frombuffer(walk["seen"].iloc[0], np.uint32)) if len(walk) else np.zeros(len(other), bool)
+        return pd.DataFrame({"query": found["query"].to_numpy()[new], "other": other[new]})
+
+    def merge(key: tuple, walk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row = walk.iloc[0]
+        ids, near, left, seen = (np.frombuffer(row[c], k) for c, k in (("ids", np.int64), ("near", np.float32), ("left", bool), ("seen", np.uint32)))
+        left = left.copy()
+        left[front_of(left, beam)] = True
+        if len(found):
+            other = found["other"].to_numpy()
+            ids, left = np.concatenate([ids, other]), np.concatenate([left, np.zeros(len(other), bool)])
+            near = np.concatenate([near, matrix(found["unit"]) @ np.frombuffer(row["unit"], "<f4")])
+            seen = np.concatenate([seen, marks(other)])
+            best = np.lexsort((ids, -near))[: 4 * beam]
+            ids, near, left = ids[best], near[best], left[best]
+        return pd.DataFrame([[row["query"], row["unit"], ids.tobytes(), near.astype(np.float32).tobytes(), left.tobytes(), seen.tobytes(), len(seen)]], columns=[x.split()[0] for x in WALK.split(", ")])
+
+    asked = state.select("query", "seen").groupBy("query").cogroup(reached.groupBy("query")).applyInPandas(unseen, "query long, other long")
+    found = asked.join(vectors, F.col("other") == F.col("v_node")).select("query", "other", F.col("v_unit").alias("unit"))
+    return state.groupBy("query").cogroup(found.groupBy("query")).applyInPandas(merge, WALK)
+
+
+def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample: list[tuple[int, np.ndarray]], k: int, neighbours: int = NEIGHBOURS, beam: int = BEAM, target: float = TARGET) -> DataFrame:
+    """Walks over the graph, one a point ``query, unit``: the best nodes each found.
+
+    All walk at once. In a step each leaves some of the ``beam`` best nodes that it has seen, those it hasn't left yet, for
+    their neighbours both ways. When all of a beam have been left, the walks of ``sample``, points with the nearness of
+    their true k-th neighbour, are looked at: while they found less than ``target`` of these, the beam grows by half and
+    the walks go on from where they are, at last over all nodes.
+    """
+    links = both_ways(graph, neighbours).groupBy("node").agg(F.collect_set("other").alias("others"))
+    links = materialize(links, "links")
+    vectors = nodes.select(F.col("node").alias("v_node"), F.col("unit").alias("v_unit"))
+    empty = {c: F.lit(bytearray()).alias(c) for c in ("ids", "near", "left", "seen")}
+    state = materialize(points.select("query", "unit", *empty.values(), F.lit(0).cast("long").alias("visited")), "walk")
+    starts = nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("node"), "node").limit(STARTS)
+    reached = points.select("query").crossJoin(F.broadcast(starts)).unionByName(points.select("query", F.col("query").alias("other"))).distinct()  # STARTS rows
+    total = nodes.count()
+    wanted = {q: x for q, x in sample}
+
+    def fronts(limit: int):
+        def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    yield batch[["query", "node"]].assign(near=(unit(batch["q_vec"]) * unit(batch["vec"])).sum(axis=1), left=False)
+                for query, ids, left in zip(batch["query"], batch["ids"], batch["left"], strict=True):
+                    yield pd.DataFrame({"query": query, "at": np.frombuffer(ids, np.int64)[front_of(np.frombuffer(left, bool), limit)]})
 
-        joined = pairs.join(vectors, F.col("node") == F.col("v_node")).join(targets, F.col("query") == F.col("t_query"))
-        return joined.select("query", "node", "q_vec", "vec").mapInPandas(cosine, "query long, node long, near double, left boolean")
+        return front
 
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "node")
-    seen = materialize(measure(entries.distinct()).withColumn("rank", F.row_number().over(best)), "walk")
     while True:
-        front = seen.filter(~F.col("left") & (F.col("rank") <= beam)).select("query", "node")
-        if front.isEmpty():
-            break
-        reached = front.withColumnRenamed("node", "at").join(links, F.col("at") == F.col("node")).select("query", F.col("other").alias("node")).distinct()
-        reached = reached.join(seen.select(F.col("query").alias("s_query"), F.col("node").alias("s_node")), (F.col("query") == F.col("s_query")) & (F.col("node") == F.col("s_node")), "left_anti")
-        walked = seen.withColumn("left", F.col("left") | (F.col("rank") <= beam)).select("query", "node", "near", "left")
-        after = materialize(walked.unionByName(measure(reached)).withColumn("rank", F.row_number().over(best)), "walk")
-        drop_table(seen)
-        seen = after
-    return seen.filter(F.col("rank") <= beam).select("query", "node", "near")
+        after = materialize(step(state, reached, vectors, beam), "walk")
+        drop_table(state)
+        state = after
+        front = state.select("query", "ids", "left").mapInPandas(fronts(beam), "query long, at long")
+        while front.isEmpty():
+            rows = state.filter(F.col("query").isin(list(wanted))).select("query", "ids", "near").collect() if wanted else []  # SAMPLE rows of a few beams
+            share = [(np.frombuffer(r["near"], np.float32)[np.frombuffer(r["ids"], np.int64) != r["query"]][: len(wanted[r["query"]])] >= wanted[r["query"]][-1] - 1e-5).sum() / len(wanted[r["query"]]) for r in rows if len(wanted[r["query"]])]
+            if not share or np.mean(share) >= target or beam >= total:
+                drop_table(links)
+                return state
+            beam += beam // 2
+            front = state.select("query", "ids", "left").mapInPandas(fronts(beam), "query long, at long")
+            if front.isEmpty() and beam >= total:
+                drop_table(links)
+                return state
+        reached = front.join(links, F.col("at") == F.col("node")).select("query", F.explode("others").alias("other")).distinct()
+
+
+def true_nearness(points: DataFrame, nodes: DataFrame, k: int, sample: int = SAMPLE, seed: int = 23) -> list[tuple[int, np.ndarray]]:
+    """At most ``sample`` points with the nearness of their true k nearest nodes, by a scan of all nodes."""
+    some = points.orderBy(F.xxhash64(F.lit(seed), "query"), "query").limit(sample).select("query", "unit").toPandas()
+    if not len(some):
+        return []
+    queries, ids = matrix(some["unit"]), some["query"].to_numpy()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(ids), k), -3, np.float32)
+        for batch in batches:
+            if len(batch):
+                near = queries @ matrix(batch["unit"]).T
+                near[ids[:, None] == batch["node"].to_numpy()[None, :]] = -3
+                best = -np.sort(-np.concatenate([best, near], axis=1), axis=1)[:, :k]
+        yield pd.DataFrame({"query": np.repeat(ids, k), "near": best.ravel()})
+
+    found = nodes.mapInPandas(scan, "query long, near float").filter("near > -2")
+    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near")))).filter(F.col("rank") <= k).toPandas()
+    return [(int(q), np.sort(rows["near"].to_numpy())[::-1]) for q, rows in top.groupby("query")]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", neighbours: int = NEIGHBOURS, delta: float = DELTA, beam: int = BEAM, seed: int = 23) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest rows found for each query, by cosine in double precision.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", neighbours: int = NEIGHBOURS, delta: float = DELTA, beam: int = BEAM, target: float = TARGET, run: int = RUN, seed: int = 23) -> DataFrame:
+    """``query_id, rank, vec_id, score, visited``: the k nearest rows found for each query, by cosine in double precision.
 
     ``queries`` are rows of ``vectors``; a query's own id is left out, equal vectors under other ids
-    aren't. Rows whose vector is null, zero, of another length, or holds a null or non-finite number take
-    no part on either side. Ties go to smaller ids; a repeated id counts once. Fewer than k others
-    give fewer rows. Equal vectors share a node of the graph, which carries as many ids as can be asked for.
+    aren't. Rows whose vector is null, zero, of another length than most, or holds a null or non-finite number take
+    no part on either side. Ties go to smaller ids, among all that the walk found; a repeated id counts once. Fewer than k others
+    give fewer rows, an empty table none. Equal vectors share a node of the graph, which carries as many ids as can be asked for.
+    Other columns aren't looked at, whatever their names. ``visited`` is the number of nodes that the query's walk measured.
     """
-    rows = usable(vectors, vector, key).groupBy("id").agg(F.min("vec").alias("vec"))
+    ship(vectors.sparkSession)
+    rows = usable(vectors, vector, key)
+    size = commonest_length(rows)
+    rows = rows.filter(F.size("vec") == size).groupBy("id").agg(F.min("vec").alias("vec"))
     nodes, ids = distinct_vectors(rows, k + 1)
-    graph = neighbour_graph(nodes, neighbours, delta, seed)
-    asked = usable(queries, vector, key).groupBy("id").agg(F.min("vec").alias("q_vec")).withColumn("home", F.xxhash64("q_vec"))
-    asked = materialize(asked, "queries")
-    points = asked.select(F.col("home").alias("query"), "q_vec").dropDuplicates(["query"])
-    found = greedy_search(points, nodes, graph, points.select("query", F.col("query").alias("node")), beam)
-    ranked = found.join(ids.withColumnsRenamed({"node": "i_node", "id": "vec_id"}), F.col("node") == F.col("i_node"))
-    top = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "vec_id"))).filter(F.col("place") <= k + 1).select("query", "vec_id")
-    pairs = asked.join(top, F.col("home") == F.col("query")).filter("id <> vec_id").select(F.col("id").alias("query_id"), "vec_id", "q_vec")
+    graph = neighbour_graph(nodes, neighbours, delta, run, seed)
+    asked = usable(queries, vector, key, size).groupBy("id").agg(F.min("vec").alias("q_vec"))
+    named = ids.withColumnsRenamed({"node": "home", "id": "h_id"}).filter("home = h_id").join(rows, F.col("h_id") == F.col("id")).select("home", F.col("vec").alias("h_vec"))
+    asked = materialize(asked.join(named, F.col("q_vec") == F.col("h_vec"), "left").select("id", "q_vec", F.coalesce("home", "id").alias("home")), "queries")
+    points = materialize(with_unit(asked.select(F.col("home").alias("query"), F.col("q_vec").alias("vec")).dropDuplicates(["query"]), ["query"]), "points")
+    walks = greedy_search(points, nodes, graph, true_nearness(points, nodes, k), k, neighbours, beam, target)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for query, found, near, visited in zip(batch["query"], batch["ids"], batch["near"], batch["visited"], strict=True):
+                near = np.frombuffer(near, np.float32)
+                good = near >= near[min(k, len(near) - 1)] - 1e-5 if len(near) else np.empty(0, bool)
+                yield pd.DataFrame({"query": query, "node": np.frombuffer(found, np.int64)[good], "visited": visited})
+
+    found = walks.select("query", "ids", "near", "visited").mapInPandas(best, "query long, node long, visited long")
+    top = found.join(ids.withColumnsRenamed({"node": "i_node", "id": "vec_id"}), F.col("node") == F.col("i_node")).select("query", "vec_id", "visited")
+    pairs = asked.join(top, F.col("home") == F.col("query")).filter("id <> vec_id").select(F.col("id").alias("query_id"), "vec_id", "q_vec", "visited")
     exact = pairs.join(rows.withColumnRenamed("id", "r_id"), F.col("vec_id") == F.col("r_id"))
 
     def dot(a, b):
@@ -208,7 +335,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "e
 
     score = dot("q_vec", "vec") / (F.sqrt(dot("q_vec", "q_vec")) * F.sqrt(dot("vec", "vec")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return exact.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "visited")
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
