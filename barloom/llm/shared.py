@@ -57,6 +57,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table in the shared folder that is dealt by ``column``, so groups by it need no shuffle."""
+    spark = df.sparkSession
+    name = f"barloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def dropped_buckets(df: DataFrame) -> None:
+    """Forget a table of ``in_buckets`` that nothing reads any more, and delete its files."""
+    names = {Path(f).parent.name for f in df.inputFiles()}
+    drop_table(df)
+    for name in names:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def row_place(df: DataFrame) -> Column:
     """A number for every row: its place in the files that ``df`` reads, the same at each reading.
 

@@ -208,7 +208,7 @@ def test_scores(docs, none):
 
 
 def test_probabilities_sum_to_one():
-    contexts = lm_score.Contexts(np.array([0, 1 << 32, 2 << 32, (2 << 32) + 3], np.uint64))
+    contexts = lm_score.Contexts(np.array([0, 1 << 24, 2 << 24, (2 << 24) + 3], np.uint64))
     words, per = 30, 4
     rng = np.random.default_rng(0)
     seating = lm_score.Seating(np.repeat(np.arange(words), per), np.tile(np.arange(per), words), rng.integers(0, 5, words * per), contexts)
