@@ -5,40 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import materialize, read
+from barloom.llm.shared import materialize, read, row_place, shuffle_width
 
-#: Turns of a conversation that are hashed or rendered by one task at once.
-BLOCK_TURNS = 500
+#: Turns that are rendered into one row, at most.
+PART_TURNS = 500
 #: Three sums of 40-bit hashes tell prefixes apart; sums of 2^23 turns fit a long.
 HASHES = ["h0", "h1", "h2"]
+#: Characters of a text that order rows of the same turn and role.
+HEAD = 32
+ORDER = ["turn", "role", "head", "h0"]
 
 
 def conversation_turns(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv, turn, role, text, block`` and three hashes a turn; repeated rows count once.
+    """``conv, turn, role, head``, three hashes of a turn and ``place``, that of its row in the table; repeated rows count once.
 
-    Null roles are ``unknown``, null texts empty, null turns come first. Null ids are one conversation.
+    Null roles are ``unknown``, null texts empty, null turns come first. Null ids are one conversation. Turns count from a
+    conversation's first. Texts themselves stay behind: they are fetched by place when they are rendered.
     """
-    turns = chats.select(F.col(conv).alias("conv"), F.coalesce(F.col(turn), F.lit(-1)).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
+    clean = chats.select(F.col(conv).alias("conv"), F.coalesce(F.col(turn), F.lit(-1)).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), row_place(chats).alias("place"))
+    hashes = {h: F.pmod(F.xxhash64(F.lit(i), "role", "text"), F.lit(2**40)) for i, h in enumerate(HASHES)}
+    narrow = clean.withColumns({"head": F.substring("text", 1, HEAD), **hashes}).drop("text")
+    turns = narrow.groupBy("conv", "turn", "role", "head", *HASHES).agg(F.min("place").alias("place"))
     starts = turns.groupBy(F.col("conv").alias("s_conv")).agg(F.min("turn").alias("first"))
     turns = turns.join(starts, F.col("conv").eqNullSafe(F.col("s_conv"))).withColumn("turn", F.col("turn") - F.col("first")).drop("s_conv", "first")
-    hashes = {h: F.pmod(F.xxhash64(F.lit(i), "turn", "role", "text"), F.lit(2**40)) for i, h in enumerate(HASHES)}
-    return turns.withColumns({"block": F.floor(F.col("turn") / BLOCK_TURNS), **hashes})
+    return turns.withColumns({h: F.pmod(F.xxhash64("turn", h), F.lit(2**40)) for h in HASHES})
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """Add ``n`` and the sums ``p0, p1, p2``: length and rolling hash of the conversation up to each turn.
 
-    Sums run within blocks of turns and start from the sums of the blocks before, so a conversation
-    of any length is spread over tasks.
+    Turns are ordered across partitions. Sums run within a conversation's rows of one partition and start from the sums of the
+    partitions before, so a conversation of any length, with any number of rows a turn, is spread over tasks.
     """
+    width = shuffle_width(turns.sparkSession)
+    turns = materialize(turns.repartitionByRange(width, "conv", *ORDER).withColumn("block", F.spark_partition_id()), "turns")
     sums = {"n": F.lit(1), **{f"p{i}": F.col(h) for i, h in enumerate(HASHES)}}
     blocks = turns.groupBy("conv", "block").agg(*[F.sum(v).alias(f"t_{k}") for k, v in sums.items()])
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(F.col("conv").alias("b_conv"), F.col("block").alias("b_block"), *[F.coalesce(F.sum(f"t_{k}").over(earlier), F.lit(0)).alias(f"b_{k}") for k in sums])
-    within = Window.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("conv", "block").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     rolled = turns.withColumns({f"w_{k}": F.sum(v).over(within) for k, v in sums.items()})
     joined = rolled.join(starts, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
-    return joined.select("conv", "turn", "role", "text", *[(F.col(f"w_{k}") + F.col(f"b_{k}")).alias(k) for k in sums])
+    return joined.select("conv", "place", *[(F.col(f"w_{k}") + F.col(f"b_{k}")).alias(k) for k in sums])
 
 
 def maximal_conversations(rolled: DataFrame) -> DataFrame:
@@ -57,22 +65,26 @@ def maximal_conversations(rolled: DataFrame) -> DataFrame:
     return unique.join(inner, same, "left_anti").select("conv", F.col("n").alias("n_turns"), "copies")
 
 
-def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
+def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", start: str = "<|im_start|>", end: str = "<|im_end|>", stable: bool = False) -> DataFrame:
     """Rendered maximal conversations: ``conv, part, n_turns, copies, rendered``.
 
-    A conversation comes in parts of ``BLOCK_TURNS`` turns, as one row can't hold an unbounded
-    one. ``copies`` counts the conversations of the same content. An empty table gives no rows.
+    A conversation comes in parts of ``PART_TURNS`` turns, as one row can't hold an unbounded
+    one. Rows of the same turn are rendered by role, then by the start of their texts. ``copies`` counts the conversations
+    of the same content. An empty table gives no rows; very long texts are rendered whole; other columns aren't looked at,
+    whatever their names. Rows are fetched by place, so an input that isn't ``stable`` (a plain read of files) is written first.
     """
-    rolled = materialize(prefixes(conversation_turns(chats, conv, turn, role, text)), "turns")
+    chats = chats if stable else materialize(chats, "chats")
+    rolled = materialize(prefixes(conversation_turns(chats, conv, turn, role, text)), "prefixes")
     kept = maximal_conversations(rolled).withColumnRenamed("conv", "k_conv")
-    segment = F.concat(F.lit(start), "role", F.lit("\n"), "text", F.lit(f"{end}\n"))
-    rows = rolled.join(kept, F.col("conv").eqNullSafe(F.col("k_conv"))).withColumn("part", F.floor((F.col("n") - 1) / BLOCK_TURNS))
-    parts = rows.groupBy("conv", "part", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("n", segment.alias("segment")))).alias("segments"))
+    rows = rolled.join(kept, F.col("conv").eqNullSafe(F.col("k_conv"))).select("conv", "n", "n_turns", "copies", "place", F.floor((F.col("n") - 1) / PART_TURNS).alias("part"))
+    segment = F.concat(F.lit(start), F.coalesce(F.col(role), F.lit("unknown")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit(f"{end}\n"))
+    texts = chats.select(segment.alias("segment"), row_place(chats).alias("t_place"))
+    parts = rows.join(texts, F.col("place") == F.col("t_place")).groupBy("conv", "part", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("n", "segment"))).alias("segments"))
     return parts.select("conv", "part", "n_turns", "copies", F.array_join("segments.segment", "").alias("rendered"))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = format_chats(read(spark, sf_dir, "conversations"))
+    out = format_chats(read(spark, sf_dir, "conversations"), stable=True)
     return out.select(F.col("conv").alias("conv_id"), "part", "n_turns", "copies", "rendered")
 
 

@@ -192,6 +192,16 @@ def test_chat(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_chat_parts(spark):
+    """Conversations of more turns than a part, many rows in one turn, and clashing columns."""
+    turns = [(1, i, "user", f"t{i}") for i in range(1203)] + [(2, i, "user", f"t{i}") for i in range(700)] + [(None, 0, "user", f"x{i:04d}") for i in range(1100)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"conv": F.lit(3), "n": F.lit(0), "place": F.lit("p"), "segment": F.lit(None)})
+    out = sorted(((r["conv"] or 0, r["part"], r["n_turns"], r["rendered"]) for r in chat.format_chats(table).collect()))
+    render = lambda rows: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in rows)
+    want = [(c, p, n, render([x[2:] for x in turns if (x[0] or 0) == c][500 * p : 500 * p + 500])) for c, n in ((0, 1100), (1, 1203)) for p in range(3)]
+    assert out == want
+
+
 def test_scores(docs, none):
     rows = lm_score.score_texts(docs).collect()
     assert len(rows) == docs.count()
@@ -292,7 +302,7 @@ def test_scores_equal_plain_sampler(spark):
             words.append(int(after[words[-1]][rng.integers(0, 3)]) if rng.random() < 0.8 else int(min(24, rng.exponential(6))))
         texts.append(words)
     table = spark.createDataFrame([(i, " ".join(f"v{w}" for w in x)) for i, x in enumerate(texts)], "doc_id long, text string")
-    least, run = 25, {"sweeps": 24, "burn_in": 4, "bucket_tokens": 150}
+    least, run = 25, {"sweeps": 14, "burn_in": 4, "bucket_tokens": 400}
     gains = []
     for low in (10**9, least):
         rows = {r["_key"]: r for r in lm_score.score_texts(table.coalesce(1), least=low, **run).collect()}
@@ -300,7 +310,7 @@ def test_scores_equal_plain_sampler(spark):
         assert other == {k: r["score"] for k, r in rows.items()}
         gains.append(np.mean([(r["score"] - r["base_score"]) / r["n_tokens"] for r in rows.values() if r["held_out"]]))
     assert gains[1] > gains[0] + 0.1
-    spread = {r["_key"]: r["score"] for r in lm_score.score_texts(table, least=least, hot=120, **run).collect()}
+    spread = {r["_key"]: r["score"] for r in lm_score.score_texts(table, least=least, hot=120, **{**run, "bucket_tokens": 250}).collect()}
 
     tokens = [(i, [None, *x][max(0, j - 1) : j + 1][::-1], w) for i, x in enumerate(texts) for j, w in enumerate([*x, None])]
     train = [(u, w) for i, u, w in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
