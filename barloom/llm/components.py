@@ -9,6 +9,7 @@ from barloom.llm.shared import drop_table, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
+    """Number and checksum of edges; only edges that agree in both are compared."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
 
 
@@ -31,9 +32,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "hub")
         small = large.join(low, F.col("u") == F.col("hub")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = materialize(small.select("e.u", "e.v").filter("u > v").distinct(), "edges")
+        before, mark = mark, _mark(after)
+        ended = mark == before and after.join(now.select(F.col("u").alias("x"), F.col("v").alias("y")), (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")), "left_anti").isEmpty()
         drop_table(now)
-        now, before, mark = after, mark, _mark(after)
-        if mark == before:
+        now = after
+        if ended:
             break
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

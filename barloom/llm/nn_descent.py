@@ -14,13 +14,13 @@ from barloom.llm.shared import drop_table, materialize, read, ship, shuffle_widt
 #: Neighbours of a node, random orders that start the graph, rows of a run of an order.
 NEIGHBOURS, ORDERS, RUN = 32, 6, 192
 #: NN-descent ends with a round that brings at most this share of new edges.
-DELTA = 0.001
+DELTA = 0.01
 #: Neighbours that a node takes from one meeting.
 MEET = 12
 #: Best nodes that a walk leaves at first, and of those the ones that it leaves in a step.
-BEAM, STRIDE = 96, 32
+BEAM, STRIDE = 192, 96
 #: Queries whose true neighbours are found by scanning all rows, and the share of them that walks must find; else the beam grows.
-SAMPLE, TARGET = 64, 0.97
+SAMPLE, TARGET = 64, 0.95
 #: Nodes from which every walk starts, besides its own.
 STARTS = 16
 

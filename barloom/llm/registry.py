@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_lm_score": lm_score.op2_lm_score,
         "op3_url_filter": url_filter.op3_url_filter,
+        "redirected_pages": url_filter.redirected_pages,
         "op4_quality": quality.op4_quality,
         "op5_nn_descent": nn_descent.op5_nn_descent,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat": chat.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "redirected_pages": url_filter.REDIRECT_ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat": chat.ORACLE}

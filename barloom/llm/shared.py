@@ -52,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,6 +61,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def in_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table in the shared folder that is dealt by ``column``, so groups by it need no shuffle."""
     spark = df.sparkSession
+    ship(spark)
     name = f"barloom_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
@@ -79,6 +81,7 @@ def row_place(df: DataFrame) -> Column:
     Spark cuts files into splits by the number of cores it has, which changes as executors come and
     go. Two readings must agree, so the session keeps the number that it had at the first one.
     """
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
     if not conf.get(key, None):
         conf.set(key, str(df.sparkSession.sparkContext.defaultParallelism))

@@ -28,21 +28,33 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path):
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), none, lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ended = F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none))
+    return F.when(F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)")), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
 def node_of(url):
-    """The resource a URL names: without its fragment, scheme and host lower-cased; null without ``://``."""
+    """The resource a URL names: without its fragment, scheme and host lower-cased, dots in its path resolved; null without ``://``."""
     head = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
-    return F.when(head != "", F.concat(lower(head), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
+    path, query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.when(head != "", F.concat(lower(head), without_dots(path), query))
 
 
 def resolved(base, target):
     """An absolute URL from a link found on a page."""
     target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
     scheme, root = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
-    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)", 1)
+    folder, own = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)", 1), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*[^?#]*", 0)
     return (
         F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(own, target))
+        .when(target.startswith("#"), base)
         .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), target))
     )
 
@@ -102,10 +114,21 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     return out.select("_key", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("component", "node").alias("component"))
 
 
-def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_rules(spark: SparkSession) -> DataFrame:
     rows = [(r[: r.index("/")], r[r.index("/") :], v) for r, v in RULES]
-    rules = spark.createDataFrame(rows, "host string, path string, verdict string")
-    return judge(read(spark, sf_dir, "pages"), rules).select(F.col("_key").alias("page_id"), "host", "path", "rule", "verdict")
+    return spark.createDataFrame(rows, "host string, path string, verdict string")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages"), default_rules(spark)).select(F.col("_key").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def redirected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages judged with redirects: each page of an id divisible by 4 leads to the next one, and that to the one after it."""
+    pages = read(spark, sf_dir, "pages")
+    after = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("target"))
+    redirects = pages.filter("page_id % 4 < 2").join(after, "page_id").select(F.col("url").alias("source"), "target")
+    return judge(pages, default_rules(spark), redirects=redirects).select(F.col("_key").alias("page_id"), "rule", "verdict")
 
 
 #: No page of the driver's tables has a canonical link or a refresh, so there the rules alone decide.
@@ -119,3 +142,17 @@ r AS (SELECT *, CASE
         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+REDIRECT_ORACLE = r"""
+WITH RECURSIVE p AS (SELECT page_id, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+    lower(regexp_extract(url, '^.*?://[^/?#]*', 0, 's')) || regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1, 's') AS node FROM pages),
+r AS (SELECT *, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
+one AS (SELECT a.node AS u, b.node AS v FROM p a JOIN p b ON b.page_id = a.page_id + 1 WHERE a.page_id % 4 < 2),
+e AS (SELECT u, v FROM one UNION SELECT v, u FROM one),
+bad AS (SELECT DISTINCT node FROM r WHERE rule IN ('net/', 'example.com/de/')),
+reach AS (SELECT node FROM bad UNION SELECT e.v FROM reach JOIN e ON e.u = reach.node)
+SELECT page_id, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN node IN (SELECT node FROM reach) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""

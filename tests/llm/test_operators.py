@@ -1,14 +1,16 @@
 """Operators on small tables with nulls, ties, repeated rows, long texts, empty tables and clashing columns."""
 
+import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, url_filter
+from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, registry, substring_dedup, url_filter
 from barloom.llm.components import connected_components
 from barloom.llm.shared import materialize, row_place
 
@@ -94,6 +96,49 @@ def test_quality(docs, none, labels):
     assert quality.quality_filter(none, labels).count() == 0
 
 
+def test_weights_equal_brute_force(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    good = {r["doc_id"] for r in marks.collect() if r["quality"] == 1}
+    both = [Counter(), Counter()]
+    for i, t in texts.items():
+        found = quality.buckets_of(t).tolist()
+        both[1].update(found)
+        if i in good:
+            both[0].update(found)
+    half = quality.BUCKETS // 2
+    sums = [[sum(n for b, n in c.items() if (b < half) == low) + half / 2 for low in (True, False)] for c in both]
+    weight = lambda b: np.log((both[0][b] + 0.5) / sums[0][b >= half]) - np.log((both[1][b] + 0.5) / sums[1][b >= half])
+    out = quality.quality_decisions(docs, marks).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r["log_weight"] == pytest.approx(sum(weight(b) for b in quality.buckets_of(texts[r["_key"]]).tolist()), abs=1e-6)
+    kept = [r["priority"] for r in out if r["kept"]]
+    assert min(kept) > max((r["priority"] for r in out if not r["kept"]), default=-np.inf)
+
+
+def test_mixing_over_many_buckets(docs, monkeypatch):
+    whole = {(r["_key"], r["_row"]): (r["target"], r["source_size"]) for r in mixing.mix_plan(docs).collect()}
+    monkeypatch.setattr(mixing, "BUCKET_WORDS", 40)
+    sums = {}
+    for r in mixing.mix_plan(docs).collect():
+        assert whole[r["_key"], r["_row"]] == (r["target"], r["source_size"])
+        sums.setdefault((r["_src"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(x) - t) <= 1 for (_, t), x in sums.items())
+
+
+def test_packing_in_many_groups(docs):
+    pieces = materialize(packing.token_pieces(docs, "text", "doc_id", packing.default_tokenizer(), 512).withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    rows = packing.pack_pieces(pieces, 512, group_tokens=4000).collect()
+    place = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert place.get(r["sequence_id"], 0) == r["offset"]
+        place[r["sequence_id"]] = r["offset"] + r["length"]
+    assert len({k >> 32 for k in place}) > 1 and max(place.values()) <= 512
+    assert Counter((r["_key"], r["start"], r["ids_crc32"]) for r in rows) == Counter((r["_key"], r["start"], r["ids_crc32"]) for r in pieces.collect())
+
+
 def test_packing(docs, none):
     path = packing.default_tokenizer()
     packed = packing.pack_documents(docs, path)
@@ -152,6 +197,46 @@ def test_near(spark, docs, none):
     assert {r["component_id"] for r in near_dedup.near_classes(table).collect()} == {0}
 
 
+def near_groups(texts):
+    """Smallest id of each text's component, by sets of all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    same = {i: i for i in texts}
+
+    def root(i):
+        while same[i] != i:
+            i = same[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                same[b] = a
+    return {i: (root(i), len(sets[i])) for i in ids}
+
+
+def test_near_equals_brute_force(spark):
+    """The smallest table, and random near copies of its first texts at every similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rng = np.random.default_rng(3)
+    for i, text in [r for r in rows if 40 < len((r[1] or "").split()) < 400][:60]:
+        words = text.split()
+        for copy in range(3):
+            changed = list(words)
+            for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0, 0.06))), replace=False):
+                changed[at] = f"new{rng.integers(0, 10**9)}"
+            rows.append((10_000 + 10 * i + copy, " ".join(changed)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups(dict(rows))
+    found = {r["_key"]: (r["component_id"], r["n_shingles"]) for r in near_dedup.near_classes(materialize(table, "near")).collect()}
+    assert found == want and len({a for a, _ in want.values()}) < len(rows) - 60
+
+
 def test_estimate_is_near():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
@@ -183,6 +268,13 @@ def test_urls(spark):
     assert url_filter.judge(table.limit(0), rules).count() == 0
 
 
+def test_relative_links(spark):
+    base = "http://A.org/x/y/page?q=1#f"
+    links = {"../b": "http://a.org/x/b", "./b": "http://a.org/x/y/b", "/x/../b": "http://a.org/b", "?p=1": "http://a.org/x/y/page?p=1", "#g": "http://a.org/x/y/page?q=1", "../../../b/.": "http://a.org/b/", "c": "http://a.org/x/y/c", "//B.net/z": "http://b.net/z"}
+    rows = spark.createDataFrame([(base, k, v) for k, v in links.items()], "base string, link string, want string")
+    assert rows.filter(url_filter.node_of(url_filter.resolved(F.col("base"), F.col("link"))) != F.col("want")).collect() == []
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 5, "user", "a"), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c"), (4, 2, "user", "c"), (5, 0, None, None), (None, 0, "user", "z")]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -507,18 +599,51 @@ def test_search_equals_scan(spark):
     assert hits >= 0.95 * total and 200_050 not in {r["query_id"] for r in found}
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    ids = docs.count()
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
         out = materialize(stage(spark, docs, folder), "stage")
-        if i < 4:
+        rows = out.collect()
+        kept = Counter(r["doc_id"] for r in rows)
+        if name != "packing":
             assert out.columns == docs.columns
-        if i < 3:
-            assert out.count() <= docs.count() and out.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0
+        if name == "quality classifier":
+            assert set(kept) == {r["_key"] for r in quality.quality_decisions(docs, labels).filter("kept").collect()} and len(kept) < len(before)
+        if name == "exact dedup":
+            first = {}
+            for i in sorted(before):
+                first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", before[i]["text"] or ""), i)
+            assert kept == Counter(first.values())
+        if name == "MinHash near-dedup":
+            assert kept == Counter({a for a, _ in near_groups({i: r["text"] for i, r in before.items()}).values()})
+        if name == "mixing sources":
+            plan = {r["_key"]: r for r in mixing.mix_plan(docs).collect()}
+            assert kept == Counter({i: r["repeats"] + (r["part"] > 0) for i, r in plan.items() if r["taken"]})
+            assert all(r["text"] == before[r["doc_id"]]["text"] or before[r["doc_id"]]["text"].startswith(r["text"]) for r in rows)
+        if name == "packing":
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_file(packing.default_tokenizer())
+            want = Counter(len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+            assert sum(r["length"] for r in rows) == sum(n * k for n, k in want.items()) and max(r["length"] for r in rows) <= 4096
+            assert Counter(r["doc_tokens"] for r in rows if r["start"] == 0) == want
         docs = out
-    assert ids >= 200 and docs.agg(F.max("length")).first()[0] <= 4096
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations", "embeddings", "labels"):
+        con.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    want = con.execute(registry.oracle_sql()[name]).df()
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    plain = lambda f: Counter(tuple("" if v is None or v != v else str(v) for v in row) for row in f[columns].itertuples(index=False))
+    assert plain(got) == plain(want) and len(want)
 
 
 def test_row_places_outlast_a_change_of_cores(spark, tmp_path):
