@@ -18,7 +18,7 @@ DELTA = 0.01
 #: Neighbours that a node takes from one meeting.
 MEET = 12
 #: Best nodes that a walk leaves at first, and of those the ones that it leaves in a step.
-BEAM, STRIDE = 192, 96
+BEAM, STRIDE = 96, 64
 #: Queries whose true neighbours are found by scanning all rows, and the share of them that walks must find; else the beam grows.
 SAMPLE, TARGET = 64, 0.95
 #: Nodes from which every walk starts, besides its own.
@@ -236,7 +236,7 @@ def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample:
 
     All walk at once. In a step each leaves some of the ``beam`` best nodes that it has seen, those it hasn't left yet, for
     their neighbours both ways. When all of a beam have been left, the walks of ``sample``, points with the nearness of
-    their true k-th neighbour, are looked at: while they found less than ``target`` of these, the beam grows by half and
+    their true k-th neighbour, are looked at: while they found less than ``target`` of these, the beam doubles and
     the walks go on from where they are, at last over all nodes.
     """
     links = both_ways(graph, neighbours).groupBy("node").agg(F.collect_set("other").alias("others"))
@@ -268,7 +268,7 @@ def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample:
             if not share or np.mean(share) >= target or beam >= total:
                 drop_table(links)
                 return state
-            beam += beam // 2
+            beam *= 2
             front = state.select("query", "ids", "left").mapInPandas(fronts(beam), "query long, at long")
             if front.isEmpty() and beam >= total:
                 drop_table(links)
