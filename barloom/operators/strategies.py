@@ -119,9 +119,10 @@ def top_list(rows: DataFrame, regime: DataFrame, sectors: DataFrame, capital: fl
     return position_size(capped_top(with_sector(selected(scored), sectors), cap, limit), capital)
 
 
-def risk_levels(rows: DataFrame) -> DataFrame:
+def risk_levels(rows: DataFrame, stop: float = 2, targets: tuple[float, float] = (2, 3)) -> DataFrame:
+    """Stop and targets, so many mean true ranges from the close."""
     c = F.col
-    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - 2 * c("ATR_14")), "TARGET_1": F.bround(c("close") + 2 * c("ATR_14")), "TARGET_2": F.bround(c("close") + 3 * c("ATR_14")), "adtv_bn": F.bround(F.coalesce(c("avg_value_20d"), c("close") * c("volume")) / 1e9, 1)})
+    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - stop * c("ATR_14")), "TARGET_1": F.bround(c("close") + targets[0] * c("ATR_14")), "TARGET_2": F.bround(c("close") + targets[1] * c("ATR_14")), "adtv_bn": F.bround(F.coalesce(c("avg_value_20d"), c("close") * c("volume")) / 1e9, 1)})
     return rows.withColumn("RISK_PCT", F.bround((c("close") - c("STOP_LOSS")) / F.nullif(c("close"), F.lit(0.0)) * 100, 1))
 
 

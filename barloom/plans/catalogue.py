@@ -389,15 +389,15 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tracker of every bar on which a trusted strategy fired, at the last known prices."""
-    rows = strategies.risk_levels(strategies.score(_loose(spark, sf_dir).withColumn("regime", F.lit("UNKNOWN")))).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
+    """A tracker of every bar on which a trusted strategy fired, at the last known prices; levels near enough to be touched."""
+    rows = strategies.risk_levels(strategies.score(_loose(spark, sf_dir).withColumn("regime", F.lit("UNKNOWN"))), 0.5, (0.1, 0.3)).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
     rows = rows.join(B.latest_prices(_flags(spark, sf_dir)).withColumnRenamed("close", "_now"), "ticker")
     none = {"result": "string", "days_held": "int", "exit_price": "double", "exit_date": "date", "note": "string"}
     gain = F.bround((F.col("_now") / F.col("close") - 1) * 100, 2)
     return rows.select(F.to_date("time").alias("signal_date"), "ticker", F.lit("Unknown").alias("sector"), "signals_fired", "score", F.col("close").alias("entry_price"), "STOP_LOSS", "TARGET_1", "TARGET_2", gain.alias("return_pct"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
 
 
-TRACKED = f"""w AS (SELECT sg.*, {FIRED} AS fired, CAST(round({POINTS.replace("regime = 'BEAR'", "false")}, 4) AS DOUBLE) AS score, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2 FROM sg),
+TRACKED = f"""w AS (SELECT sg.*, {FIRED} AS fired, CAST(round({POINTS.replace("regime = 'BEAR'", "false")}, 4) AS DOUBLE) AS score, round_even(close - 0.5 * ATR_14, 0) AS STOP_LOSS, round_even(close + 0.1 * ATR_14, 0) AS TARGET_1, round_even(close + 0.3 * ATR_14, 0) AS TARGET_2 FROM sg),
 p AS (SELECT ticker, arg_max(close, time) AS price FROM b GROUP BY 1),
 t AS (SELECT CAST(time AS DATE) AS d, w.ticker, fired, score, close AS entry, STOP_LOSS, TARGET_1, TARGET_2, price, round_even((price / close - 1) * 100, 2) AS return_pct FROM w JOIN p USING (ticker) WHERE SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC)"""
 TRACKER_SQL = f"""{LOOSE_SQL}, {TRACKED},
