@@ -64,6 +64,13 @@ def _loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir, LOOSE)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once and read again, where a query needs it several times."""
+    path = folders.scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategies.market_regime(_index(spark, sf_dir))
 
@@ -243,15 +250,22 @@ def _until(rows: DataFrame, day: DataFrame, time: str = "time") -> DataFrame:
     return rows.join(F.broadcast(day), F.to_date(time) <= F.to_date("_until")).drop("_until")
 
 
-def _report_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _report_day(rows: DataFrame, regime: DataFrame) -> DataFrame:
     """The last day on which any ticker is selected, as the data's own last day has no signal; one row."""
-    gated = strategies.gate_each(strategies.with_regime(_loose(spark, sf_dir), _regime(spark, sf_dir)))
+    gated = strategies.gate_each(strategies.with_regime(rows, regime))
     return strategies.selected(strategies.score(gated)).agg(F.max("time").alias("_until"))
 
 
+def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All signals, and the signals and regimes up to the report day; the day itself."""
+    rows, regime = _kept(_loose(spark, sf_dir)), _kept(_regime(spark, sf_dir))
+    day = _kept(_report_day(rows, regime))
+    return rows, regime, day
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = _report_day(spark, sf_dir)
-    gated = strategies.gate_today(strategies.latest(_until(_loose(spark, sf_dir), day)), _until(_regime(spark, sf_dir), day, "date"))
+    rows, regime, day = _report(spark, sf_dir)
+    gated = strategies.gate_today(strategies.latest(_until(rows, day)), _until(regime, day, "date"))
     return strategies.position_size(strategies.risk_levels(strategies.score(gated)))
 
 
@@ -275,10 +289,9 @@ def position_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("ticker", "shares", "position_value", "position_pct")
 
 
-def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _top(rows: DataFrame, regime: DataFrame, day: DataFrame) -> DataFrame:
     """The report day's list; no table of sectors, so all are Unknown and two tickers are taken."""
-    day = _report_day(spark, sf_dir)
-    return strategies.top_list(_until(_loose(spark, sf_dir), day), _until(_regime(spark, sf_dir), day, "date"), spark.createDataFrame([], "ticker string, sector string"))
+    return strategies.top_list(_until(rows, day), _until(regime, day, "date"), rows.sparkSession.createDataFrame([], "ticker string, sector string"))
 
 
 @query(
@@ -388,9 +401,9 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(redact(said), 256).alias("digest"))
 
 
-def _tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tracker(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """A tracker of every bar on which a trusted strategy fired, at the last known prices; levels near enough to be touched."""
-    rows = strategies.risk_levels(strategies.score(_loose(spark, sf_dir).withColumn("regime", F.lit("UNKNOWN"))), 0.5, (0.1, 0.3)).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
+    rows = strategies.risk_levels(strategies.score((_loose(spark, sf_dir) if signals is None else signals).withColumn("regime", F.lit("UNKNOWN"))), 0.5, (0.1, 0.3)).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
     rows = rows.join(B.latest_prices(_flags(spark, sf_dir)).withColumnRenamed("close", "_now"), "ticker")
     none = {"result": "string", "days_held": "int", "exit_price": "double", "exit_date": "date", "note": "string"}
     gain = F.bround((F.col("_now") / F.col("close") - 1) * 100, 2)
@@ -425,9 +438,9 @@ w4 AS (SELECT *, round_even((current_price / nullif(entry_price, 0) - 1) * 100,
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = _report_day(spark, sf_dir)
-    tracked = _until(_tracker(spark, sf_dir), day, "signal_date").join(F.broadcast(day), (F.col("signal_date") < F.to_date("_until")) | (F.col("ticker") < "N")).drop("_until")
-    return tracking.upsert(tracked, _top(spark, sf_dir), B.latest_prices(_flags(spark, sf_dir)), F.to_date("time"))
+    rows, regime, day = _report(spark, sf_dir)
+    tracked = _until(_tracker(spark, sf_dir, rows), day, "signal_date").join(F.broadcast(day), (F.col("signal_date") < F.to_date("_until")) | (F.col("ticker") < "N")).drop("_until")
+    return tracking.upsert(tracked, _top(rows, regime, day), B.latest_prices(_flags(spark, sf_dir)), F.to_date("time"))
 
 
 @query("tracker_upsert", f"""{UPSERT_SQL} SELECT CAST(signal_date AS VARCHAR) AS signal_date, ticker, sector, signals_fired, {r4('score entry_price STOP_LOSS TARGET_1 TARGET_2 current_price')}, return_pct, touch_status FROM w4""")
@@ -577,7 +590,7 @@ def smc_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_lines", f"""{SCORED} SELECT ticker, concat_ws(' | ', ticker, sector, printf('%.1f', score), fired, format('{{:,.0f}}', round_even(close, 0)), 'SL ' || format('{{:,.0f}}', STOP_LOSS), 'T1 ' || format('{{:,.0f}}', TARGET_1), printf('risk %.1f%%', round_even((close - STOP_LOSS) / close * 100, 1))) AS line FROM chosen""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir).select("ticker", report_line().alias("line"))
+    return _top(*_report(spark, sf_dir)).select("ticker", report_line().alias("line"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
