@@ -71,7 +71,12 @@ def distinct_vectors(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
 
 def keep_best(edges: DataFrame, most: int) -> DataFrame:
     """The ``most`` nearest distinct neighbours of every node; an edge is ``fresh`` unless it was there before."""
-    unique = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
+    unique = edges.repartition("node").groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
+    return nearest_of(unique, most)
+
+
+def nearest_of(unique: DataFrame, most: int) -> DataFrame:
+    """The same for edges that are distinct."""
     return unique.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("near"), "other"))).filter(F.col("rank") <= most).select("node", "other", "near", "fresh")
 
 
@@ -81,7 +86,7 @@ EDGES = "node long, other long, near float, fresh boolean"
 def best_of(nodes: np.ndarray, vectors: np.ndarray, most: int, fresh: np.ndarray | None = None, floor: np.ndarray | None = None) -> pd.DataFrame:
     """Each node's ``most`` nearest others of a small set; of pairs with a ``fresh`` member, and nearer than the node's ``floor``, if given."""
     near = vectors @ vectors.T
-    np.fill_diagonal(near, -3)
+    near[nodes[:, None] == nodes[None, :]] = -3  # a run may end in one order and go on in the next
     if fresh is not None:
         near[np.ix_(~fresh, ~fresh)] = -3
     most = min(most, len(nodes) - 1)
@@ -97,40 +102,34 @@ def first_graph(nodes: DataFrame, width: int, size: int, neighbours: int, run: i
     Rows are sorted across partitions by the signs of a few random projections and then by one
     more, and every run of ``run`` rows is searched by itself; equal projections make long stretches, not large groups.
     """
-    rng = np.random.default_rng(seed)
-
-    def order(number: int) -> DataFrame:
-        planes = rng.standard_normal((9, size)).astype(np.float32)
-
-        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    found = matrix(batch["unit"]) @ planes.T
-                    yield batch.assign(sign=(found[:, :8] > 0) @ (1 << np.arange(8)), place=found[:, 8])
+    planes = np.random.default_rng(seed).standard_normal((ORDERS, 9, size)).astype(np.float32)
 
-        def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rest = None
-            for batch in batches:
-                rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                while len(rest) >= 2 * run:
-                    yield best_of(rest["node"].to_numpy()[:run], matrix(rest["unit"][:run]), neighbours)
-                    rest = rest.iloc[run:].reset_index(drop=True)
-            if rest is not None and len(rest) > 1:
-                yield best_of(rest["node"].to_numpy(), matrix(rest["unit"]), neighbours)
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number in range(ORDERS if len(batch) else 0):
+                found = matrix(batch["unit"]) @ planes[number].T
+                yield batch.assign(order=number, sign=(found[:, :8] > 0) @ (1 << np.arange(8)), place=found[:, 8])
 
-        placed = nodes.mapInPandas(project, "node long, unit binary, sign long, place float")
-        dealt = placed.repartitionByRange(width, "sign", "place", "node").sortWithinPartitions("sign", "place", "node").select("node", "unit")
-        return dealt.mapInPandas(runs, EDGES)
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cut = 0
+            while len(rest) - cut >= 2 * run:
+                yield best_of(rest["node"].to_numpy()[cut : cut + run], matrix(rest["unit"][cut : cut + run]), neighbours)
+                cut += run
+            rest = rest.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest) > 1:
+            yield best_of(rest["node"].to_numpy(), matrix(rest["unit"]), neighbours)
 
-    found = order(0)
-    for number in range(1, ORDERS):
-        found = found.unionByName(order(number))
-    return found
+    placed = nodes.mapInPandas(project, "node long, unit binary, order int, sign long, place float")
+    by = ["order", "sign", "place", "node"]
+    return placed.repartitionByRange(width, *by).sortWithinPartitions(*by).select("node", "unit").mapInPandas(runs, EDGES)
 
 
 def both_ways(graph: DataFrame, neighbours: int) -> DataFrame:
     """Edges, and for every node as many of the nearest that name it; so the links of a hub are bounded."""
-    back = keep_best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near", "fresh"), neighbours)
+    back = nearest_of(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "near", "fresh"), neighbours)
     return graph.unionByName(back)
 
 
@@ -140,10 +139,9 @@ def descend(graph: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
     Only pairs with a member that is new in a list meet, so lists without one are left out. Lists meet the
     vectors in a join, with the least nearness that each member still needs; the pairs of a list are compared in place.
     """
-    lists = both_ways(graph, neighbours).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
-    active = lists.filter("fresh").select(F.col("node").alias("a_node")).distinct()
-    lists = lists.unionByName(nodes.select("node", F.col("node").alias("other"), F.lit(False).alias("fresh")))
-    lists = lists.join(active, F.col("node") == F.col("a_node"), "left_semi")
+    lists = both_ways(graph, neighbours).select("node", "other", "fresh").unionByName(nodes.select("node", F.col("node").alias("other"), F.lit(False).alias("fresh")))
+    lists = lists.repartition("node").groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+    lists = lists.withColumn("any", F.max("fresh").over(Window.partitionBy("node"))).filter("any").drop("any")
     floors = graph.groupBy(F.col("node").alias("f_node")).agg(F.when(F.count(F.lit(1)) >= neighbours, F.min("near")).otherwise(-2.0).cast("float").alias("floor"))
     vectors = nodes.join(floors, F.col("node") == F.col("f_node"), "left").select(F.col("node").alias("v_node"), "unit", F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
     met = lists.join(vectors, F.col("other") == F.col("v_node")).select("node", "other", "fresh", "floor", "unit")
@@ -208,9 +206,9 @@ def step(state: DataFrame, reached: DataFrame, vectors: DataFrame, beam: int) ->
     """
 
     def unseen(key: tuple, walk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        other = found["other"].to_numpy()
+        other = np.unique(found["other"].to_numpy())
         new = ~np.isin(marks(other), np.frombuffer(walk["seen"].iloc[0], np.uint32)) if len(walk) else np.zeros(len(other), bool)
-        return pd.DataFrame({"query": found["query"].to_numpy()[new], "other": other[new]})
+        return pd.DataFrame({"query": np.int64(key[0]), "other": other[new]})
 
     def merge(key: tuple, walk: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = walk.iloc[0]
@@ -245,7 +243,7 @@ def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample:
     empty = {c: F.lit(bytearray()).alias(c) for c in ("ids", "near", "left", "seen")}
     state = materialize(points.select("query", "unit", *empty.values(), F.lit(0).cast("long").alias("visited")), "walk")
     starts = nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("node"), "node").limit(STARTS)
-    reached = points.select("query").crossJoin(F.broadcast(starts)).unionByName(points.select("query", F.col("query").alias("other"))).distinct()  # STARTS rows
+    reached = points.select("query").crossJoin(F.broadcast(starts)).unionByName(points.select("query", F.col("query").alias("other")))  # STARTS rows
     total = nodes.count()
     wanted = {q: x for q, x in sample}
 
@@ -273,7 +271,7 @@ def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample:
             if front.isEmpty() and beam >= total:
                 drop_table(links)
                 return state
-        reached = front.join(links, F.col("at") == F.col("node")).select("query", F.explode("others").alias("other")).distinct()
+        reached = front.join(links, F.col("at") == F.col("node")).select("query", F.explode("others").alias("other"))
 
 
 def true_nearness(points: DataFrame, nodes: DataFrame, k: int, sample: int = SAMPLE, seed: int = 23) -> list[tuple[int, np.ndarray]]:
