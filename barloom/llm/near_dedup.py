@@ -20,6 +20,8 @@ REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: Candidates whose likelihood estimate is this far under the threshold aren't verified: five standard errors.
 SLACK = 0.2
+#: Tasks that the rows of one large group are dealt to when they get its first id.
+SHARES = 32
 
 _words = WordHashes()
 _rng = np.random.default_rng(20240)
@@ -231,8 +233,13 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     named = named.withColumnsRenamed({"set_hash": "s_hash", "n_shingles": "s_size"})
     placed = table.join(named, (F.col("set_hash") == F.col("s_hash")) & (F.col("n_shingles") == F.col("s_size")), "left")
     placed = placed.select("_key", "_row", "n_shingles", F.coalesce("group", "_row").alias("group"))
-    first = placed.groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_row").alias("row"))).alias("first"))
-    return placed.join(first, F.col("group") == F.col("g")).select("_key", "_row", "n_shingles", F.col("first.key").alias("component_id"), (F.col("_row") == F.col("first.row")).alias("kept"))
+    first = placed.groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_row").alias("row"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    # groups of several come once for each share of their rows, so a large group is in many tasks
+    shared = first.filter("n > 1").select("g", "first", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("s"))
+    spread = placed.withColumn("share", F.pmod(F.xxhash64("_row"), F.lit(SHARES)).cast("int"))
+    joined = spread.join(shared, (F.col("group") == F.col("g")) & (F.col("share") == F.col("s")), "left")
+    alone = F.col("g").isNull()
+    return joined.select("_key", "_row", "n_shingles", F.when(alone, F.col("_key")).otherwise(F.col("first.key")).alias("component_id"), (alone | (F.col("_row") == F.col("first.row"))).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", stable: bool = False) -> DataFrame:
