@@ -216,7 +216,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
     ids_crc32, sequence_id, offset``, and the ids themselves unless ``keep_ids`` is false.
 
     Repeated rows are packed as often as they come, null ids like any other. An empty table gives
-    no pieces. Sequences are padded at the end up to ``sequence``; see ``sequences``.
+    no pieces. A very long text is cut into pieces like any other; ties of size go by id and start; other columns aren't
+    looked at. Sequences are padded at the end up to ``sequence``; see ``sequences``.
     """
     pieces = token_pieces(docs, text, key, tokenizer, sequence).withColumn("ids_crc32", F.crc32("ids"))
     return pack_pieces(materialize(pieces if keep_ids else pieces.drop("ids"), "pieces"), sequence)
