@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.rolling import ewm
 from barloom.functions.text import chunks, redact
-from barloom.operators import backtest, indicators, quality, strategies
+from barloom.operators import backtest, indicators, quality, strategies, tracking
 from barloom.plans import catalogue
 from barloom.sources import bars as B
+from barloom.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -110,3 +111,85 @@ def test_texts(spark):
     assert all(len(c) <= 40 for c in chunks("a line of text\n" * 20 + "x" * 100, 40))
     row = spark.createDataFrame([("https://api.telegram.org/bot123:abc/send 12345678:" + "a" * 35,)], "t string").select(redact(F.col("t"), {"KEY": "send"}).alias("t")).first()
     assert row["t"] == "https://api.telegram.org/bot[REDACTED_TOKEN]/[REDACTED_KEY] [REDACTED_TOKEN]"
+
+
+@pytest.mark.parametrize(("name", "acts"), [
+    ("sig_smc", lambda f: f["SIG_SMC"].any()),
+    ("sig_ob", lambda f: f["SIG_OB"].any()),
+    ("best_strategies", lambda f: len(f) > 1),
+    ("listing_normalise", lambda f: set(f["exchange"]) <= {"PROMO", "LARGE", "SMALL"} and 0 < len(f) < 25),
+    ("load_summary", lambda f: set(f["status"]) == {"full_load", "delta_updated", "no_new_data", "fetch_failed", "not_attempted"}),
+    ("freshness", lambda f: f["fresh"][0] > 0 and f["stale"][0] > 0),
+    ("tracker_upsert", lambda f: set(f["touch_status"]) == {"HOLDING", "SL_HIT", "T1_REACHED", "T2_REACHED"} and f["return_pct"].abs().max() > 0),
+    ("report_lines", lambda f: len(f) > 0),
+])
+def test_branches_act_on_the_data(spark, name, acts):
+    assert acts(catalogue.queries()[name](spark, "/root/testdata/sf0.01").toPandas())
+
+
+def test_redaction_acts(spark, duck):
+    raw = {r[0]: r[1] for r in duck.execute("select doc_id, sha256(text) from documents").fetchall()}
+    assert all(raw[r["doc_id"]] != r["digest"] for r in catalogue.queries()["redact_text"](spark, SF).collect() if r["doc_id"] in raw)
+
+
+def test_unselected_rows_are_left_out(spark):
+    rows = spark.createDataFrame([("A", True, False, False, 1.0), ("B", False, False, False, 9.0), ("C", False, True, False, -1.0), ("D", None, None, True, 0.5), ("E", False, True, False, 0.0)], "ticker string, SIG_GOLDEN boolean, SIG_ICHIMOKU boolean, SIG_SMC boolean, score double")
+    assert {r["ticker"] for r in strategies.selected(rows).collect()} == {"A", "D"}
+
+
+def test_todays_gate(spark):
+    rows = spark.createDataFrame([("A", True, True, True, True, True)], "ticker string, " + ", ".join(f"{s} boolean" for s in strategies.SIGNALS))
+    for regime, on in (("BEAR", {"SIG_MOMENTUM"}), ("SIDEWAY", {"SIG_MOMENTUM", "SIG_SMC"}), ("BULL", set(strategies.SIGNALS)), (None, set(strategies.SIGNALS))):
+        days = spark.createDataFrame([("2020-01-01", "BULL"), ("2020-01-02", regime)], "date string, regime string").filter("regime is not null" if regime else "false")
+        got = strategies.gate_today(rows, days).first()
+        assert {s for s in strategies.SIGNALS if got[s]} == on and got["regime"] == (regime or "UNKNOWN")
+
+
+def test_bars_folder(spark, tmp_path):
+    path = f"{tmp_path}/bars"
+    assert B.read_bars(spark, path).count() == 0
+    bars = frame(spark, [(t, i, 1.0, 2.0, 0.5, float(i)) for t in ("A", "B") for i in range(5)]).drop("i")
+    sinks.write_bars(bars.unionByName(bars), path)
+    sinks.write_bars(B.read_bars(spark, path).filter("ticker = 'A' or close > 2"), path)  # reads what it replaces
+    (tmp_path / "bars" / "broken.parquet").write_bytes(b"PAR1 not a table")
+    (tmp_path / "bars" / "_log.parquet").write_bytes(b"left out")
+    assert B.read_bars(spark, path).count() == 7
+    assert B.read_bars(spark, path, spark.createDataFrame([("A",)], "ticker string"), "2020-01-02", "2020-01-03").count() == 2
+    assert [r["path"].split("/")[-1] for r in B.skipped_files(spark, path).collect()] == ["broken.parquet"]
+
+
+def test_tracker_folder(spark, tmp_path):
+    rows = spark.createDataFrame([("2020-01-02", "B", 1.5, None), ("2020-01-03", "A", 2.5, "x;y")], "signal_date string, ticker string, entry_price double, note string").withColumn("signal_date", F.to_date("signal_date"))
+    sinks.save_tracker(rows, str(tmp_path))
+    assert next((tmp_path / "tracker.csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfsignal_date;ticker")
+    assert sorted(sinks.typed_tracker(sinks.read_tracker(spark, str(tmp_path))).collect()) == sorted(rows.collect())
+    assert sinks.read_tracker(spark, str(tmp_path), sep="|").count() == 2  # no signal_date there: from parquet
+
+
+def test_equity_in_two_levels_equals_product(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [("S", 5, f"T{i // 20:02d}", i, rng.uniform(-0.2, 0.22)) for i in range(200)]
+    done = spark.createDataFrame(rows, "strategy string, holding_days int, ticker string, time int, ret double")
+    level = top = 0.0
+    for r, want in zip(backtest.drawdowns(done).orderBy("ticker", "time").collect(), rows, strict=True):
+        level = (level or 1.0) * (1 + want[4])
+        top = max(top, level)
+        assert r["equity"] == pytest.approx(level) and r["drawdown"] == pytest.approx(level / top - 1, abs=1e-12)
+
+
+def test_bars_held_equal_count(spark):
+    bars = frame(spark, [("A", i, 1.0, 1.0, 1.0, 10.0) for i in range(0, 60, 2)])
+    dates = [(f"2020-01-{d:02d}", "A", None if d % 2 else "WIN") for d in range(1, 29)]
+    tracker = spark.createDataFrame(dates, "signal_date string, ticker string, result string").withColumn("signal_date", F.to_date("signal_date"))
+    tracker = tracker.withColumns({"STOP_LOSS": F.lit(1.0), "TARGET_1": F.lit(99.0), "entry_price": F.lit(9.0), "note": F.lit(None).cast("string"), "days_held": F.lit(None).cast("int"), "exit_price": F.lit(None).cast("double"), "exit_date": F.lit(None).cast("date")})
+    for r in tracking.settle(tracker, bars).collect():
+        day = r["signal_date"].day - 1
+        assert r["days_held"] == (sum(i > day for i in range(0, 60, 2)) if day % 2 == 0 else None)
+
+
+def test_a_null_amid_values_is_an_error(spark):
+    rows = frame(spark, [("A", i, 1.0, 1.0, 1.0, None if i in (0, 3) else 1.0) for i in range(6)])
+    with pytest.raises(Exception, match="null amid values"):
+        ewm(rows, "close", 0.2, "y").collect()
