@@ -242,8 +242,8 @@ def greedy_search(points: DataFrame, nodes: DataFrame, graph: DataFrame, sample:
     vectors = nodes.select(F.col("node").alias("v_node"), F.col("unit").alias("v_unit"))
     empty = {c: F.lit(bytearray()).alias(c) for c in ("ids", "near", "left", "seen")}
     state = materialize(points.select("query", "unit", *empty.values(), F.lit(0).cast("long").alias("visited")), "walk")
-    starts = nodes.select(F.col("node").alias("other")).orderBy(F.xxhash64("node"), "node").limit(STARTS)
-    reached = points.select("query").crossJoin(F.broadcast(starts)).unionByName(points.select("query", F.col("query").alias("other")))  # STARTS rows
+    starts = [F.lit(r["node"]) for r in nodes.orderBy(F.xxhash64("node"), "node").limit(STARTS).select("node").collect()]
+    reached = points.select("query", F.explode(F.array("query", *starts)).alias("other"))
     total = nodes.count()
     wanted = {q: x for q, x in sample}
 
