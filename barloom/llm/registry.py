@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, url_filter
+from barloom.llm import chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_chat": chat.op10_chat,
+        "op11_token_files": token_files.op11_token_files,
     }
 
 
