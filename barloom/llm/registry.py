@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ball_kmeans, chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, substring_dedup, token_files, url_filter
+from barloom.llm import ball_kmeans, chat, exact_dedup, lm_score, mixing, near_dedup, nn_descent, packing, quality, ranked_search, substring_dedup, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_chat": chat.op10_chat,
         "op11_token_files": token_files.op11_token_files,
         "op12_ball_kmeans": ball_kmeans.op12_ball_kmeans,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.ORACLE, "redirected_pages": url_filter.REDIRECT_ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat": chat.ORACLE, "op12_ball_kmeans": ball_kmeans.ORACLE}
+    return {"op3_url_filter": url_filter.ORACLE, "redirected_pages": url_filter.REDIRECT_ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op10_chat": chat.ORACLE, "op12_ball_kmeans": ball_kmeans.ORACLE, "op13_ranked_search": ranked_search.ORACLE}
