@@ -63,10 +63,10 @@ class Items:
         self.first = np.searchsorted(pairs[order], np.arange(len(self.code) + 1))
 
     def weigh(self, found: dict[int, int]) -> None:
-        """Take the counts of documents and words, under -1 and -2, and of each term's documents."""
+        """Take the counts of documents and words, under -1 and -2, and of each term's documents; a term that none has weighs nothing."""
         self.docs, self.words = found.get(-1, 0), found.get(-2, 0)
         n = self.docs
-        self.weight = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * found.get(i, 0) + 1))) for i in range(len(self.code))], np.int64)
+        self.weight = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * found[i] + 1))) if i in found else 0 for i in range(len(self.code))], np.int64)
 
     def lists(self, item: int) -> np.ndarray:
         """The item's terms that can score, by place in ``terms``."""

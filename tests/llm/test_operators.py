@@ -636,7 +636,7 @@ def test_pipeline_equals_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations", "embeddings", "labels"):
+    for table in ("documents", "pages", "benchmark", "conversations", "embeddings", "labels"):
         con.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
