@@ -16,6 +16,7 @@ from barloom.operators import backtest, indicators, quality, strategies, trackin
 from barloom.plans import sql as S
 from barloom.sources import bars as B
 from barloom.sources import folders, sinks
+from barloom.sources.versions import VersionedTable
 
 SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
 SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
@@ -531,8 +532,9 @@ def filter_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The screened universe written as two tables, and what each holds of a ticker."""
     folder, bars = folders.scratch(spark), _suppliers(spark, sf_dir)
     sinks.save_universe(bars, quality.screen(bars, SCREENS), folder)
-    passed = B.read_bars(spark, f"{folder}/universe_filtered").groupBy("ticker").agg(F.lit("passed").alias("reason"), F.count(F.lit(1)).alias("bars"))
-    return passed.unionByName(spark.read.parquet(f"{folder}/rejected_tickers").select("ticker", F.col("rejection_reason").alias("reason"), F.col("n_bars").alias("bars")))
+    table = VersionedTable(spark, folder)
+    passed = table.read("universe_filtered").groupBy("ticker").agg(F.lit("passed").alias("reason"), F.count(F.lit(1)).alias("bars"))
+    return passed.unionByName(table.read("rejected_tickers").select("ticker", F.col("rejection_reason").alias("reason"), F.col("n_bars").alias("bars")))
 
 
 @query("feature_merge", f"{MEANS_SQL} SELECT ticker, time, round(CASE WHEN time >= TIMESTAMP '1997-01-01' AND ticker != 'RF' THEN MA_20 + 1 ELSE MA_20 END, 6) AS MA_20 FROM m", 6)
@@ -541,14 +543,31 @@ def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, rows = folders.scratch(spark), indicators.moving_averages(_flags(spark, sf_dir)).select("ticker", "time", "MA_20")
     sinks.merge_features(rows, path)
     sinks.merge_features(rows.filter("time >= timestamp_ntz'1997-01-01' and ticker <> 'RF'").withColumn("MA_20", F.col("MA_20") + 1), path)
-    return spark.read.parquet(path)
+    return VersionedTable(spark, path).read()
+
+
+@query("feature_version_before", f"{MEANS_SQL} SELECT ticker, time, round(MA_20, 6) AS MA_20 FROM m", 6)
+def feature_version_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merged feature table as it was one version ago."""
+    path, rows = folders.scratch(spark), indicators.moving_averages(_flags(spark, sf_dir)).select("ticker", "time", "MA_20")
+    sinks.merge_features(rows, path)
+    last = sinks.merge_features(rows.filter("time >= timestamp_ntz'1997-01-01'").withColumn("MA_20", F.col("MA_20") + 1), path)
+    return VersionedTable(spark, path).read(number=last.number - 1)
+
+
+@query("universe_counts", f"{SCREEN_SQL} SELECT 'rows' AS name, count(*) AS n FROM u UNION ALL SELECT 'bars', count(*) FROM b WHERE ticker IN (SELECT ticker FROM u WHERE rejection_reason = 'passed') UNION ALL SELECT r, (SELECT count(*) FROM u WHERE rejection_reason = r) FROM unnest({sinks.REASONS}) x(r)")
+def universe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the screened universe as they were taken while it was written."""
+    bars = _suppliers(spark, sf_dir)
+    saved = sinks.save_universe(bars, quality.screen(bars, SCREENS), folders.scratch(spark))
+    return spark.createDataFrame(list(saved.counts.items()), "name string, n long")
 
 
 @query("snapshot_roundtrip", f"{MEANS_SQL} SELECT ticker, max(time) AS time, {', '.join(f'round(arg_max({c}, time) FILTER ({c} IS NOT NULL), 4) AS {c}' for c in ('close', 'TENKAN_9', 'KIJUN_26'))} FROM m GROUP BY 1")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folders.scratch(spark)
     sinks.save_snapshot(indicators.ichimoku(_flags(spark, sf_dir)).select("ticker", "time", "close", "TENKAN_9", "KIJUN_26"), path)
-    return spark.read.parquet(path)
+    return VersionedTable(spark, path).read()
 
 
 @query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.sources import months
 from barloom.sources.folders import exists
+from barloom.sources.versions import VersionedTable, is_versioned
 
 SCHEMA = "ticker string, time timestamp_ntz, open double, high double, low double, close double, volume long"
 ALIASES = {"time": ["time", "date", "tradingdate", "trading_date", "datetime"], "volume": ["volume", "vol", "matchvolume", "match_volume"]}
@@ -27,12 +29,15 @@ def line_bars(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
 def read_bars(spark: SparkSession, path: str, tickers: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars from parquet with inclusive dates pushed to the scan; NaN becomes null.
 
-    Files starting with ``_`` and unreadable ones are skipped; ``skipped_files`` names the latter. No such path gives no bars,
-    so everything is loaded anew.
+    Of a versioned table only the months of those dates are listed. In a plain folder, files starting with ``_`` and unreadable ones are
+    skipped; ``skipped_files`` names the latter. No such path gives no bars, so everything is loaded anew.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], SCHEMA)
-    bars = spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    if is_versioned(spark, path):
+        bars = VersionedTable(spark, path).read(keys=months.between(start, end))
+    else:
+        bars = spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
     bars = bars.filter(F.col("time") >= F.lit(start).cast("timestamp_ntz")) if start else bars
     bars = bars.filter(F.col("time") <= F.lit(end).cast("timestamp_ntz")) if end else bars
     bars = bars.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in PRICES})

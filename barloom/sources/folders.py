@@ -1,42 +1,23 @@
-"""Folders of tables: whether one exists, replacing it whole, scratch space that executors share."""
+"""Folders of tables: whether one exists, scratch space that executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    found, system = _path(spark, path)
+    found, system = hadoop_path(spark, path)
     return system.exists(found)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the table at ``path``.
-
-    It is written beside the old table and moved into its place once whole, so ``df`` may read that table and a writer that
-    dies leaves it as it was.
-    """
-    spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
-    target, system = _path(spark, path)
-    parked = spark._jvm.org.apache.hadoop.fs.Path(old)
-    if system.exists(target) and not system.rename(target, parked):
-        raise OSError(f"could not move {path}")
-    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), target):
-        system.rename(parked, target)
-        raise OSError(f"could not move {fresh} to {path}")
-    system.delete(parked, True)
-
-
 def scratch(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a local session without that setting gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -151,17 +151,20 @@ def test_bars_folder(spark, tmp_path):
     bars = frame(spark, [(t, i, 1.0, 2.0, 0.5, float(i)) for t in ("A", "B") for i in range(5)]).drop("i")
     sinks.write_bars(bars.unionByName(bars), path)
     sinks.write_bars(B.read_bars(spark, path).filter("ticker = 'A' or close > 2"), path)  # reads what it replaces
-    (tmp_path / "bars" / "broken.parquet").write_bytes(b"PAR1 not a table")
-    (tmp_path / "bars" / "_log.parquet").write_bytes(b"left out")
     assert B.read_bars(spark, path).count() == 7
     assert B.read_bars(spark, path, spark.createDataFrame([("A",)], "ticker string"), "2020-01-02", "2020-01-03").count() == 2
-    assert [r["path"].split("/")[-1] for r in B.skipped_files(spark, path).collect()] == ["broken.parquet"]
+    plain = f"{tmp_path}/plain"
+    B.read_bars(spark, path).write.parquet(plain)
+    (tmp_path / "plain" / "broken.parquet").write_bytes(b"PAR1 not a table")
+    (tmp_path / "plain" / "_log.parquet").write_bytes(b"left out")
+    assert B.read_bars(spark, plain).count() == 7
+    assert [r["path"].split("/")[-1] for r in B.skipped_files(spark, plain).collect()] == ["broken.parquet"]
 
 
 def test_tracker_folder(spark, tmp_path):
     rows = spark.createDataFrame([("2020-01-02", "B", 1.5, None), ("2020-01-03", "A", 2.5, "x;y")], "signal_date string, ticker string, entry_price double, note string").withColumn("signal_date", F.to_date("signal_date"))
     sinks.save_tracker(rows, str(tmp_path))
-    assert next((tmp_path / "tracker.csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfsignal_date;ticker")
+    assert next(tmp_path.glob("data/*/part-*.csv")).read_bytes().startswith(b"\xef\xbb\xbfsignal_date;ticker")
     assert sorted(sinks.typed_tracker(sinks.read_tracker(spark, str(tmp_path))).collect()) == sorted(rows.collect())
     assert sinks.read_tracker(spark, str(tmp_path), sep="|").count() == 2  # no signal_date there: from parquet
 
