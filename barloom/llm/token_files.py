@@ -29,7 +29,7 @@ END_ID = 0
 #: Pieces whose ids a worker remembers.
 CACHED_PIECES = 1_000_000
 #: Bytes of texts that are encoded at once.
-SLICE = 6 << 20
+SLICE = 10 << 20
 #: Letters below this one (Latin, Greek, Cyrillic) are letters for Python and the tokenizer alike.
 LETTERS = "\u0530"
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
