@@ -17,6 +17,8 @@ from barloom.plans import sql as S
 from barloom.sources import bars as B
 from barloom.sources import folders, sinks
 from barloom.sources.versions import VersionedTable
+from barloom.streaming import bars as stream
+from barloom.streaming import indicators as streamed
 
 SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
 SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
@@ -570,6 +572,51 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VersionedTable(spark, path).read()
 
 
+def _came(bars: DataFrame, folder: str, name: str) -> None:
+    """Bars as one delivery in a folder that grows."""
+    bars.coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def _days(bars: DataFrame, first: str, last: str) -> DataFrame:
+    return bars.filter((F.col("time") >= F.lit(first).cast("timestamp_ntz")) & (F.col("time") < F.lit(last).cast("timestamp_ntz")))
+
+
+TODAY = "1998-07-01"
+
+
+@query("bars_incremental", f"{FLAGS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b")
+def bars_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries, each loaded by a run of its own; the second ends with half of a day, which the third has whole."""
+    bars, folder, path = _flags(spark, sf_dir), folders.scratch(spark), folders.scratch(spark)
+    half = bars.filter(F.col("time") == F.lit(TODAY).cast("timestamp_ntz")).withColumn("volume", F.floor(F.col("volume") / 2))
+    for name, came in (("a", _days(bars, "1900-01-01", "1996-01-01")), ("b", _days(bars, "1996-01-01", TODAY).unionByName(half)), ("c", _days(bars, TODAY, "2100-01-01"))):
+        _came(came, folder, name)
+        stream.load_available(spark, folder, path, f"{path}-checkpoint", today=TODAY)
+    return B.read_bars(spark, path)
+
+
+@query("bars_corrected", f"{FLAGS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b")
+def bars_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of which every third day came wrong and every fifth not at all, then the corrections of these days."""
+    bars, folder, path = _flags(spark, sf_dir), folders.scratch(spark), folders.scratch(spark)
+    day = F.datediff("time", F.lit("1990-01-01"))
+    _came(bars.filter(day % 5 != 0).withColumns({c: F.when(day % 3 == 0, F.col(c) + 1).otherwise(F.col(c)) for c in B.PRICES}), folder, "first")
+    stream.load_available(spark, folder, path, f"{path}-checkpoint")
+    _came(bars.filter((day % 5 == 0) | (day % 3 == 0)), folder, "second")
+    stream.load_available(spark, folder, path, f"{path}-checkpoint")
+    return B.read_bars(spark, path)
+
+
+@query("stream_indicators", f"WITH RECURSIVE {S.bars(S.FLAG)}, {S.MEANS}, {S.STEPS}, {S.SWINGS}, {S.STRUCTURE} SELECT e.ticker, e.time, {r4('MA_20 MA_200 EMA_12 EMA_26 MACD_HIST RSI_14 ATR_14 DI_PLUS_14 DI_MINUS_14 ADX_14')}, BOS_BULL, CHOCH_BULL, BOS_BEAR, CHOCH_BEAR FROM e JOIN m USING (ticker, time) JOIN st USING (ticker, time)")
+def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of bars that came in three deliveries, from the state that each left."""
+    bars, folder, path = _flags(spark, sf_dir), folders.scratch(spark), folders.scratch(spark)
+    for name, first, last in (("a", "1900-01-01", "1996-01-01"), ("b", "1996-01-01", "1998-01-01"), ("c", "1998-01-01", "2100-01-01")):
+        _came(_days(bars, first, last), folder, name)
+        streamed.indicators_available(spark, folder, path, f"{path}-checkpoint")
+    return VersionedTable(spark, path).read().select("ticker", "time", "MA_20", "MA_200", "EMA_12", "EMA_26", "MACD_HIST", "RSI_14", "ATR_14", "DI_PLUS_14", "DI_MINUS_14", "ADX_14", "BOS_BULL", "CHOCH_BULL", "BOS_BEAR", "CHOCH_BEAR")
+
+
 @query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def sector_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as the second level of a classification and regions as the first."""
