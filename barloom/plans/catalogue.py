@@ -607,14 +607,14 @@ def bars_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read_bars(spark, path)
 
 
-@query("stream_indicators", f"WITH RECURSIVE {S.bars(S.FLAG)}, {S.MEANS}, {S.STEPS}, {S.SWINGS}, {S.STRUCTURE} SELECT e.ticker, e.time, {r4('MA_20 MA_200 EMA_12 EMA_26 MACD_HIST RSI_14 ATR_14 DI_PLUS_14 DI_MINUS_14 ADX_14')}, BOS_BULL, CHOCH_BULL, BOS_BEAR, CHOCH_BEAR FROM e JOIN m USING (ticker, time) JOIN st USING (ticker, time)")
+@query("stream_indicators", f"WITH RECURSIVE {S.bars(S.FLAG)}, {S.MEANS}, {S.STEPS}, {S.SWINGS}, {S.STRUCTURE} SELECT e.ticker, e.time, {r4('MA_20 MA_50 EMA_12 EMA_26 MACD_HIST RSI_14 ATR_14 DI_PLUS_14 DI_MINUS_14 ADX_14')}, BOS_BULL, CHOCH_BULL, BOS_BEAR, CHOCH_BEAR FROM e JOIN m USING (ticker, time) JOIN st USING (ticker, time)")
 def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators of bars that came in three deliveries, from the state that each left."""
     bars, folder, path = _flags(spark, sf_dir), folders.scratch(spark), folders.scratch(spark)
     for name, first, last in (("a", "1900-01-01", "1996-01-01"), ("b", "1996-01-01", "1998-01-01"), ("c", "1998-01-01", "2100-01-01")):
         _came(_days(bars, first, last), folder, name)
         streamed.indicators_available(spark, folder, path, f"{path}-checkpoint")
-    return VersionedTable(spark, path).read().select("ticker", "time", "MA_20", "MA_200", "EMA_12", "EMA_26", "MACD_HIST", "RSI_14", "ATR_14", "DI_PLUS_14", "DI_MINUS_14", "ADX_14", "BOS_BULL", "CHOCH_BULL", "BOS_BEAR", "CHOCH_BEAR")
+    return VersionedTable(spark, path).read().select("ticker", "time", "MA_20", "MA_50", "EMA_12", "EMA_26", "MACD_HIST", "RSI_14", "ATR_14", "DI_PLUS_14", "DI_MINUS_14", "ADX_14", "BOS_BULL", "CHOCH_BULL", "BOS_BEAR", "CHOCH_BEAR")
 
 
 @query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
