@@ -15,7 +15,7 @@ from barloom.functions.text import redact, report_line
 from barloom.operators import backtest, indicators, quality, strategies, tracking
 from barloom.plans import sql as S
 from barloom.sources import bars as B
-from barloom.sources import folders, sinks
+from barloom.sources import fetch, folders, sinks
 from barloom.sources.versions import VersionedTable
 from barloom.streaming import bars as stream
 from barloom.streaming import indicators as streamed
@@ -617,6 +617,27 @@ def stream_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VersionedTable(spark, path).read().select("ticker", "time", "MA_20", "MA_50", "EMA_12", "EMA_26", "MACD_HIST", "RSI_14", "ATR_14", "DI_PLUS_14", "DI_MINUS_14", "ADX_14", "BOS_BULL", "CHOCH_BULL", "BOS_BEAR", "CHOCH_BEAR")
 
 
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages laid out from the bars of some tickers, fetched from a day on; one ticker of the plan has no pages."""
+    folder, path = folders.scratch(spark), folders.scratch(spark)
+    _flags(spark, sf_dir).repartition(3, "ticker", "time").sortWithinPartitions("ticker", "time").write.partitionBy("ticker").json(folder)
+    tickers = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat("l_returnflag", "l_linestatus").alias("ticker")).distinct().unionByName(spark.createDataFrame([("GONE",)], "ticker string"))
+    uri = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    rows = fetch.fetch_bars(spark, tickers.withColumn("fetch_start", F.lit("1995-06-17")), fetch.pages_in(uri), fetch.Limits(calls=1000, workers=3, tries=2, wait=0.1))
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("fetched_bars", f"{FLAGS_SQL} SELECT ticker, time, {r4(OHLC)}, volume FROM b WHERE time >= TIMESTAMP '1995-06-17'")
+def fetched_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.bars_in(_fetched(spark, sf_dir))
+
+
+@query("fetch_status", f"{FLAGS_SQL} SELECT ticker, 'fetched' AS status FROM b GROUP BY 1 UNION ALL SELECT 'GONE', 'fetch_failed'")
+def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fetch.status_in(_fetched(spark, sf_dir)).select("ticker", "status")
+
+
 @query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def sector_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as the second level of a classification and regions as the first."""
