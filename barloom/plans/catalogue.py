@@ -7,15 +7,16 @@ engines sum in different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.text import redact, report_line
-from barloom.operators import backtest, indicators, quality, strategies, tracking
+from barloom.operators import backtest, indicators, quality, returns, strategies, tracking
 from barloom.plans import sql as S
 from barloom.sources import bars as B
-from barloom.sources import fetch, folders, sinks
+from barloom.sources import clustered, fetch, folders, sheets, sinks
 from barloom.sources.versions import VersionedTable
 from barloom.streaming import bars as stream
 from barloom.streaming import indicators as streamed
@@ -638,6 +639,45 @@ def fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetch.status_in(_fetched(spark, sf_dir)).select("ticker", "status")
 
 
+@query("clustered_means", f"{MEANS_SQL.replace(S.bars(S.FLAG), S.bars(S.SUPPLIER))} SELECT ticker, time, {r4('MA_20 MA_50 MA_200', 6)} FROM m WHERE ticker IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)", 6)
+def clustered_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving averages of some tickers from a table that is clustered by ticker."""
+    path = folders.scratch(spark)
+    clustered.write_clustered(_suppliers(spark, sf_dir), path, 8)
+    some = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("ticker"))
+    return indicators.moving_averages(clustered.read_clustered(spark, path, some)).select("ticker", "time", "MA_20", "MA_50", "MA_200")
+
+
+@query("return_description", f"{TRADES_SQL} SELECT strategy, holding_days, count(*) AS count, {', '.join(f'round({x}, 6) AS {n}' for n, x in (('mean', 'avg(ret)'), ('std', 'stddev_samp(ret)'), ('min', 'min(ret)'), ('q25', 'quantile_cont(ret, 0.25)'), ('median', 'quantile_cont(ret, 0.5)'), ('q75', 'quantile_cont(ret, 0.75)'), ('max', 'max(ret)')))} FROM tr GROUP BY 1, 2", 6)
+def return_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns by strategy and hold, described from sketches by ticker."""
+    parts = returns.sketches(backtest.trades(_loose(spark, sf_dir)), ["strategy", "holding_days", "ticker"])
+    return returns.described(returns.merged(parts, ["strategy", "holding_days"]))
+
+
+@query("dropped_trades", f"{ALL_SQL}, x AS (SELECT SIG_MOMENTUM, lead(true, 1) OVER w AS n1, lead(true, 21) OVER w AS n2, lead(open, 1) OVER w AS entry, lead(open, 21) OVER w AS exit_ FROM sg WINDOW w AS (PARTITION BY ticker ORDER BY time)) SELECT CASE WHEN n1 IS NULL THEN 'no_entry_bar' WHEN n2 IS NULL THEN 'no_exit_bar' WHEN entry > 0 AND exit_ > 0 THEN 'kept' ELSE 'bad_price' END AS reason, count(*) AS n FROM x WHERE SIG_MOMENTUM GROUP BY 1")
+def dropped_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return returns.dropped(_signals(spark, sf_dir), "SIG_MOMENTUM", 20)
+
+
+@query("sheets_roundtrip", f"{TRACKER_SQL} SELECT name, CAST(d AS VARCHAR) AS signal_date, ticker, round(score, 4) AS score, round(entry, 4) AS entry_price, return_pct, fired AS signals_fired FROM t, unnest(['semicolon', 'comma', 'tab']) x(name) UNION ALL SELECT name, NULL, 'bad rows', 2, NULL, NULL, NULL FROM unnest(['semicolon', 'comma', 'tab']) x(name)")
+def sheets_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tracker as sheets of three delimiters, with and without a mark, each with two rows that don't parse."""
+    saved = _kept(_tracker(spark, sf_dir).select("signal_date", "ticker", "score", "entry_price", "return_pct", "signals_fired"))
+    types = {f.name: f.dataType.simpleString() for f in saved.schema}
+    out = []
+    for name, sep, mark in (("semicolon", ";", sinks.BOM), ("comma", ",", ""), ("tab", "\t", sinks.BOM)):
+        path = folders.scratch(spark)
+        head = spark.createDataFrame([(mark + sep.join(saved.columns),)], "value string")
+        lines = saved.select(F.to_csv(F.struct(*saved.columns), {"sep": sep}).alias("value"))
+        broken = spark.createDataFrame([(sep.join(["2020-01-02", "A", "high", "1", "2", "x"]),), (sep.join(["2020-01-02", "A", "1"]),)], "value string")
+        head.coalesce(1).unionByName(lines.coalesce(1)).unionByName(broken).coalesce(1).write.text(path)
+        sheet = sheets.read_sheet(spark, path, types)
+        out.append(sheet.rows.withColumn("name", F.lit(name)))
+        out.append(sheet.rejected.groupBy().agg(F.count(F.lit(1)).cast("double").alias("score")).withColumns({"name": F.lit(name), "ticker": F.lit("bad rows")}))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
 @query("sector_mapping", "SELECT CAST(s_suppkey AS VARCHAR) AS ticker, min(n_name) AS sector, min(n_name) AS industry FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def sector_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as the second level of a classification and regions as the first."""
