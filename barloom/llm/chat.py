@@ -11,26 +11,38 @@ from barloom.llm.shared import materialize, read, row_place, shuffle_width
 PART_TURNS = 500
 #: Three sums of 40-bit hashes tell prefixes apart; sums of 2^23 turns fit a long.
 HASHES = ["h0", "h1", "h2"]
-#: Characters of a text that order rows of the same turn and role.
+#: Characters of a text that order rows of the same turn and role; where they tie, the rest of the texts does.
 HEAD = 32
-ORDER = ["turn", "role", "head", "h0"]
+ORDER = ["turn", "role", "head", "rest", "h0"]
 
 
 def conversation_turns(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv, turn, role, head``, three hashes of a turn and ``place``, that of its row in the table; repeated rows count once.
+    """``conv, turn, role, head, rest``, three hashes of a turn and ``place``, that of its row in the table; repeated rows count once.
 
     Null roles are ``unknown``, null texts empty, null turns come first. Null ids are one conversation. Turns count from a
-    conversation's first. Texts themselves stay behind: they are fetched by place when they are rendered.
+    conversation's first. Texts themselves stay behind: they are fetched by place when they are rendered. Only where different texts of a turn and role
+    share their ``head``, ``rest`` has what follows it, as rows are ordered by the whole text.
     """
     clean = chats.select(F.col(conv).alias("conv"), F.coalesce(F.col(turn), F.lit(-1)).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), row_place(chats).alias("place"))
     hashes = {h: F.pmod(F.xxhash64(F.lit(i), "role", "text"), F.lit(2**40)) for i, h in enumerate(HASHES)}
     narrow = clean.withColumns({"head": F.substring("text", 1, HEAD), **hashes}).drop("text")
-    turns = narrow.groupBy("conv", "turn", "role", "head", *HASHES).agg(F.min("place").alias("place"))
+    turns = with_rest(materialize(narrow.groupBy("conv", "turn", "role", "head", *HASHES).agg(F.min("place").alias("place")), "rows"), clean)
     starts = turns.groupBy(F.col("conv").alias("s_conv")).agg(F.min("turn").alias("first"))
     turns = turns.join(starts, F.col("conv").eqNullSafe(F.col("s_conv"))).withColumn("turn", F.col("turn") - F.col("first")).drop("s_conv", "first")
     return turns.withColumns({h: F.pmod(F.xxhash64("turn", h), F.lit(2**40)) for h in HASHES})
 
 
+def with_rest(turns: DataFrame, clean: DataFrame) -> DataFrame:
+    """Add ``rest``: of rows that share conversation, turn, role and head with another, their text behind the head, else nothing."""
+    alike = turns.groupBy(*[F.col(c).alias(f"a_{c}") for c in ("conv", "turn", "role", "head")]).agg(F.count(F.lit(1)).alias("a_n")).filter("a_n > 1")
+    same = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("conv", "turn", "role", "head")]
+    asked = materialize(turns.join(alike, same, "left_semi").select(F.col("place").alias("r_place")), "alike")
+    if asked.isEmpty():
+        return turns.withColumn("rest", F.lit(""))
+    rest = clean.select("place", F.substring("text", HEAD + 1, 2**31 - 1).alias("rest")).join(asked, F.col("place") == F.col("r_place")).select("r_place", "rest")
+    return turns.join(rest, F.col("place") == F.col("r_place"), "left").drop("r_place").withColumn("rest", F.coalesce("rest", F.lit("")))
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """Add ``n`` and the sums ``p0, p1, p2``: length and rolling hash of the conversation up to each turn.
 
@@ -69,7 +81,7 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """Rendered maximal conversations: ``conv, part, n_turns, copies, rendered``.
 
     A conversation comes in parts of ``PART_TURNS`` turns, as one row can't hold an unbounded
-    one. Rows of the same turn are rendered by role, then by the start of their texts. ``copies`` counts the conversations
+    one. Rows of the same turn are rendered by role, then by text. ``copies`` counts the conversations
     of the same content. An empty table gives no rows; very long texts are rendered whole; other columns aren't looked at,
     whatever their names. Rows are fetched by place, so an input that isn't ``stable`` (a plain read of files) is written first.
     """
