@@ -50,14 +50,37 @@ def test_exact(docs, none):
 
 def test_merge_exchanges_runs_by_place_alone(spark, docs):
     for fan_in, rounds in ((2, 2), (4, 1)):
-        merged = exact_dedup.merge_runs(materialize(exact_dedup.digests(docs), "digests"), fan_in)
+        merged = exact_dedup.merge_runs(exact_dedup.in_runs(exact_dedup.digests(docs), fan_in), fan_in)
         plan = merged._jdf.queryExecution().executedPlan().toString()
         exchanges = [line for line in plan.splitlines() if "Exchange" in line]
         assert len(exchanges) == rounds and all("hashpartitioning(_place#" in x and x.split("hashpartitioning(")[1].split("]")[0].count("#") == 1 for x in exchanges)
-        assert "HashAggregate" not in plan and plan.count("Sort [_place#") == rounds
+        assert "HashAggregate" not in plan and plan.count("Sort [_place#") == rounds and plan.count("Sort [_run#") == 1
         assert sum(r["_size"] for r in merged.collect()) == docs.count()
 
 
+def test_query_merges_in_rounds(spark):
+    """The query's own plan at eight partitions: runs merged where they are, then three binomial rounds."""
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        out = exact_dedup.op7_exact_dedup(spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sum("hashpartitioning(_place#" in x for x in plan.splitlines() if "Exchange" in x) == 3
+        assert plan.count("Sort [_place#") == 3 and plan.count("Sort [_run#") == 1
+        assert out.count() == 200 and not [t for t in spark.catalog.listTables() if t.name.startswith("barloom_")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_copies_are_merged_before_they_move(spark):
+    """Of a text that most rows hold, a run sends one entry to the first round."""
+    table = materialize(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("text")).repartition(4), "hot")
+    rows = exact_dedup.in_runs(exact_dedup.digests(table), 2)
+    merged = exact_dedup.merge_runs(rows, 2)
+    assert merged.count() == 1001 and {r["_size"] for r in merged.filter("_size > 1").collect()} == {2000}
+    local = rows.groupBy("_run", *exact_dedup.DIGEST).count()
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString() and local.count() <= 1000 + 4
+
+
 def test_mixing(docs, none):
     rows = [r.asDict() for r in mixing.mix_plan(docs).collect()]
     assert len(rows) == docs.count()
@@ -294,6 +317,19 @@ def test_chat_parts(spark):
     assert out == want
 
 
+def test_chat_orders_by_whole_texts(spark):
+    """Rows of one turn and role whose texts share their first 32 characters, in an order that their hashes don't have, against SQL."""
+    head = "the same thirty-two characters.."
+    turns = [(c, 1, "user", f"{head}{x}") for c in (1, 2) for x in "dgbaehcf"] + [(1, 2, "user", "more"), (3, 0, "user", head), (3, 0, "user", head + "é"), (3, 0, "user", head + "z"), (None, 0, "user", head + "2"), (None, 0, "user", head + "10")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv"]: r["rendered"] for r in chat.format_chats(table).collect()}
+    render = lambda rows: "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in rows)
+    assert got == {1: render([*[head + x for x in "abcdefgh"], "more"]), 3: render([head, head + "z", head + "é"]), None: render([head + "10", head + "2"])}
+    con = duckdb.connect()
+    con.register("conversations", table.filter("conv_id is not null").toPandas())
+    assert {r[0]: r[4] for r in con.execute(chat.ORACLE).fetchall()} == {k: v for k, v in got.items() if k}
+
+
 def test_scores(docs, none):
     rows = lm_score.score_texts(docs).collect()
     assert len(rows) == docs.count()
