@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,10 @@ SEED_WORDS, WINDOW = 8, 12
 MIN_WORDS, IDENTITY = 50, 0.75
 #: Cost of each word of a gap, on either side; a seed is worth its words.
 GAP_COST = 0.1
-#: Words by which a chain's ends may grow when aligned.
-REACH = 64
+#: Words by which a chain's ends may grow at first, and how much farther those that are still alike there may at the next step.
+REACH, FARTHER = 64, 4
+#: Chains that are joined with the texts by broadcast, at 48 bytes each; beyond, both sides are shuffled.
+FEW = 100_000
 #: Words that runs of seeds cover, at least. Any 50 equal words hold a run of 28, as their outer seeds lie at most
 #: 11 words within, and any 72 equal words hold one of 50.
 RUN_WORDS = (MIN_WORDS - 2 * (WINDOW - 1), 39, MIN_WORDS)
@@ -242,16 +245,16 @@ def chained(shared: DataFrame, with_runs: bool) -> DataFrame:
     return dealt.mapInPandas(chains, "row long, source long, x0 long, x1 long, y0 long, y1 long, seeds long")
 
 
-def grown(a: np.ndarray, b: np.ndarray) -> int:
-    """How many words two texts stay alike: the best prefix by 1 for an equal word and -2 for another, ended 24 below its best."""
+def grown(a: np.ndarray, b: np.ndarray) -> tuple[int, bool]:
+    """How many words two texts stay alike, and whether that ended: the best prefix by 1 for an equal word and -2 for another, ended 24 below its best."""
     n = min(len(a), len(b))
     if not n:
-        return 0
+        return 0, False
     run = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
     low = np.flatnonzero(run < np.maximum.accumulate(run) - 24)
     run = run[: low[0]] if len(low) else run
     best = int(np.argmax(run)) if len(run) else 0
-    return best + 1 if len(run) and run[best] > 0 else 0
+    return best + 1 if len(run) and run[best] > 0 else 0, bool(len(low))
 
 
 def equal_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -273,7 +276,24 @@ def equal_words(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def aligned(chains: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Chains grown at both ends and verified: ``row, source, start, end, source_start, source_end, equal``."""
+    """Chains grown at both ends and verified: ``row, source, start, end, source_start, source_end, equal``.
+
+    Ends grow until the texts differ or one of them ends. Chains of which an end is still alike at the last word that was cut out are
+    aligned once more with ``FARTHER`` times as many, again and again; there are few, and fewer each time.
+    """
+    done, reach = [], REACH
+    while True:
+        step = materialize(aligned_within(chains, docs, text, reach), "aligned")
+        done.append(step.filter("not open").drop("open"))
+        chains = step.filter("open").select("row", "source", F.col("start").alias("x0"), F.col("end").alias("x1"), F.col("source_start").alias("y0"), F.col("source_end").alias("y1"))
+        left = chains.count()
+        if not left:
+            return reduce(DataFrame.unionByName, done)
+        chains, reach = F.broadcast(chains) if left <= FEW else chains, reach * FARTHER
+
+
+def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int) -> DataFrame:
+    """As ``aligned``, with at most ``reach`` words at each end; chains that need more come as they are, marked ``open``."""
     texts = docs.select(row_place(docs).alias("t_row"), F.col(text).alias("_text"))
     columns = ["row", "source", "x0", "x1", "y0", "y1"]
     kinds = ", ".join(f"{c} long" for c in columns)
@@ -286,12 +306,12 @@ def aligned(chains: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                 for row, a, b, t in zip(batch["t_row"], batch[first], batch[last], batch["_text"], strict=True):
                     if row != held:
                         held, hashes = row, _words.of(words_of(t)).astype(np.uint32)
-                    out.append(hashes[max(0, a - REACH) : b + REACH].tobytes())
+                    out.append(hashes[max(0, a - reach) : b + reach].tobytes())
                 yield batch[columns + rest].assign(**{name: out})
 
         return cut
 
-    mine = chains.select(columns).join(texts, F.col("row") == F.col("t_row")).mapInPandas(cutter("x0", "x1", "mine", []), f"{kinds}, mine binary")
+    mine = chains.join(texts, F.col("row") == F.col("t_row")).mapInPandas(cutter("x0", "x1", "mine", []), f"{kinds}, mine binary")
     both = mine.join(texts, F.col("source") == F.col("t_row")).mapInPandas(cutter("y0", "y1", "other", ["mine"]), f"{kinds}, mine binary, other binary")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,16 +319,21 @@ def aligned(chains: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             out = []
             for r in batch.itertuples():
                 a, b = np.frombuffer(r.mine, np.uint32), np.frombuffer(r.other, np.uint32)
-                i, j = min(r.x0, REACH), min(r.y0, REACH)
+                i, j = min(r.x0, reach), min(r.y0, reach)
                 p, q = i + r.x1 - r.x0, j + r.y1 - r.y0
-                left, right = grown(a[:i][::-1], b[:j][::-1]), grown(a[p:], b[q:])
+                (left, left_ended), (right, right_ended) = grown(a[:i][::-1], b[:j][::-1]), grown(a[p:], b[q:])
+                more = not left_ended and r.x0 > reach < r.y0 or not right_ended and min(len(a) - p, len(b) - q) >= reach
+                if more:
+                    out.append((r.row, r.source, r.x0, r.x1, r.y0, r.y1, 0, True))
+                    continue
                 inner = equal_words(a[i - left : p + right], b[j - left : q + right])
                 size = max(p - i, q - j) + left + right
                 if size >= MIN_WORDS and inner >= IDENTITY * size:
-                    out.append((r.row, r.source, r.x0 - left, r.x1 + right, r.y0 - left, r.y1 + right, inner))
-            yield pd.DataFrame(out, columns=["row", "source", "start", "end", "source_start", "source_end", "equal"]).astype("int64")
+                    out.append((r.row, r.source, r.x0 - left, r.x1 + right, r.y0 - left, r.y1 + right, inner, False))
+            found = pd.DataFrame(out, columns=["row", "source", "start", "end", "source_start", "source_end", "equal", "open"])
+            yield found.astype({c: "int64" for c in found.columns[:-1]} | {"open": "bool"})
 
-    return both.mapInPandas(align, "row long, source long, start long, end long, source_start long, source_end long, equal long")
+    return both.mapInPandas(align, "row long, source long, start long, end long, source_start long, source_end long, equal long, open boolean")
 
 
 def outermost(found: DataFrame) -> DataFrame:

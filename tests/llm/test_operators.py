@@ -571,6 +571,25 @@ def test_fuzzy_passages(spark):
     assert found[60, 0.9] >= 0.85 and found[120, 0.9] >= 0.9 and found[120, 0.85] >= 0.85 and found[60, 0.85] >= 0.6
 
 
+def test_passages_come_whole(spark):
+    """Sixty equal words, then hundreds with every sixth or seventh changed, before or behind: ends grow until the texts differ."""
+    rng, rows, want = np.random.default_rng(11), [], []
+    fill = lambda n: [f"f{v}" for v in rng.integers(0, 10**12, n)]
+    for pair in range(40):
+        words = 260 if pair % 4 else 1200
+        one = fill(words)
+        two = [w if i < 60 or i % (6 + pair % 2) else fill(1)[0] for i, w in enumerate(one)]
+        one, two = (one, two) if pair % 3 else (one[::-1], two[::-1])
+        rows += [(len(rows) + i, " ".join(fill(300) + x + fill(300))) for i, x in enumerate((one, two))]
+        want.append(words)
+    table = materialize(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "planted")
+    found = {}
+    for r in substring_dedup.repeated_passages(table, stable=True).collect():
+        assert r["_key"] == r["source_key"] + 1 and r["equal"] >= 0.75 * (r["end"] - r["start"]) and r["end"] - r["start"] == r["source_end"] - r["source_start"]
+        found[r["source_key"] // 2] = max(found.get(r["source_key"] // 2, 0), r["end"] - r["start"])
+    assert all(want[n] - 10 <= found[n] <= want[n] + 6 for n in range(40))
+
+
 def test_chains_equal_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(20):
