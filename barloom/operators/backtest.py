@@ -56,17 +56,32 @@ def drawdowns(done: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def metrics(done: DataFrame, by: list[str] | None = None, least: int = 5) -> DataFrame:
+    """Figures of each strategy and hold, and ``by``, with at least ``least`` trades.
+
+    The trades are read once: a ticker's trades become one row of sums, and of logs of its equity. The deepest fall within a
+    ticker is known there; below the highest equity of the tickers before, it's that of the ticker's lowest point.
+    """
     keys = ["strategy", "holding_days", *(by or [])]
-    gains, losses = F.sum(F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0)), F.abs(F.sum(F.when(F.col("ret") < 0, F.col("ret")).otherwise(0.0)))
-    free = RATE * F.first("holding_days") / 252
-    dev = F.stddev_samp("ret")
-    return drawdowns(done, by).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trades"),
-        (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("win_rate"),
-        (F.avg("ret") * 100).alias("avg_return"),
+    mine = Window.partitionBy(*keys, "ticker").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    rows = done.withColumn("_log", F.sum(F.log(F.greatest(1 + F.col("ret"), F.lit(1e-12)))).over(mine)).withColumn("_top", F.max("_log").over(mine))
+    gain, loss = F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0), F.when(F.col("ret") < 0, F.col("ret")).otherwise(0.0)
+    per = rows.groupBy(*keys, "ticker").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum((F.col("ret") > 0).cast("double")).alias("_wins"), F.sum("ret").alias("_ret"), (F.var_pop("ret") * F.count(F.lit(1))).alias("_spread"), F.sum(gain).alias("_gain"), F.sum(loss).alias("_loss"),
+        F.max_by("_log", "time").alias("_sum"), F.max("_log").alias("_most"), F.min("_log").alias("_lowest"), F.min(F.col("_log") - F.col("_top")).alias("_fall"),
+    )
+    before = Window.partitionBy(*keys).orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0.0))).withColumn("_high", F.max(F.col("_start") + F.col("_most")).over(before))
+    worst = F.min(F.least("_fall", F.col("_start") + F.col("_lowest") - F.col("_high")))
+    n, total, gains, losses = F.sum("_n"), F.sum("_ret"), F.sum("_gain"), F.abs(F.sum("_loss"))
+    spread = F.sum("_spread") + F.greatest(F.lit(0.0), F.sum(F.col("_ret") * F.col("_ret") / F.col("_n")) - total * total / n)
+    dev, free = F.when(n > 1, F.sqrt(spread / (n - 1))), RATE * F.first("holding_days") / 252
+    return per.groupBy(*keys).agg(
+        n.alias("n_trades"),
+        (F.sum("_wins") / n * 100).alias("win_rate"),
+        (total / n * 100).alias("avg_return"),
         F.when(losses == 0, 999.0).otherwise(gains / F.nullif(losses, F.lit(0.0))).alias("profit_factor"),
-        (F.abs(F.min("drawdown")) * 100).alias("max_drawdown"),
-        F.when(dev == 0, 0.0).otherwise((F.avg("ret") - free) / F.nullif(dev, F.lit(0.0)) * F.sqrt(F.lit(252) / F.first("holding_days"))).alias("sharpe_ratio"),
+        (F.abs(F.exp(worst) - 1) * 100).alias("max_drawdown"),
+        F.when(dev == 0, 0.0).otherwise((total / n - free) / F.nullif(dev, F.lit(0.0)) * F.sqrt(F.lit(252) / F.first("holding_days"))).alias("sharpe_ratio"),
     ).filter(F.col("n_trades") >= least)
 
 

@@ -119,10 +119,10 @@ def top_list(rows: DataFrame, regime: DataFrame, sectors: DataFrame, capital: fl
     return position_size(capped_top(with_sector(selected(scored), sectors), cap, limit), capital)
 
 
-def risk_levels(rows: DataFrame, stop: float = 2, targets: tuple[float, float] = (2, 3)) -> DataFrame:
-    """Stop and targets, so many mean true ranges from the close."""
+def risk_levels(rows: DataFrame, stop: float = 2, targets: tuple[float, float] = (2, 3), unit: float = 1e9) -> DataFrame:
+    """Stop and targets, so many mean true ranges from the close, and the traded value in ``unit``."""
     c = F.col
-    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - stop * c("ATR_14")), "TARGET_1": F.bround(c("close") + targets[0] * c("ATR_14")), "TARGET_2": F.bround(c("close") + targets[1] * c("ATR_14")), "adtv_bn": F.bround(F.coalesce(c("avg_value_20d"), c("close") * c("volume")) / 1e9, 1)})
+    rows = rows.withColumns({"STOP_LOSS": F.bround(c("close") - stop * c("ATR_14")), "TARGET_1": F.bround(c("close") + targets[0] * c("ATR_14")), "TARGET_2": F.bround(c("close") + targets[1] * c("ATR_14")), "adtv_bn": F.bround(F.coalesce(c("avg_value_20d"), c("close") * c("volume")) / unit, 1)})
     return rows.withColumn("RISK_PCT", F.bround((c("close") - c("STOP_LOSS")) / F.nullif(c("close"), F.lit(0.0)) * 100, 1))
 
 
@@ -141,7 +141,8 @@ def capped_top(rows: DataFrame, cap: int = 2, limit: int = 10) -> DataFrame:
 
 
 def with_sector(rows: DataFrame, sectors: DataFrame) -> DataFrame:
-    return rows.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
+    once = sectors.groupBy("ticker").agg(F.min("sector").alias("sector"))  # a ticker that is listed twice has its first sector by name
+    return rows.join(once, "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("Unknown")))
 
 
 def condition_counts(rows: DataFrame) -> DataFrame:

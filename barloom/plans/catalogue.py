@@ -21,13 +21,15 @@ from barloom.sources.versions import VersionedTable
 from barloom.streaming import bars as stream
 from barloom.streaming import indicators as streamed
 
-SCREENS = quality.Screens(close=20_000.0, value=9e5, bars=100, continuity=0.1)
-SCREEN_ARGS = (20_000.0, 9e5, 100, 0.1)
+SCREENS = quality.Screens(close=20_000.0, value=1.1e6, bars=515, continuity=0.17)
+SCREEN_ARGS = (20_000.0, 1.1e6, 515, 0.17)
 DAY = "2001-11-01"
 #: Levels at which each strategy fires on bars whose prices are random; the same in SQL.
 LOOSE = strategies.Rules(smc_rsi=60.0, cloud_adx=10.0, golden_adx=5.0, block_rsi=60.0)
 LOOSE_ARGS = (60, 10, 5, 60)
-ACCEPT = (backtest.Accept(35.0, 0.8, 99.9, 5), backtest.Accept(45.0, 1.0, 101.0, 5))
+ACCEPT = (backtest.Accept(35.0, 5.0, 99.999, 50), backtest.Accept(45.0, 10.0, 99.0, 5))
+#: Traded values are shown in this unit, as those of random prices are under a tenth of a thousand million.
+UNIT = 1e6
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -270,14 +272,14 @@ def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, regime, day = _report(spark, sf_dir)
     gated = strategies.gate_today(strategies.latest(_until(rows, day)), _until(regime, day, "date"))
-    return strategies.position_size(strategies.risk_levels(strategies.score(gated)))
+    return strategies.position_size(strategies.risk_levels(strategies.score(gated), unit=UNIT))
 
 
 POINTS = """CASE WHEN SIG_GOLDEN THEN 2.0 ELSE 0 END + CASE WHEN SIG_ICHIMOKU THEN 1.5 ELSE 0 END + CASE WHEN SIG_SMC THEN 0.5 ELSE 0 END + CASE WHEN ADX_14 > 30 THEN 0.5 ELSE 0 END
   + CASE WHEN RSI_14 BETWEEN 40 AND 60 THEN 0.3 ELSE 0 END - CASE WHEN close < MA_200 THEN 1.0 ELSE 0 END - CASE WHEN RSI_14 > 75 THEN 0.5 ELSE 0 END - CASE WHEN regime = 'BEAR' THEN 2.0 ELSE 0 END"""
 FIRED = "coalesce(nullif(concat_ws(', ', CASE WHEN SIG_GOLDEN THEN 'GOLDEN_CROSS' END, CASE WHEN SIG_ICHIMOKU THEN 'ICHIMOKU_TREND' END, CASE WHEN SIG_SMC THEN 'SMC_REVERSAL' END), ''), '-')"
 SCORED = f"""{TODAY_SQL}, l AS (SELECT *, CAST(round({POINTS}, 4) AS DOUBLE) AS score, {FIRED} AS fired, round_even(close - 2 * ATR_14, 0) AS STOP_LOSS, round_even(close + 2 * ATR_14, 0) AS TARGET_1, round_even(close + 3 * ATR_14, 0) AS TARGET_2,
-  round_even(coalesce(avg_value_20d, close * volume) / 1e9, 1) AS adtv_bn FROM gs),
+  round_even(coalesce(avg_value_20d, close * volume) / 1e6, 1) AS adtv_bn FROM gs),
 report AS (SELECT max(time) AS day FROM l WHERE (SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC) AND score > 0),
 z AS (SELECT *, CASE WHEN close - STOP_LOSS > 0 THEN CAST(floor(least(1e9 * 0.01 / (close - STOP_LOSS), 1e9 * 0.2 / close)) AS BIGINT) ELSE 0 END AS shares FROM l WHERE time = (SELECT day FROM report)),
 chosen AS (SELECT *, 'Unknown' AS sector FROM z WHERE (SIG_GOLDEN OR SIG_ICHIMOKU OR SIG_SMC) AND score > 0 ORDER BY score DESC, ticker LIMIT 2)"""

@@ -196,3 +196,51 @@ def test_a_null_amid_values_is_an_error(spark):
     rows = frame(spark, [("A", i, 1.0, 1.0, 1.0, None if i in (0, 3) else 1.0) for i in range(6)])
     with pytest.raises(Exception, match="null amid values"):
         ewm(rows, "close", 0.2, "y").collect()
+
+
+def scans(df):
+    """File scans and reused exchanges of the plan that ran."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return text.count("FileScan"), text.count("ReusedExchange")
+
+
+@pytest.mark.parametrize("name", ["backtest_matrix", "best_strategies", "backtest_by_year"])
+def test_a_backtest_runs_once(spark, name):
+    assert scans(catalogue.queries()[name](spark, SF))[0] == 1
+
+
+def test_metrics_equal_those_of_each_trade(spark):
+    """Sums by ticker give what single trades give, the deepest fall over tickers included."""
+    import random
+    import statistics
+
+    rng = random.Random(8)
+    rows = [(s, 5, f"T{i % 7}", i, -1.0 if s == "B" and i == 40 else rng.uniform(-0.3, 0.32)) for s in "AB" for i in range(70)] + [("C", 5, "T0", i, 0.5) for i in range(6)]
+    done = spark.createDataFrame(rows, "strategy string, holding_days int, ticker string, time int, ret double")
+    falls = {r["strategy"]: r["fall"] for r in backtest.drawdowns(done).groupBy("strategy").agg(F.min("drawdown").alias("fall")).collect()}
+    got = {r["strategy"]: r for r in backtest.metrics(done).collect()}
+    for s in "ABC":
+        returns = [r[4] for r in rows if r[0] == s]
+        assert got[s]["max_drawdown"] == pytest.approx(-100 * falls[s]) and got[s]["n_trades"] == len(returns)
+        assert got[s]["avg_return"] == pytest.approx(100 * statistics.mean(returns)) and got[s]["win_rate"] == pytest.approx(100 * sum(r > 0 for r in returns) / len(returns))
+        gains, losses = sum(r for r in returns if r > 0), -sum(r for r in returns if r < 0)
+        assert got[s]["profit_factor"] == (pytest.approx(gains / losses) if losses else 999.0)
+        dev = statistics.stdev(returns)
+        assert got[s]["sharpe_ratio"] == pytest.approx((statistics.mean(returns) - 0.045 * 5 / 252) / dev * (252 / 5) ** 0.5 if dev else 0.0)
+
+
+def test_a_ticker_of_two_sectors_stays_one_row(spark):
+    rows = spark.createDataFrame([("A",), ("B",)], "ticker string")
+    sectors = spark.createDataFrame([("A", "y"), ("A", "x")], "ticker string, sector string")
+    assert sorted(map(tuple, strategies.with_sector(rows, sectors).collect())) == [("A", "x"), ("B", "Unknown")]
+
+
+def test_levels_let_every_screen_act():
+    """On the tables that the driver compares: five reasons, some results turned away, values that differ."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    assert len(con.execute(catalogue.oracle_sql()["rejection_breakdown"]).fetchall()) == 5
+    assert con.execute(f"{catalogue.TRADES_SQL} SELECT count(*) FILTER ({catalogue.ACCEPT_SQL}), count(*) FROM mt").fetchone()[0] not in (0, 15)
+    assert len({r[0] for r in con.execute(f"SELECT adtv_bn FROM ({catalogue.oracle_sql()['score_snapshot']})").fetchall()}) > 1
