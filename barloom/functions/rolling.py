@@ -35,13 +35,12 @@ def ewm(df: DataFrame, x: str, alpha: float, out: str, warmup: int = 0) -> DataF
 
     Within a block of bars the recursion is a running sum of x (1 - alpha)^-t; a block starts from the end of the
     one before it. Blocks are so long that (1 - alpha)^length is 1e-150: in a double's range, and far below its precision, so
-    older blocks no longer count. A null amid values is an error, as the weights after it would be wrong.
+    older blocks no longer count. A null is left out and has no mean itself: the others' are as if its bar weren't there.
     """
     q, whole = 1 - alpha, bars_window().rowsBetween(Window.unboundedPreceding, 0)
     size = max(1, int(DECAY / -math.log(q))) if q > 0 else 1
     df = df.withColumn("_i", F.count(x).over(whole) - 1).withColumn("_b", F.floor(F.col("_i") / size)).withColumn("_j", F.col("_i") - F.col("_b") * size)
-    gap = F.raise_error(F.lit(f"{x}: a null amid values has no exponential mean")).cast("double")
-    term = F.when(F.col(x).isNull() & (F.col("_i") >= 0), gap).otherwise(F.col(x) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(q), -F.col("_j")))
+    term = F.col(x) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(q), -F.col("_j"))
     block = Window.partitionBy(KEY, "_b").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_local", F.pow(F.lit(q), F.col("_j")) * F.sum(term).over(block))
     ended = F.when(F.col("_j") == size - 1, F.col("_local"))

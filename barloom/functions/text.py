@@ -26,6 +26,30 @@ def report_line() -> Column:
     return F.concat_ws(" | ", "ticker", "sector", F.format_string("%.1f", "score"), "signals_fired", price("close"), F.concat(F.lit("SL "), price("STOP_LOSS")), F.concat(F.lit("T1 "), price("TARGET_1")), F.format_string("risk %.1f%%", "RISK_PCT"))
 
 
+def signed_percent(x: Column | str, places: int = 2) -> Column:
+    """A number of percent with its sign, as ``+1.50%``; null stays null."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(x.isNotNull(), F.format_string(f"%+.{places}f%%", x))
+
+
+def day_month_year(day: Column | str) -> Column:
+    return F.date_format(day, "dd/MM/yyyy")
+
+
+def weekly_message(day: Column, target: float = 52.0) -> Column:
+    """The weekly review of a row of ``tracking.weekly`` with ``regimes``, a text of the last days' regimes; no closed signal has neither rate nor return."""
+    rate = F.col("win_rate")
+    reached = F.when(rate >= target, F.lit("target met")).otherwise(F.lit("under target"))
+    lines = [
+        F.concat(F.lit("WEEKLY REVIEW "), day_month_year(day)),
+        *[F.concat(F.lit(f"{name}: "), F.col(c)) for name, c in (("New signals", "new_signals"), ("Holding", "holding"), ("Wins", "wins"), ("Losses", "losses"))],
+        F.when(rate.isNull(), F.lit("Win rate: nothing closed")).otherwise(F.concat(F.format_string("Win rate: %.1f%% (", rate), reached, F.lit(")"))),
+        F.coalesce(F.concat(F.lit("Mean return: "), signed_percent("avg_return")), F.lit("Mean return: no data")),
+        F.concat(F.lit("Last regimes: "), F.coalesce("regimes", F.lit("unknown"))),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
 def chunks(text: str, most: int = 4000) -> list[str]:
     """A message cut between lines into parts of at most ``most`` characters; a longer line is cut itself."""
     out, now = [], ""

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.text import redact, report_line
+from barloom.functions.text import redact, report_line, weekly_message
 from barloom.operators import backtest, indicators, quality, returns, strategies, tracking
 from barloom.plans import sql as S
 from barloom.sources import bars as B
@@ -722,6 +722,15 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(*_report(spark, sf_dir)).select("ticker", report_line().alias("line"))
 
 
+@query("weekly_message", f"""SELECT concat_ws(chr(10), 'WEEKLY REVIEW {DAY[8:]}/{DAY[5:7]}/{DAY[:4]}', 'New signals: ' || new_signals, 'Holding: ' || holding, 'Wins: ' || wins, 'Losses: ' || losses,
+  CASE WHEN win_rate IS NULL THEN 'Win rate: nothing closed' ELSE printf('Win rate: %.1f%% (', win_rate) || CASE WHEN win_rate >= 52 THEN 'target met)' ELSE 'under target)' END END,
+  coalesce(printf('Mean return: %+.2f%%', avg_return), 'Mean return: no data'), 'Last regimes: ' || (SELECT string_agg(regime || ' ' || n, ', ' ORDER BY n DESC, regime) FROM ({_sql["regime_last20"]}))) AS message FROM ({_sql["weekly_metrics"]})""")
+def weekly_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = regime_last20(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "regime", "n"))).alias("x"))  # a row for each regime
+    regimes = counts.select(F.array_join(F.transform("x", lambda r: F.concat_ws(" ", r["regime"], r["n"])), ", ").alias("regimes"))
+    return weekly_metrics(spark, sf_dir).crossJoin(F.broadcast(regimes)).select(weekly_message(F.lit(DAY).cast("date")).alias("message"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_sector_capped(spark, sf_dir)
 

@@ -192,10 +192,28 @@ def test_bars_held_equal_count(spark):
         assert r["days_held"] == (sum(i > day for i in range(0, 60, 2)) if day % 2 == 0 else None)
 
 
-def test_a_null_amid_values_is_an_error(spark):
-    rows = frame(spark, [("A", i, 1.0, 1.0, 1.0, None if i in (0, 3) else 1.0) for i in range(6)])
-    with pytest.raises(Exception, match="null amid values"):
-        ewm(rows, "close", 0.2, "y").collect()
+@pytest.mark.parametrize("alpha", [0.2, 1.0, 1 / 14])
+def test_a_null_costs_its_bar_alone(spark, alpha):
+    """Means of the other bars are as if it weren't there, across blocks, too; other tickers have nothing of it."""
+    holes = {0, 3, 4, 700, 1999}
+    rows = [("A", i, 1.0, 1.0, 1.0, None if i in holes else float(i % 17)) for i in range(2500)] + [("B", i, 1.0, 1.0, 1.0, 2.0) for i in range(5)]
+    got = {(r["ticker"], r["i"]): r["y"] for r in ewm(frame(spark, rows), "close", alpha, "y", 2).collect()}
+    mean, seen = None, 0
+    for i in range(2500):
+        if i in holes:
+            assert got["A", i] is None
+            continue
+        mean = float(i % 17) if mean is None else (1 - alpha) * mean + alpha * (i % 17)
+        seen += 1
+        assert got["A", i] == (pytest.approx(mean, rel=1e-9, abs=1e-9) if seen > 2 else None)
+    assert got["B", 4] == pytest.approx(2.0)
+
+
+def test_signs_and_days(spark):
+    from barloom.functions.text import day_month_year, signed_percent
+
+    rows = spark.createDataFrame([(1.5, "2020-03-01"), (-0.256, "2020-12-31"), (0.0, None), (None, None)], "x double, d string")
+    assert [tuple(r) for r in rows.select(signed_percent("x"), day_month_year(F.to_date("d"))).collect()] == [("+1.50%", "01/03/2020"), ("-0.26%", "31/12/2020"), ("+0.00%", None), (None, None)]
 
 
 def scans(df):
