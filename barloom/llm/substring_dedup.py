@@ -19,7 +19,7 @@ MIN_WORDS, IDENTITY = 50, 0.75
 #: Cost of each word of a gap, on either side; a seed is worth its words.
 GAP_COST = 0.1
 #: Words by which a chain's ends may grow at first, and how much farther those that are still alike there may at the next step.
-REACH, FARTHER = 64, 4
+REACH, FARTHER = 64, 8
 #: Chains that are joined with the texts by broadcast, at 48 bytes each; beyond, both sides are shuffled.
 FEW = 100_000
 #: Words that runs of seeds cover, at least. Any 50 equal words hold a run of 28, as their outer seeds lie at most
@@ -281,19 +281,22 @@ def aligned(chains: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     Ends grow until the texts differ or one of them ends. Chains of which an end is still alike at the last word that was cut out are
     aligned once more with ``FARTHER`` times as many, again and again; there are few, and fewer each time.
     """
-    done, reach = [], REACH
+    done, reach, few = [], REACH, False
     while True:
-        step = materialize(aligned_within(chains, docs, text, reach), "aligned")
+        step = materialize(aligned_within(chains, docs, text, reach, few), "aligned")
         done.append(step.filter("not open").drop("open"))
         chains = step.filter("open").select("row", "source", F.col("start").alias("x0"), F.col("end").alias("x1"), F.col("source_start").alias("y0"), F.col("source_end").alias("y1"))
         left = chains.count()
         if not left:
             return reduce(DataFrame.unionByName, done)
-        chains, reach = F.broadcast(chains) if left <= FEW else chains, reach * FARTHER
+        few, reach = left <= FEW, reach * FARTHER
 
 
-def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int) -> DataFrame:
-    """As ``aligned``, with at most ``reach`` words at each end; chains that need more come as they are, marked ``open``."""
+def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int, few: bool = False) -> DataFrame:
+    """As ``aligned``, with at most ``reach`` words at each end; chains that need more come as they are, marked ``open``.
+
+    A ``few`` chains go to the texts, and what is cut out for each is joined; else the texts are shuffled to the chains.
+    """
     texts = docs.select(row_place(docs).alias("t_row"), F.col(text).alias("_text"))
     columns = ["row", "source", "x0", "x1", "y0", "y1"]
     kinds = ", ".join(f"{c} long" for c in columns)
@@ -311,8 +314,12 @@ def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int) ->
 
         return cut
 
-    mine = chains.join(texts, F.col("row") == F.col("t_row")).mapInPandas(cutter("x0", "x1", "mine", []), f"{kinds}, mine binary")
-    both = mine.join(texts, F.col("source") == F.col("t_row")).mapInPandas(cutter("y0", "y1", "other", ["mine"]), f"{kinds}, mine binary, other binary")
+    asked = F.broadcast(chains) if few else chains
+    mine = asked.join(texts, F.col("row") == F.col("t_row")).mapInPandas(cutter("x0", "x1", "mine", []), f"{kinds}, mine binary")
+    if few:
+        both = mine.join(asked.join(texts, F.col("source") == F.col("t_row")).mapInPandas(cutter("y0", "y1", "other", []), f"{kinds}, other binary"), columns)
+    else:
+        both = mine.join(texts, F.col("source") == F.col("t_row")).mapInPandas(cutter("y0", "y1", "other", ["mine"]), f"{kinds}, mine binary, other binary")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
