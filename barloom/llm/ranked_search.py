@@ -29,8 +29,8 @@ TOP = 20
 HEAD = 64
 #: Documents of a block, and the occurrences after which one ends early.
 BLOCK, BLOCK_HITS = 2048, 1 << 20
-#: Blocks of a piece of the lists, and tasks that a piece's lists are dealt to.
-PIECE, DEALT = 64, 8
+#: Read partitions of a piece of the lists, blocks of a partition that it has at most, and tasks that a piece's lists are dealt to.
+PIECE_PARTS, PIECE, DEALT = 8, 64, 8
 #: Terms of items that one pass over the documents serves; more items go to further passes.
 PASS_TERMS = 200_000
 #: ASCII letters lower-cased, other ASCII characters but digits as spaces.
@@ -186,7 +186,8 @@ def term_counts(blocks: DataFrame) -> dict[int, int]:
 def postings_of(blocks: DataFrame, items: Items) -> DataFrame:
     """Postings dealt by term: ``piece, dealt, block, code, local, impact``, a row for a term and a block.
 
-    A piece is the lists' share of some blocks, so the list of a word that every document has is dealt to many tasks.
+    A piece is the lists' share of some blocks, those of ``PIECE_PARTS`` partitions as they were read, so the list of a word that every
+    document has is dealt to many tasks, and what a task gets doesn't grow with the table.
     """
     docs, words = items.docs, items.words
 
@@ -199,8 +200,8 @@ def postings_of(blocks: DataFrame, items: Items) -> DataFrame:
                 yield pd.DataFrame({"block": row["block"], "code": block.codes, "local": [block.local[a:b].tobytes() for a, b in cuts], "impact": [impacts[a:b].tobytes() for a, b in cuts]})
 
     rows = blocks.filter("block is not null").select("block", "words", *[c for c, _ in INDEX]).mapInPandas(lists, "block long, code int, local binary, impact binary")
-    piece = F.struct(F.shiftright("block", 32 + int(math.log2(PIECE))), F.floor(F.pmod("block", F.lit(1 << 32)) / PIECE))
-    by = [F.hash(piece).alias("piece"), F.pmod(F.hash("code"), F.lit(DEALT)).alias("dealt")]
+    part, number = F.shiftright("block", 32), F.pmod("block", F.lit(1 << 32))
+    by = [F.hash(F.floor(part / PIECE_PARTS), F.floor(number / PIECE)).alias("piece"), F.pmod(F.hash("code"), F.lit(DEALT)).alias("dealt")]
     rows = rows.select(*by, "block", "code", "local", "impact")
     return rows.repartition(shuffle_width(blocks.sparkSession), "piece", "dealt").sortWithinPartitions("piece", "dealt", "block", "code")
 
