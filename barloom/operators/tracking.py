@@ -29,17 +29,17 @@ def upsert(tracker: DataFrame, top: DataFrame, prices: DataFrame, day: str | Col
 def settle(tracker: DataFrame, bars: DataFrame, expiry: int = 20) -> DataFrame:
     """Close open rows that reached a target or stop, or were held ``expiry`` bars.
 
-    Bars held are the difference of two bar numbers: the last one's and that of the last bar up to the signal, found in one
-    pass over a ticker's bars and open signals in order of date.
+    Bars held are the difference of two bar numbers: the last one's and that of the last bar up to the signal. They and the last price are found in one
+    pass over a ticker's bars and signals in order of date, without a join.
     """
     waits = F.col("result").isNull() | (F.col("result") == "HOLDING")
-    last = bars.groupBy("ticker").agg(F.max_by("close", "time").alias("_price"), F.max("time").alias("_day"), F.count(F.lit(1)).alias("_bars"))
-    asked = tracker.filter(waits).select("ticker", F.col("signal_date").alias("_date")).distinct()
-    marks = bars.select("ticker", F.to_date("time").alias("_date"), F.lit(1).alias("_bar")).unionByName(asked.withColumn("_bar", F.lit(0)))
-    upto = Window.partitionBy("ticker").orderBy("_date", F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
-    number = marks.withColumn("_upto", F.sum("_bar").over(upto)).filter("_bar = 0").select("ticker", F.col("_date").alias("signal_date"), "_upto")
-    rows = tracker.join(last, "ticker", "left").join(number, ["ticker", "signal_date"], "left").withColumn("_held", F.coalesce(F.col("_bars") - F.col("_upto"), F.lit(0))).drop("_bars", "_upto")
-    is_open = waits & F.col("_price").isNotNull()
+    asked = tracker.select("ticker", F.col("signal_date").alias("_date"), F.lit(0).alias("_bar"), F.struct(*tracker.columns).alias("_row"))
+    marks = bars.select("ticker", F.to_date("time").alias("_date"), F.lit(1).alias("_bar"), "time", "close").unionByName(asked, allowMissingColumns=True)
+    whole = Window.partitionBy("ticker")
+    upto = whole.orderBy("_date", F.desc("_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marks.withColumns({"_upto": F.sum("_bar").over(upto), "_bars": F.sum("_bar").over(whole), "_price": F.max_by("close", "time").over(whole), "_day": F.max("time").over(whole)})
+    rows = seen.filter("_bar = 0").select("_row.*", (F.col("_bars") - F.col("_upto")).alias("_held"), "_price", "_day")
+    is_open = waits & F.col("_price").isNotNull() & F.col("signal_date").isNotNull()
     ended = F.col("_held") >= expiry
     outcome = F.when(F.col("_price") >= F.col("TARGET_1"), "WIN").when((F.col("_price") <= F.col("STOP_LOSS")) & (F.col("STOP_LOSS") > 0), "LOSS").when(ended, F.when(F.col("_price") > F.col("entry_price"), "WIN").otherwise("LOSS")).otherwise("HOLDING")
     hit = (F.col("_price") >= F.col("TARGET_1")) | ((F.col("_price") <= F.col("STOP_LOSS")) & (F.col("STOP_LOSS") > 0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.text import redact, report_line, weekly_message
@@ -409,8 +409,9 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tracker(spark: SparkSession, sf_dir: str, signals: DataFrame | None = None) -> DataFrame:
     """A tracker of every bar on which a trusted strategy fired, at the last known prices; levels near enough to be touched."""
-    rows = strategies.risk_levels(strategies.score((_loose(spark, sf_dir) if signals is None else signals).withColumn("regime", F.lit("UNKNOWN"))), 0.5, (0.1, 0.3)).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
-    rows = rows.join(B.latest_prices(_flags(spark, sf_dir)).withColumnRenamed("close", "_now"), "ticker")
+    known = F.max_by("close", F.when(F.col("close").isNotNull(), F.col("time"))).over(Window.partitionBy("ticker"))
+    rows = (_loose(spark, sf_dir) if signals is None else signals).withColumns({"_now": known, "regime": F.lit("UNKNOWN")})
+    rows = strategies.risk_levels(strategies.score(rows), 0.5, (0.1, 0.3)).filter("SIG_GOLDEN or SIG_ICHIMOKU or SIG_SMC")
     none = {"result": "string", "days_held": "int", "exit_price": "double", "exit_date": "date", "note": "string"}
     gain = F.bround((F.col("_now") / F.col("close") - 1) * 100, 2)
     return rows.select(F.to_date("time").alias("signal_date"), "ticker", F.lit("Unknown").alias("sector"), "signals_fired", "score", F.col("close").alias("entry_price"), "STOP_LOSS", "TARGET_1", "TARGET_2", gain.alias("return_pct"), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])

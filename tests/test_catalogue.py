@@ -228,6 +228,11 @@ def test_a_backtest_runs_once(spark, name):
     assert scans(catalogue.queries()[name](spark, SF))[0] == 1
 
 
+@pytest.mark.parametrize(("name", "most"), [("tracker_status", 2), ("weekly_metrics", 2), ("note_restore", 2)])
+def test_a_tracker_reads_its_bars_for_signals_and_once_more(spark, name, most):
+    assert scans(catalogue.queries()[name](spark, SF))[0] <= most
+
+
 def test_metrics_equal_those_of_each_trade(spark):
     """Sums by ticker give what single trades give, the deepest fall over tickers included."""
     import random
