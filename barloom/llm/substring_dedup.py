@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.shared import WordHashes, drop_table, materialize, mix64, read, rolling_hash, row_place, words_of
@@ -19,9 +19,9 @@ MIN_WORDS, IDENTITY = 50, 0.75
 #: Cost of each word of a gap, on either side; a seed is worth its words.
 GAP_COST = 0.1
 #: Words by which a chain's ends may grow at first, and how much farther those that are still alike there may at the next step.
-REACH, FARTHER = 64, 8
+REACH, FARTHER = 64, 16
 #: Chains that are joined with the texts by broadcast, at 48 bytes each; beyond, both sides are shuffled.
-FEW = 100_000
+FEW = 500_000
 #: Words that runs of seeds cover, at least. Any 50 equal words hold a run of 28, as their outer seeds lie at most
 #: 11 words within, and any 72 equal words hold one of 50.
 RUN_WORDS = (MIN_WORDS - 2 * (WINDOW - 1), 39, MIN_WORDS)
@@ -284,16 +284,25 @@ def aligned(chains: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     done, reach, few = [], REACH, False
     while True:
         step = materialize(aligned_within(chains, docs, text, reach, few), "aligned")
-        done.append(step.filter("not open").drop("open"))
-        chains = step.filter("open").select("row", "source", F.col("start").alias("x0"), F.col("end").alias("x1"), F.col("source_start").alias("y0"), F.col("source_end").alias("y1"))
+        done.append(step.filter("open = 0").drop("open"))
+        chains = materialize(run_together(step.filter("open > 0"), reach), "open")
         left = chains.count()
         if not left:
             return reduce(DataFrame.unionByName, done)
         few, reach = left <= FEW, reach * FARTHER
 
 
+def run_together(chains: DataFrame, reach: int) -> DataFrame:
+    """Open chains of two documents as one where they are alike all the way from one to the next, with the same offset."""
+    same = Window.partitionBy("row", "source", F.col("start") - F.col("source_start"), F.col("end") - F.col("source_end")).orderBy("start", "end")
+    met = (F.col("start") - F.lag("end").over(same) <= reach) & ((F.lag("open").over(same) >= 2) | (F.col("open") % 2 == 1)) & (F.col("end") - F.col("start") == F.col("source_end") - F.col("source_start"))
+    rows = chains.withColumn("_new", F.when(met, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy("row", "source", F.col("start") - F.col("source_start"), F.col("end") - F.col("source_end"), "_run")
+    return rows.agg(F.min("start").alias("x0"), F.max("end").alias("x1"), F.min("source_start").alias("y0"), F.max("source_end").alias("y1")).select("row", "source", "x0", "x1", "y0", "y1")
+
+
 def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int, few: bool = False) -> DataFrame:
-    """As ``aligned``, with at most ``reach`` words at each end; chains that need more come as they are, marked ``open``.
+    """As ``aligned``, with at most ``reach`` words at each end; chains that need more come as they are, ``open`` to the left (1), right (2) or both (3).
 
     A ``few`` chains go to the texts, and what is cut out for each is joined; else the texts are shuffled to the chains.
     """
@@ -329,18 +338,17 @@ def aligned_within(chains: DataFrame, docs: DataFrame, text: str, reach: int, fe
                 i, j = min(r.x0, reach), min(r.y0, reach)
                 p, q = i + r.x1 - r.x0, j + r.y1 - r.y0
                 (left, left_ended), (right, right_ended) = grown(a[:i][::-1], b[:j][::-1]), grown(a[p:], b[q:])
-                more = not left_ended and r.x0 > reach < r.y0 or not right_ended and min(len(a) - p, len(b) - q) >= reach
+                more = (not left_ended and r.x0 > reach < r.y0) + 2 * (not right_ended and min(len(a) - p, len(b) - q) >= reach)
                 if more:
-                    out.append((r.row, r.source, r.x0, r.x1, r.y0, r.y1, 0, True))
+                    out.append((r.row, r.source, r.x0, r.x1, r.y0, r.y1, 0, more))
                     continue
                 inner = equal_words(a[i - left : p + right], b[j - left : q + right])
                 size = max(p - i, q - j) + left + right
                 if size >= MIN_WORDS and inner >= IDENTITY * size:
-                    out.append((r.row, r.source, r.x0 - left, r.x1 + right, r.y0 - left, r.y1 + right, inner, False))
-            found = pd.DataFrame(out, columns=["row", "source", "start", "end", "source_start", "source_end", "equal", "open"])
-            yield found.astype({c: "int64" for c in found.columns[:-1]} | {"open": "bool"})
+                    out.append((r.row, r.source, r.x0 - left, r.x1 + right, r.y0 - left, r.y1 + right, inner, 0))
+            yield pd.DataFrame(out, columns=["row", "source", "start", "end", "source_start", "source_end", "equal", "open"]).astype("int64")
 
-    return both.mapInPandas(align, "row long, source long, start long, end long, source_start long, source_end long, equal long, open boolean")
+    return both.mapInPandas(align, "row long, source long, start long, end long, source_start long, source_end long, equal long, open long")
 
 
 def outermost(found: DataFrame) -> DataFrame:
