@@ -345,6 +345,19 @@ def test_scores(docs, none):
     assert lm_score.score_texts(none).count() == 0
 
 
+def test_a_rare_context_counts_in_a_corpus_of_any_size(spark):
+    """What followed two words twice is foretold after them, however many other texts there are."""
+    learnt, held = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 != 2], [i for i in range(9000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    for size in (20, 600):
+        texts = [(i, " ".join(f"f{(i * 31 + j * j * 7) % 400}" for j in range(20))) for i in learnt[:size]]
+        texts += [(i, "north wind rises") for i in learnt[-2:]] + [(i, f"{x} rises") for i, x in zip(learnt[-8:-2], "abcdef", strict=True)]
+        table = spark.createDataFrame([*texts, (held[0], "north wind rises"), (held[1], "wind north rises")], "doc_id long, text string")
+        rows = {r["_key"]: r["score"] for r in lm_score.score_texts(table).collect()}
+        assert rows[held[0]] > rows[held[1]] + 2
+        other = {r["_key"]: r["score"] for r in lm_score.score_texts(table.repartition(5), least=1).collect()}
+        assert other == rows
+
+
 def test_probabilities_sum_to_one():
     contexts = lm_score.Contexts(np.array([0, 1 << 24, 2 << 24, (2 << 24) + 3], np.uint64))
     words, per = 30, 4
