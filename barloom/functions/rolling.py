@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +18,21 @@ def bars_window():
     return Window.partitionBy(KEY).orderBy(TIME)
 
 
+def last_bars(n: int):
+    return bars_window().rowsBetween(-(n - 1), 0)
+
+
 def rolling(agg, x: Column, n: int, least: int | None = None) -> Column:
     """``agg(x)`` over the last ``n`` bars, null while fewer than ``least`` (``n``) of them have a value."""
-    over = bars_window().rowsBetween(-(n - 1), 0)
+    over = last_bars(n)
     return F.when(F.count(x).over(over) >= (n if least is None else least), agg(x).over(over))
 
 
+def stretch(sums: str, part: int, n: int) -> Column:
+    """The sum over the last ``n`` bars, from the column ``sums`` of those over the last ``part``, which ``n`` is a multiple of."""
+    return reduce(add, [F.coalesce(F.lag(sums, k).over(bars_window()), F.lit(0)) if k else F.col(sums) for k in range(0, n, part)])
+
+
 def lag(x: str | Column, n: int = 1) -> Column:
     return F.lag(x, n).over(bars_window())
 

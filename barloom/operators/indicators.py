@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.rolling import bars_window, ewm, lag, lead, rolling
+from barloom.functions.rolling import bars_window, ewm, lag, last_bars, lead, rolling, stretch
 
 
 def moving_averages(bars: DataFrame) -> DataFrame:
-    return bars.withColumns({f"MA_{n}": rolling(F.avg, F.col("close"), n) for n in (20, 50, 200)})
+    """Means of the last 20, 50 and 200 closes, from sums of the last 10: a bar costs some twenty additions and not 270.
+
+    The sums of a longer stretch add those of its parts, as they stood some bars ago; nothing is taken off again, so there's no error to grow.
+    """
+    bars = bars.withColumns({"_s10": F.coalesce(F.sum(F.col("close").cast("double")).over(last_bars(10)), F.lit(0.0)), "_c10": F.count("close").over(last_bars(10))})
+    for n, part in ((20, 10), (50, 10), (200, 50)):
+        bars = bars.withColumns({f"_{x}{n}": stretch(f"_{x}{part}", part, n) for x in "sc"})
+        bars = bars.withColumn(f"MA_{n}", F.when(F.col(f"_c{n}") >= n, F.col(f"_s{n}") / F.col(f"_c{n}")))
+    return bars.drop(*[f"_{x}{n}" for x in "sc" for n in (10, 20, 50, 200)])
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:

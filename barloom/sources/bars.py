@@ -14,16 +14,22 @@ ALIASES = {"time": ["time", "date", "tradingdate", "trading_date", "datetime"],
 PRICES = ["open", "high", "low", "close"]
 
 
-def derive_bars(trades: DataFrame, ticker: Column, time: str, price: str, size: str, order: list[str]) -> DataFrame:
-    """Daily bars of a table of trades; ``order`` with the price says which trade of a day is first and last."""
+def derive_bars(trades: DataFrame, ticker: Column, time: str, price: str, size: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """Daily bars of a table of trades; ``order`` with the price says which trade of a day is first and last.
+
+    With ``parts`` the trades are dealt to so many by ticker, and the bars stay there: no later step by ticker deals them anew.
+    """
     by = F.struct(*order, price)
+    if parts:
+        trades = trades.select(ticker.alias("ticker"), *dict.fromkeys([time, price, size, *order])).repartition(parts, "ticker")
+        ticker = F.col("ticker")
     agg = trades.groupBy(ticker.alias("ticker"), F.col(time).alias("time"))
     return agg.agg(F.min_by(price, by).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, by).alias("close"), F.sum(size).cast("long").alias("volume"))
 
 
-def line_bars(spark: SparkSession, sf_dir: str, ticker: Column) -> DataFrame:
+def line_bars(spark: SparkSession, sf_dir: str, ticker: Column, parts: int | None = None) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return derive_bars(lines, ticker, "l_shipdate", "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber"])
+    return derive_bars(lines, ticker, "l_shipdate", "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber"], parts)
 
 
 def read_bars(spark: SparkSession, path: str, tickers: DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:

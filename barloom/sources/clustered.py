@@ -17,6 +17,13 @@ from barloom.sources.versions import WHOLE, Part, Version, VersionedTable
 
 #: Tickers that are named in the scan itself; more of them are joined, which takes no exchange of the bars either.
 MOST_NAMED = 1000
+#: Rows of a bucket, which one task sorts and writes, and later reads, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets of a table of at most so many rows: more rows make more tasks, not longer ones."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def write_clustered(rows: DataFrame, path: str, buckets: int = 16) -> Version:
@@ -26,7 +33,7 @@ def write_clustered(rows: DataFrame, path: str, buckets: int = 16) -> Version:
     spark = rows.sparkSession
     table, name = VersionedTable(spark, path), f"barloom_{uuid.uuid4().hex}"
     base, where = table.version(), f"data/{uuid.uuid4().hex}"
-    dealt = rows.repartition(buckets, "ticker").sortWithinPartitions("ticker", "time")
+    dealt = rows.repartition(buckets, "ticker")  # rows that are dealt so already stay; the write sorts each bucket
     dealt.write.bucketBy(buckets, "ticker").sortBy("ticker", "time").option("path", f"{table.path}/{where}").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the entry; the files of an external table stay
     return table.commit({"": Part(rows.schema.json(), {WHOLE: where}, "parquet", {"buckets": str(buckets)})}, "cluster", base)

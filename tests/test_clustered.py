@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions.rolling import rolling
 from barloom.operators import indicators, quality
 from barloom.plans import catalogue
 from barloom.sources.clustered import forget, read_clustered, write_clustered
@@ -74,3 +75,27 @@ def test_versions_of_a_clustered_table(spark, tmp_path):
         read_clustered(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="bucket"):
         write_clustered(rows(1.0), path, 0)
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    """A bucket is one task's, so more lines make more of them; lines are dealt once, for the bars and for their buckets."""
+    monkeypatch.setattr("barloom.sources.clustered.BUCKET_ROWS", 500)
+    found = []
+    write = catalogue.clustered.write_clustered
+    monkeypatch.setattr("barloom.sources.clustered.write_clustered", lambda rows, path, n: (found.append((n, plan(rows.repartition(n, "ticker")).count("Exchange"))), write(rows, path, n))[1])
+    df = catalogue.queries()["clustered_means"](spark, SF)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert found == [(-(-lines // 500), 1)] and found[0][0] > 8
+    assert buckets(df)[1] == found[0][0]
+
+
+def test_means_add_few_terms_a_bar(spark):
+    """No frame as long as the longest mean, and the same means as from such frames, with closes missing, too."""
+    rows = spark.range(2600).selectExpr("concat('T', id % 2) ticker", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, int(id)) time", "if(id % 1300 = 5 or id between 900 and 1000, null, (id * 7919 % 1009) * pow(10, id % 5)) close")
+    got = indicators.moving_averages(rows)
+    assert "-199" not in plan(got) and got.columns == [*rows.columns, "MA_20", "MA_50", "MA_200"]
+    want = rows.withColumns({f"W_{n}": rolling(F.avg, F.col("close"), n) for n in (20, 50, 200)})
+    for r in got.join(want, ["ticker", "time"]).collect():
+        for n in (20, 50, 200):
+            assert r[f"MA_{n}"] == (None if r[f"W_{n}"] is None else pytest.approx(r[f"W_{n}"], rel=1e-12))
+    assert got.filter("MA_200 is not null").count() == want.filter("W_200 is not null").count() > 0
