@@ -646,6 +646,53 @@ def test_descent_goes_on_until_few_edges_change(spark):
     assert len(edges) == 20_000 and len(more - edges) <= 20 * nn_descent.DELTA * len(edges)
 
 
+def test_search_shuffles_few_rows(spark):
+    """Blocks tell each other packed rows, so a whole search moves a few rows for each vector, not one for each edge and measured node."""
+    bus, store, gateway = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        bus.waitUntilEmpty()
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    before = stages()
+    assert nn_descent.nearest(table, table.filter("vec_id % 50 = 0")).count() == 50
+    assert 0 < sum(n for stage, n in stages().items() if stage > max(before, default=-1)) < 40 * table.count()
+
+
+def test_a_round_equals_brute_force(spark, monkeypatch):
+    """One round over several blocks, with hubs, against lists that meet one by one."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((400, 8)) * np.where(np.arange(400) < 40, 0.1, 1)[:, None] + 1
+    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    near, k = unit @ unit.T, 4
+    start = {v: sorted(rng.choice(np.delete(np.arange(400), v), k, replace=False).tolist(), key=lambda w: -near[v, w]) for v in range(400)}
+    fresh = {(v, w): bool(rng.random() < 0.3) for v in start for w in start[v]}
+    nodes = spark.createDataFrame([(7 * v + 3, u.tobytes()) for v, u in enumerate(unit)], "node long, unit binary")
+    edges = spark.createDataFrame([(7 * v + 3, 7 * w + 3, float(near[v, w]), new) for (v, w), new in fresh.items()], "node long, other long, near float, fresh boolean")
+    want = {v: set(start[v]) for v in start}
+    for v in start:
+        back = sorted((u for u in start if v in start[u]), key=lambda u: -near[u, v])[:k]
+        new = {w for w in start[v] if fresh[v, w]} | {u for u in back if fresh[u, v]}
+        members = {v, *start[v], *back}
+        for a in members:
+            want[a] |= {b for b in members if a != b and (a in new or b in new)}
+    found = {}
+    for r in nn_descent.descend(edges, nodes, k).collect():
+        v, w = (r["node"] - 3) // 7, (r["other"] - 3) // 7
+        found.setdefault(v, set()).add(w)
+        assert r["fresh"] == (w not in start[v]) and abs(r["near"] - near[v, w]) < 1e-5
+    assert all(found[v] == set(sorted(want[v], key=lambda w: -near[v, w])[:k]) for v in want)
+    assert nn_descent.packed(nodes).count() == 7
+
+
+def test_search_without_queries(spark):
+    table = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert nn_descent.nearest(table, table.limit(0)).count() == 0
+
+
 def test_search_equals_scan(spark):
     """The whole table of 1,000 vectors, whose start graph is in short runs, against a scan; also ties, lengths and clashing columns."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
