@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.shared import drop_table, materialize, read, ship, shuffle_width
+from barloom.llm import shared
+from barloom.llm.shared import drop_table, read, ship, shuffle_width
 
 #: Neighbours of a node, random orders that start the graph, rows of a run of an order.
 NEIGHBOURS, ORDERS, RUN = 32, 6, 192
@@ -34,6 +35,17 @@ GRAPH = "block int, edges long, fresh long, degrees binary, others binary, nears
 SEEN, GROUPS = 8192, 6
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``shared.materialize``, whose shuffle files go when the table is written; else those of all rounds would stay until the driver collects garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return shared.materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def usable(vectors: DataFrame, vector: str, key: str, size: int | None = None) -> DataFrame:
     """``id, vec`` of rows that take part: not null, no null or non-finite component, not zero, of the given length."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id is not null and vec is not null")
