@@ -34,7 +34,8 @@ def screen(bars: DataFrame, s: Screens = Screens()) -> DataFrame:  # noqa: B008
     metrics = liquidity(bars)
     latest = bars.agg(F.date_sub(F.max("time"), s.days).alias("cutoff"))
     recent = metrics.crossJoin(F.broadcast(latest))  # one row
-    expected = recent.agg(F.count_distinct(F.when(F.col("time") >= F.col("cutoff"), F.col("time"))).alias("expected"))
+    days = bars.select("time").distinct().crossJoin(F.broadcast(latest))  # by time alone: no windows, no rows of tickers
+    expected = days.agg(F.count(F.when(F.col("time") >= F.col("cutoff"), F.col("time"))).alias("expected"))
     per = recent.groupBy("ticker").agg(last_known("close").alias("last_close"), last_known("avg_value_20d"), F.count("time").alias("n_bars"), F.count(F.when(F.col("time") >= F.col("cutoff"), 1)).alias("recent_active_days"))
     reason = (
         F.when(~F.coalesce(F.col("last_close") >= s.close, F.lit(False)), "penny_stock")
