@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from barloom.operators import quality
 from barloom.plans import catalogue
 from barloom.sources import bars as B
+from barloom.sources import sinks
+from barloom.sources.versions import VersionedTable
 
 SF = "/root/testdata/sf0.001"
 SCREENS = quality.Screens(close=10.0, value=100.0, bars=12, continuity=0.5, days=5)
@@ -105,3 +107,54 @@ def test_bars_that_pass_are_dealt_once(spark, lines, monkeypatch):
     assert not dealt_anew(got) and len(dealt_anew(want)) >= 3
     assert len(spark.catalog.listTables()) == entries
     assert f"out of {-(-spark.read.parquet(f'{lines}/lineitem.parquet').count() // 500)}" in plan(got)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of what versioned tables write."""
+    found, write = [], VersionedTable.write
+    monkeypatch.setattr(VersionedTable, "write", lambda self, df, *args, **options: (found.append(plan(df)), write(self, df, *args, **options))[1])
+    return found
+
+
+def saved_plainly(spark, lines):
+    """What the screened universe's parts hold, from bars derived each time."""
+    bars = catalogue._suppliers(spark, lines)
+    screened = quality.screen(bars, catalogue.SCREENS)
+    return quality.passed_bars(bars, screened), screened
+
+
+def bars_stay(plans):
+    """Neither the screens nor the bars that pass deal bars anew: only days go by time, and tickers that passed to the bars' buckets."""
+    lines = [x for p in plans for x in p.splitlines() if "Exchange hashpartitioning" in x and "hashpartitioning(time#" not in x]
+    return len(lines) <= 1 and not any("l_shipdate" in p for p in plans)
+
+
+def test_a_universe_is_counted_from_bars_dealt_once(spark, lines, written, monkeypatch):
+    monkeypatch.setattr("barloom.plans.catalogue.SCREENS", quality.Screens(close=20_000.0, value=1e5, bars=20, continuity=0.0))
+    passed, screened = saved_plainly(spark, lines)
+    by = {r["rejection_reason"]: r["count"] for r in screened.groupBy("rejection_reason").count().collect()}
+    entries = len(spark.catalog.listTables())
+    got = {r["name"]: r["n"] for r in catalogue.queries()["universe_counts"](spark, lines).collect()}
+    assert got == {r: by.get(r, 0) for r in sinks.REASONS} | {"rows": screened.count(), "bars": passed.count()} and got["passed"] and got["penny_stock"]
+    assert len(written) == 3 and bars_stay(written) and len(spark.catalog.listTables()) == entries
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_a_saved_ticker_is_in_one_file(spark, lines, tmp_path, monkeypatch, dealt):
+    """Sorted by ticker and time in each file, whether the bars come in buckets or not, and however many tickers passed."""
+    bars = catalogue._suppliers(spark, lines)
+    bars = catalogue._dealt(bars, lines) if dealt else bars
+    levels = quality.Screens(close=20_000.0, value=1e5, bars=20, continuity=0.0)
+    sinks.save_universe(bars, quality.screen(bars, levels), str(tmp_path))
+    table = VersionedTable(spark, str(tmp_path))
+    kept = table.read("universe_filtered")
+    assert kept.columns == ["ticker", "time", *B.PRICES, "volume"]
+    files = kept.select("ticker", F.input_file_name().alias("file")).groupBy("ticker").agg(F.count_distinct("file").alias("n")).collect()
+    assert len(files) > 1 and {r["n"] for r in files} == {1}
+    for (file,) in kept.select(F.input_file_name()).distinct().collect():
+        rows = [tuple(r) for r in spark.read.parquet(file).select("ticker", F.coalesce(F.col("time").cast("string"), F.lit(""))).collect()]
+        assert rows == sorted(rows)
+    want = quality.passed_bars(catalogue._suppliers(spark, lines), quality.screen(catalogue._suppliers(spark, lines), levels))
+    assert exact(kept) == exact(want)
+    assert exact(table.read("rejected_tickers")) == exact(quality.screen(bars, levels).filter("rejection_reason <> 'passed'"))
