@@ -64,13 +64,6 @@ def test_expected_days_are_those_of_any_ticker(spark, continuity):
         assert got["A"][3:] == (7, "passed") and got["GAP"][3:] == (n, "passed" if n == 5 or continuity == 0 else "low_trading_continuity")
 
 
-def test_a_screen_derives_its_bars_once(spark):
-    """The market's days come from the times alone, so bars of tickers are dealt for the metrics only."""
-    text = plan(quality.screen(catalogue._suppliers(spark, SF), SCREENS))
-    assert sum("Exchange hashpartitioning" in x and "l_shipdate" in x and "," in x.split("hashpartitioning(")[1].split("l_shipdate")[0] for x in text.splitlines()) == 1
-    assert text.count("+- Window ") == 1
-
-
 def odd_lines(spark, folder):
     """Lines of the driver's table with nulls in each column that bars take, and some that come twice."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
@@ -95,6 +88,13 @@ def dealt_anew(df):
     return [x for x in text.splitlines() if "Exchange hashpartitioning" in x and "hashpartitioning(time#" not in x]
 
 
+def test_a_screen_derives_its_bars_once(spark, lines):
+    """The market's days come from the times alone, so bars of tickers are dealt for the metrics only."""
+    text = plan(quality.screen(catalogue._suppliers(spark, lines), SCREENS))
+    assert sum("Exchange hashpartitioning" in x and "l_shipdate" in x and "," in x.split("hashpartitioning(")[1].split("l_shipdate")[0] for x in text.splitlines()) == 1
+    assert text.count("+- Window ") == 1
+
+
 def test_bars_that_pass_are_dealt_once(spark, lines, monkeypatch):
     """Screens and the bars of their tickers read one table that has buckets by ticker; rows are those of bars derived each time."""
     monkeypatch.setattr("barloom.plans.catalogue.WIDE", quality.Screens(close=20_000.0, value=1e5, bars=20, continuity=0.0))
